@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions import times
@@ -17,7 +17,9 @@ TOP_TERMS = 10
 BROWSER_ROWS = 100
 DISTINCT_ERROR = 0.01
 
-hits = F.count(F.lit(1)).alias("hits")
+
+def _hits() -> Column:
+    return F.count(F.lit(1)).alias("hits")
 
 
 def daily_counts(
@@ -25,14 +27,15 @@ def daily_counts(
 ) -> DataFrame:
     """Rows per UTC day, optionally of one ingestion type."""
     rows = filters.of_ingestion(rows, ingestion)
-    return rows.groupBy(*by, times.day_text("time").alias("day")).agg(hits)
+    return rows.groupBy(*by, times.day_text("time").alias("day")).agg(_hits())
 
 
 def fill_days(counts: DataFrame, by: Sequence[str] = BY_CHANNEL) -> DataFrame:
     """Daily counts with zeros for the days between each group's first and last day."""
     days = F.sequence(F.to_date(F.min("day")), F.to_date(F.max("day")))
     spans = counts.groupBy(*by).agg(days.alias("days"))
-    calendar = spans.select(*by, F.explode("days").cast("string").alias("day"))
+    dates = spans.select(*by, F.explode("days").alias("date"))
+    calendar = dates.select(*by, F.col("date").cast("string").alias("day"))
     return calendar.join(counts, [*by, "day"], "left").select(
         *by, "day", F.coalesce("hits", F.lit(0)).cast("bigint").alias("hits")
     )
@@ -42,7 +45,7 @@ def counts_by(
     rows: DataFrame, field: str, by: Sequence[str] = BY_CHANNEL, size: int = TOP_TERMS
 ) -> DataFrame:
     """Rows per value of a field: the ``size`` most frequent ones of each channel."""
-    counts = rows.where(F.col(field).isNotNull()).groupBy(*by, field).agg(hits)
+    counts = rows.where(F.col(field).isNotNull()).groupBy(*by, field).agg(_hits())
     return ranking.top_k(counts, by, [F.col("hits").desc(), F.col(field)], size).drop("rank")
 
 
@@ -57,7 +60,7 @@ def totals(rows: DataFrame, by: Sequence[str] = BY_CHANNEL, exact: bool = True)
         users = F.approx_count_distinct("user_id", DISTINCT_ERROR)
         items = F.approx_count_distinct("item_id", DISTINCT_ERROR)
     return rows.groupBy(*by).agg(
-        hits, users.alias("distinct_users"), items.alias("distinct_items")
+        _hits(), users.alias("distinct_users"), items.alias("distinct_items")
     )
 
 
@@ -76,7 +79,7 @@ def facets(rows: DataFrame) -> DataFrame:
         .agg(
             named.alias("facet"),
             F.coalesce("day", "ingestion", "action").alias("value"),
-            hits,
+            _hits(),
             F.count_if(F.col("ingestion") == "stream").alias("stream_hits"),
         )
         .select("channel_id", "facet", "value", "hits", "stream_hits")
@@ -97,7 +100,7 @@ def upload_summary(uploads: DataFrame, rows: DataFrame) -> DataFrame:
     counts = (
         rows.where(F.col("bulkfile").isNotNull())
         .groupBy(F.col("bulkfile").alias("upload_id"))
-        .agg(hits, F.min("time").alias("first"), F.max("time").alias("last"))
+        .agg(_hits(), F.min("time").alias("first"), F.max("time").alias("last"))
     )
     found = F.coalesce("hits", F.lit(0)).cast("bigint")
     return (
@@ -116,10 +119,9 @@ def upload_summary(uploads: DataFrame, rows: DataFrame) -> DataFrame:
     )
 
 
-def browse(rows: DataFrame, channel: str, size: int = BROWSER_ROWS) -> DataFrame:
-    """The newest rows of a channel; the total comes from ``totals``."""
-    return (
-        filters.of_channel(rows, channel)
-        .orderBy(F.col("time").desc(), "user_id", "item_id", "action")
-        .limit(size)
-    )
+def browse(
+    rows: DataFrame, by: Sequence[str] = BY_CHANNEL, size: int = BROWSER_ROWS
+) -> DataFrame:
+    """The newest rows of every channel; ``totals`` gives their number."""
+    order = [F.col("time").desc(), *map(F.col, ("user_id", "item_id", "action", "rating"))]
+    return ranking.top_k(rows, by, order, size)

@@ -108,10 +108,8 @@ def coverage(items: DataFrame, attributes: Attributes) -> DataFrame:
     )
 
 
-def profile_attributes(
-    items: DataFrame, attributes: Attributes, channel: str, item: int
-) -> DataFrame:
-    """The attributes of one item with their labels and types."""
+def profiles(items: DataFrame, attributes: Attributes) -> DataFrame:
+    """The attributes each item has, with labels and types; filter by item for one profile."""
     pairs = F.inline(
         F.array(
             *[
@@ -124,12 +122,9 @@ def profile_attributes(
             ]
         )
     )
-    found = filters.of_item(items, channel, item)
-    return found.select("channel_id", "item_id", pairs).where(F.col("value").isNotNull())
+    return items.select("channel_id", "item_id", pairs).where(F.col("value").isNotNull())
 
 
-def profile_counts(rows: DataFrame, channel: str, item: int) -> DataFrame:
-    """The daily counts of one item."""
-    return dashboard.daily_counts(
-        filters.of_item(rows, channel, item), by=["channel_id", "item_id"]
-    )
+def profile_counts(rows: DataFrame) -> DataFrame:
+    """Daily counts of each item; filter by item for one profile."""
+    return dashboard.daily_counts(rows, by=["channel_id", "item_id"])
