@@ -9,26 +9,25 @@ from kindred.functions import text, times
 
 
 def clients_with_channels(clients: DataFrame, channels: DataFrame) -> DataFrame:
-    """Every client with its channels, one row each; clients having channels come first."""
+    """Every client with its channels, one row each; clients having channels come first.
+
+    Channels join their client rather than clients their channels: an inner join may
+    broadcast the clients or split a client with very many channels, a left join may not.
+    """
     owned = channels.select(
         "client_id",
         "channel_id",
         F.col("name").alias("channel_name"),
         F.col("created_ms").alias("channel_created_ms"),
     )
-    has_channels = F.col("channel_id").isNotNull()
-    return (
-        clients.join(owned, "client_id", "left")
-        .select(
-            "client_id",
-            "name",
-            times.long_day("created_ms").alias("created"),
-            has_channels.alias("has_channels"),
-            "channel_id",
-            "channel_name",
-            "channel_created_ms",
-        )
-        .orderBy(F.col("has_channels").desc(), "client_id", "channel_id")
+    named = clients.select("client_id", "name", times.long_day("created_ms").alias("created"))
+    having = named.join(owned, "client_id").withColumn("has_channels", F.lit(True))
+    owners_seen = channels.select("client_id").distinct()
+    lacking = named.join(owners_seen, "client_id", "left_anti").withColumn(
+        "has_channels", F.lit(False)
+    )
+    return having.unionByName(lacking, allowMissingColumns=True).orderBy(
+        F.col("has_channels").desc(), "client_id", "channel_id"
     )
 
 

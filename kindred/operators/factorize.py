@@ -35,6 +35,8 @@ def ratings(interactions: DataFrame) -> DataFrame:
 
 
 def fit(rows: DataFrame, implicit: bool = False, seed: int = 0) -> ALSModel:
+    # As many blocks as other shuffles have partitions, so the model grows with the cluster.
+    blocks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     als = ALS(
         userCol="user_id",
         itemCol="item_id",
@@ -44,6 +46,8 @@ def fit(rows: DataFrame, implicit: bool = False, seed: int = 0) -> ALSModel:
         regParam=REGULARISATION,
         alpha=IMPLICIT_ALPHA if implicit else 1.0,
         implicitPrefs=implicit,
+        numUserBlocks=blocks,
+        numItemBlocks=blocks,
         seed=seed,
     )
     return als.fit(rows)

@@ -24,7 +24,8 @@ def top_k(
 ) -> DataFrame:
     """The first ``k`` rows per group, numbered in ``rank``."""
     window = Window.partitionBy(*group).orderBy(*order)
-    return rows.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
+    ranked = rows.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
+    return ranked.withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def result_size(num: int | None, default: int) -> int:
