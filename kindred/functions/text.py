@@ -20,7 +20,7 @@ def field(parts: Column, index: int) -> Column:
 
 def action_list(text: Column | str) -> Column:
     """``' view , buy'`` to ``['view', 'buy']``."""
-    return F.transform(F.split(F.trim(text), ","), F.trim)
+    return F.transform(F.split(text, ","), lambda action: F.trim(action))
 
 
 def actions_text(actions: Column | str) -> Column:

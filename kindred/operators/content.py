@@ -7,10 +7,13 @@ with the square of the items.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.operators import filters, ranking
+from kindred.operators import ranking
+from kindred.operators.cooccurrence import BY_CHANNEL
 from kindred.operators.items import NUMERIC, Attributes
 
 # Policies for missing numeric values.
@@ -26,14 +29,27 @@ def numeric_keys(attributes: Attributes) -> list[str]:
     return [key for key, (_, kind) in attributes.items() if kind == NUMERIC]
 
 
-def medians(items: DataFrame, columns: list[str]) -> DataFrame:
+def _beside(rows: DataFrame, summary: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Put a summary with one row per group (or one row in all) beside each row."""
+    if by:
+        return rows.join(summary, list(by), "left")
+    names = summary.columns
+    # One row: a scalar subquery instead of a join.
+    only = summary.select(F.struct(*names).alias("only")).scalar()
+    values = rows.withColumn("only", only)
+    return values.withColumns({n: F.col(f"only.{n}") for n in names}).drop("only")
+
+
+def medians(
+    items: DataFrame, columns: Sequence[str], by: Sequence[str] = BY_CHANNEL
+) -> DataFrame:
     """Exact medians per channel, one column per attribute.
 
     Approximate quantiles first bracket the middle; only the distinct values inside the
     bracket (about 0.2 % of the rows) are then ranked, with everything below counted.
     """
     melted = items.select(
-        "channel_id",
+        *by,
         F.inline(
             F.array(
                 *[
@@ -43,7 +59,7 @@ def medians(items: DataFrame, columns: list[str]) -> DataFrame:
             )
         ),
     ).where(F.col("value").isNotNull())
-    group = ["channel_id", "attribute"]
+    group = [*by, "attribute"]
     quantiles = F.percentile_approx("value", F.array(*map(F.lit, BRACKET)), ACCURACY)
     brackets = melted.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"), quantiles.alias("bracket")
@@ -68,7 +84,7 @@ def medians(items: DataFrame, columns: list[str]) -> DataFrame:
     middles = ranked.groupBy(*group).agg(
         ((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2).alias("median")
     )
-    return middles.groupBy("channel_id").agg(
+    return middles.groupBy(*by).agg(
         *[
             F.max(F.when(F.col("attribute") == name, F.col("median"))).alias(name)
             for name in columns
@@ -76,92 +92,86 @@ def medians(items: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def impute(items: DataFrame, attributes: Attributes, policy: str) -> DataFrame:
-    """Fill missing numeric values with zero, or their channel's mean or median.
-
-    The fillers are one row per channel.
-    """
+def impute(
+    items: DataFrame, attributes: Attributes, policy: str, by: Sequence[str] = BY_CHANNEL
+) -> DataFrame:
+    """Fill missing numeric values with zero, or their channel's mean or median."""
     columns = numeric_keys(attributes)
     if policy == ZERO:
         return items.fillna(0.0, subset=columns)
     if policy == MEAN:
-        fillers = items.groupBy("channel_id").agg(*[F.avg(c).alias(c) for c in columns])
+        fillers = items.groupBy(*by).agg(*[F.avg(c).alias(c) for c in columns])
     elif policy == MEDIAN:
-        fillers = medians(items, columns)
+        fillers = medians(items, columns, by)
     else:
         raise ValueError(f"unknown policy {policy!r}; known: {[ZERO, MEAN, MEDIAN]}")
     renamed = fillers.withColumnsRenamed({c: f"filler_{c}" for c in columns})
     filled = {c: F.coalesce(F.col(c), F.col(f"filler_{c}")) for c in columns}
-    return (
-        items.join(renamed, "channel_id", "left")
-        .withColumns(filled)
-        .drop(*[f"filler_{c}" for c in columns])
-    )
+    return _beside(items, renamed, by).withColumns(filled).drop(*renamed.drop(*by).columns)
 
 
-def scale(items: DataFrame, columns: list[str]) -> DataFrame:
+def scale(
+    items: DataFrame, columns: Sequence[str], by: Sequence[str] = BY_CHANNEL
+) -> DataFrame:
     """Numeric values moved to [0, 1] per channel; a constant attribute becomes 0."""
-    bounds = items.groupBy("channel_id").agg(
+    bounds = items.groupBy(*by).agg(
         *[F.min(c).alias(f"min_{c}") for c in columns],
         *[F.max(c).alias(f"max_{c}") for c in columns],
     )
-    scaled = {
-        c: F.when(F.col(f"max_{c}") > F.col(f"min_{c}"),
-                  (F.col(c) - F.col(f"min_{c}")) / (F.col(f"max_{c}") - F.col(f"min_{c}")))
-        .otherwise(0.0)
-        for c in columns
-    }
-    helpers = [f"{end}_{c}" for c in columns for end in ("min", "max")]
-    return items.join(bounds, "channel_id").withColumns(scaled).drop(*helpers)
+
+    def scaled(name: str) -> Column:
+        low, high = F.col(f"min_{name}"), F.col(f"max_{name}")
+        return F.when(high > low, (F.col(name) - low) / (high - low)).otherwise(0.0)
+
+    return (
+        _beside(items, bounds, by)
+        .withColumns({c: scaled(c) for c in columns})
+        .drop(*bounds.drop(*by).columns)
+    )
 
 
 def similar_by_content(
     items: DataFrame,
     attributes: Attributes,
     policy: str,
-    channel: str,
     item: int,
     num: int = ranking.SIMILAR_ITEMS_DEFAULT,
 ) -> DataFrame:
     """The items whose attributes have the highest cosine with one item's, in thousandths.
 
-    Numeric attributes are filled and scaled; every value of a categorical one is a dimension
-    of its own, so two items share it or not.
+    The items are those of one channel. Numeric attributes are filled and scaled; every value
+    of a categorical one is a dimension of its own, so two items share it or not.
     """
     numeric = numeric_keys(attributes)
     categorical = [key for key in attributes if key not in numeric]
-    rows = scale(impute(filters.of_channel(items, channel), attributes, policy), numeric)
+    rows = scale(impute(items, attributes, policy, by=()), numeric, by=())
     norm = F.sqrt(
         sum((F.col(c) * F.col(c) for c in numeric), F.lit(0.0))
         + sum((F.col(c).isNotNull().cast("int") for c in categorical), F.lit(0))
     )
-    vectors = rows.select("channel_id", "item_id", *attributes, norm.alias("norm"))
-    target = vectors.where(F.col("item_id") == item).limit(1).alias("target")
-    other = vectors.where(F.col("item_id") != item).alias("other")
-
-    def pair(name: str) -> tuple[Column, Column]:
-        return F.col(f"other.{name}"), F.col(f"target.{name}")
-
+    vectors = rows.select("item_id", *attributes, norm.alias("norm"))
+    # The given item's attributes are one row, so a scalar subquery brings them to the scan.
+    given = (
+        vectors.where(F.col("item_id") == item)
+        .limit(1)
+        .select(F.struct(*attributes, "norm").alias("given"))
+        .scalar()
+    )
     dot = F.lit(0.0)
     for name in numeric:
-        mine, given = pair(name)
-        dot = dot + mine * given
+        dot = dot + F.col(name) * F.col(f"given.{name}")
     for name in categorical:
-        mine, given = pair(name)
-        dot = dot + F.coalesce((mine == given).cast("int"), F.lit(0))
-    mine, given = pair("norm")
-    cosine = F.coalesce(F.try_divide(dot, mine * given), F.lit(0.0))
-    score = F.round(cosine * 1000).cast("bigint")
-    # The target is a single row.
-    joined = other.join(
-        F.broadcast(target), F.col("other.channel_id") == F.col("target.channel_id")
-    )
+        shared = (F.col(name) == F.col(f"given.{name}")).cast("int")
+        dot = dot + F.coalesce(shared, F.lit(0))
+    cosine = F.coalesce(F.try_divide(dot, F.col("norm") * F.col("given.norm")), F.lit(0.0))
     return (
-        joined.select(
-            F.col("other.channel_id"),
-            F.col("target.item_id"),
-            F.col("other.item_id").alias("other_id"),
-            score.alias("score"),
+        vectors.where(F.col("item_id") != item)
+        .withColumn("given", given)
+        .where(F.col("given").isNotNull())
+        .select(
+            F.lit(item).cast("bigint").alias("item_id"),
+            F.col("item_id").alias("other_id"),
+            F.round(cosine * 1000).cast("bigint").alias("score"),
         )
         .orderBy(F.col("score").desc(), "other_id")
         .limit(ranking.result_size(num, ranking.SIMILAR_ITEMS_DEFAULT))

@@ -36,16 +36,16 @@ def similarity(
     by: Sequence[str] = BY_CHANNEL,
 ) -> DataFrame:
     """``(item_id, other_id, score)`` with ``item_id < other_id`` per channel."""
+    if base not in (*COUNT_SCORES, PEARSON):
+        known = [*COUNT_SCORES, PEARSON]
+        raise ValueError(f"{base!r} is not an item similarity; known: {known}")
     rows = filters.for_algorithm(interactions, base, actions)
     if base == PEARSON:
         sums = cooccurrence.co_ratings(rows, by)
         names = ("n", "sum_x", "sum_y", "sum_xx", "sum_yy", "sum_xy")
         score = scores.pearson(*[F.col(name) for name in names])
         return sums.select(*by, "item_id", "other_id", score.alias("score"))
-    if base in COUNT_SCORES:
-        scored = count_similarities(rows, [base], by=by)
-        return scored.withColumnRenamed(base, "score")
-    raise ValueError(f"{base!r} is not an item similarity; known: {[*COUNT_SCORES, PEARSON]}")
+    return count_similarities(rows, [base], by=by).withColumnRenamed(base, "score")
 
 
 def count_similarities(

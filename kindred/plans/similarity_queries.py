@@ -82,9 +82,9 @@ def scores_sql(view: str, base: str, where: str = "TRUE") -> str:
     return f"WITH {scored_ctes(view, base, where)} SELECT * FROM scored"
 
 
-def similar_items_sql(view: str, base: str, size: int) -> str:
+def similar_items_sql(view: str, base: str, size: int, channel: str = "channel_id, ") -> str:
     return f"""WITH {scored_ctes(view, base)}
-SELECT channel_id, item_id, other_id, score, rank FROM (
+SELECT {channel}item_id, other_id, score, rank FROM (
   SELECT *, row_number() OVER (
     PARTITION BY channel_id, item_id ORDER BY score DESC, other_id) AS rank
   FROM both_ways) WHERE rank <= {size}"""
@@ -93,10 +93,14 @@ SELECT channel_id, item_id, other_id, score, rank FROM (
 # --- pair scores ---------------------------------------------------------------------------
 
 
-@QUERIES.add(similar_items_sql(views.BASKETS_SQL, "jaccard", ranking.SIMILAR_ITEMS_DEFAULT))
+@QUERIES.add(
+    similar_items_sql(
+        views.BASKETS_SQL, "jaccard", ranking.SIMILAR_ITEMS_DEFAULT, channel=""
+    )
+)
 def similar_items_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = similarity.similarity(views.baskets(spark, sf_dir), "jaccard")
-    return ranking.similar_items(similarity.symmetric(pairs))
+    pairs = similarity.similarity(views.baskets(spark, sf_dir), "jaccard", by=())
+    return ranking.similar_items(similarity.symmetric(pairs), by=())
 
 
 def _pairs_of(base: str):
@@ -117,12 +121,12 @@ for _name, _base in {
 
 @QUERIES.add(
     f"""WITH {pair_ctes(views.BASKETS_SQL)}
-SELECT channel_id, item_id, other_id,
+SELECT item_id, other_id,
        {", ".join(f"{sql} AS {base}" for base, sql in SCORE_SQL.items())}
 FROM pairs"""
 )
 def basket_pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.count_similarities(views.baskets(spark, sf_dir))
+    return similarity.count_similarities(views.baskets(spark, sf_dir), by=())
 
 
 @QUERIES.add(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.functions import times
-from kindred.operators import catalog, content, dashboard, filters, history, items, jobs
+from kindred.operators import catalog, content, dashboard, history, items, jobs
 from kindred.plans import views
 from kindred.plans.registry import Registry
 from kindred.session import work_folder
@@ -246,22 +246,19 @@ def daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @QUERIES.add(
-    f"""WITH {views.BASKETS_SQL}, counts AS ({_daily_sql(by="channel_id, action")}),
+    f"""WITH {views.BASKETS_SQL}, counts AS ({_daily_sql(by="action")}),
 spans AS (
-  SELECT channel_id, action, min(CAST(day AS DATE)) AS lo, max(CAST(day AS DATE)) AS hi
+  SELECT action, min(CAST(day AS DATE)) AS lo, max(CAST(day AS DATE)) AS hi
   FROM counts GROUP BY ALL),
 days AS (
-  SELECT channel_id, action,
-         strftime(unnest(generate_series(lo, hi, INTERVAL 1 DAY)), '%Y-%m-%d') AS day
+  SELECT action, strftime(unnest(generate_series(lo, hi, INTERVAL 1 DAY)), '%Y-%m-%d') AS day
   FROM spans)
-SELECT d.channel_id, d.action, d.day, coalesce(c.hits, 0) AS hits
-FROM days d LEFT JOIN counts c
-  ON c.channel_id = d.channel_id AND c.action = d.action AND c.day = d.day"""
+SELECT d.action, d.day, coalesce(c.hits, 0) AS hits
+FROM days d LEFT JOIN counts c ON c.action = d.action AND c.day = d.day"""
 )
 def daily_counts_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by = ["channel_id", "action"]
-    counts = dashboard.daily_counts(views.baskets(spark, sf_dir), by)
-    return dashboard.fill_days(counts, by)
+    counts = dashboard.daily_counts(views.baskets(spark, sf_dir), by=["action"])
+    return dashboard.fill_days(counts, by=["action"])
 
 
 @QUERIES.add(f"WITH {views.INTERACTIONS_SQL} " + _daily_sql("ingestion = 'stream'"))
@@ -544,10 +541,14 @@ def item_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.profile_counts(views.interactions(spark, sf_dir))
 
 
-MEDIAN_SQL = """(SELECT (min(size) FILTER (WHERE r > (n - 1) // 2)
-         + min(size) FILTER (WHERE r > n // 2)) / 2
-  FROM (SELECT size, row_number() OVER (ORDER BY size) AS r, count(*) OVER () AS n
-        FROM items WHERE size IS NOT NULL))"""
+def _median_sql(by: str = "") -> str:
+    """One row per group with its exact median size."""
+    group, window = (f"{by}, ", f"PARTITION BY {by}") if by else ("", "")
+    return f"""SELECT {group}(min(size) FILTER (WHERE r > (n - 1) // 2)
+              + min(size) FILTER (WHERE r > n // 2)) / 2 AS filler
+  FROM (SELECT {group}size, row_number() OVER ({window} ORDER BY size) AS r,
+               count(*) OVER ({window}) AS n
+        FROM items WHERE size IS NOT NULL) {"GROUP BY " + by if by else ""}"""
 
 
 def _imputed(policy: str):
@@ -559,30 +560,31 @@ def _imputed(policy: str):
     return build
 
 
-for _policy, _filler in {
-    content.ZERO: "0.0",
-    content.MEAN: "(SELECT avg(size) FROM items)",
-    content.MEDIAN: MEDIAN_SQL,
+for _policy, _fillers in {
+    content.ZERO: "SELECT DISTINCT channel_id, 0.0 AS filler FROM items",
+    content.MEAN: "SELECT channel_id, avg(size) AS filler FROM items GROUP BY channel_id",
+    content.MEDIAN: _median_sql("channel_id"),
 }.items():
     QUERIES.add(
-        f"""WITH {views.ITEMS_SQL}
-SELECT * REPLACE (coalesce(size, {_filler}) AS size) FROM items""",
+        f"""WITH {views.ITEMS_SQL}, fillers AS ({_fillers})
+SELECT i.channel_id, item_id, brand, type, coalesce(size, filler) AS size, price
+FROM items i LEFT JOIN fillers f ON f.channel_id = i.channel_id""",
         f"content_impute_{_policy}",
     )(_imputed(_policy))
 
 
 @QUERIES.add(
     f"""WITH {views.ITEMS_SQL},
-filled AS (SELECT * REPLACE (coalesce(size, {MEDIAN_SQL}) AS size) FROM items),
+filled AS (SELECT * REPLACE (coalesce(size, ({_median_sql()})) AS size) FROM items),
 scaled AS (
-  SELECT channel_id, item_id, brand, type,
+  SELECT item_id, brand, type,
          (size - (SELECT min(size) FROM filled))
            / ((SELECT max(size) FROM filled) - (SELECT min(size) FROM filled)) AS size,
          (price - (SELECT min(price) FROM filled))
            / ((SELECT max(price) FROM filled) - (SELECT min(price) FROM filled)) AS price
   FROM filled),
 normed AS (SELECT *, sqrt(size * size + price * price + 2) AS norm FROM scaled)
-SELECT o.channel_id, t.item_id, o.item_id AS other_id,
+SELECT t.item_id, o.item_id AS other_id,
        CAST(round((o.size * t.size + o.price * t.price
                    + CASE WHEN o.brand = t.brand THEN 1 ELSE 0 END
                    + CASE WHEN o.type = t.type THEN 1 ELSE 0 END)
@@ -592,7 +594,7 @@ WHERE t.item_id = 7 AND o.item_id <> 7
 ORDER BY score DESC, other_id LIMIT 20"""
 )
 def content_similar_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts as one channel."""
     return content.similar_by_content(
-        views.items(spark, sf_dir), views.ITEM_ATTRIBUTES, content.MEDIAN,
-        views.ONE_CHANNEL, item=7, num=20,
+        views.items(spark, sf_dir), views.ITEM_ATTRIBUTES, content.MEDIAN, item=7, num=20
     )

@@ -51,10 +51,9 @@ INTERACTIONS_SQL = """interactions AS (
 
 
 def baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``lineitem`` as interactions of one channel: orders are users, parts are items."""
+    """``lineitem`` as interactions of a single channel: orders are users, parts are items."""
     lines = table(spark, sf_dir, "lineitem")
     return lines.select(
-        F.lit(ONE_CHANNEL).alias("channel_id"),
         F.col("l_orderkey").alias("user_id"),
         F.col("l_partkey").alias("item_id"),
         F.col("l_shipdate").cast("timestamp").alias("time"),
@@ -66,7 +65,7 @@ def baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
 BASKETS_SQL = """interactions AS (
   SELECT 'CH-0' AS channel_id, l_orderkey AS user_id, l_partkey AS item_id,
          l_shipdate AS time, l_returnflag AS action, l_quantity AS rating
-  FROM lineitem)"""
+  FROM lineitem)"""  # the SQL of pairs always groups by channel
 
 
 def clients(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,11 +144,11 @@ JOB_RUNS_SQL = """job_runs AS (
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``part`` as items with two categorical and two numeric attributes, some missing."""
+    """``part`` as items of three channels with typed attributes, some values missing."""
     parts = table(spark, sf_dir, "part")
     size = F.when(F.col("p_partkey") % 7 != 0, F.col("p_size").cast("double"))
     return parts.select(
-        F.lit(ONE_CHANNEL).alias("channel_id"),
+        F.format_string("CH-%d", F.col("p_partkey") % 3).alias("channel_id"),
         F.col("p_partkey").alias("item_id"),
         F.col("p_brand").alias("brand"),
         F.col("p_type").alias("type"),
@@ -159,7 +158,8 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ITEMS_SQL = """items AS (
-  SELECT 'CH-0' AS channel_id, p_partkey AS item_id, p_brand AS brand, p_type AS type,
+  SELECT 'CH-' || CAST(p_partkey % 3 AS VARCHAR) AS channel_id, p_partkey AS item_id,
+         p_brand AS brand, p_type AS type,
          CASE WHEN p_partkey % 7 <> 0 THEN CAST(p_size AS DOUBLE) END AS size,
          p_retailprice AS price
   FROM part)"""

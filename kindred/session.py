@@ -24,7 +24,9 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: str | int = "*", memory: str = "16g") -> SparkSession:
+def local_session(
+    cores: str | int = "*", memory: str = "16g", settings: dict[str, str] | None = None
+) -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -34,7 +36,7 @@ def local_session(cores: str | int = "*", memory: str = "16g") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
-    for key, value in SETTINGS.items():
+    for key, value in {**SETTINGS, **(settings or {})}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -47,9 +49,10 @@ def work_folder(spark: SparkSession, name: str) -> str:
     It lies in the shared folder named by ``spark.checkpoint.dir``. Only a local session
     without that setting gets a folder of its own machine.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         root = tempfile.mkdtemp(prefix="run-")
     return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
