@@ -76,7 +76,7 @@ def same_user_pairs(
 ) -> DataFrame:
     """One row per user and pair ``item_id < other_id``; ``carry`` columns come from both sides."""
     group = [*by, "user_id"]
-    tiles = _tiles(rows, group, block_items)
+    tiles = skew.spread(_tiles(rows, group, block_items), [*group, "low", "high"])
     # Both sides are the same plan, so its shuffle is written once and read twice.
     left, right = tiles.alias("left"), tiles.alias("right")
     same_tile = [

@@ -35,8 +35,8 @@ def ratings(interactions: DataFrame) -> DataFrame:
 
 
 def fit(rows: DataFrame, implicit: bool = False, seed: int = 0) -> ALSModel:
-    # As many blocks as other shuffles have partitions, so the model grows with the cluster.
-    blocks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # One block per core of the cluster, and not fewer than the library's default.
+    blocks = max(10, rows.sparkSession.sparkContext.defaultParallelism)
     als = ALS(
         userCol="user_id",
         itemCol="item_id",

@@ -38,6 +38,11 @@ def _undeclared(attributes: Attributes) -> Column:
     return F.array_sort(F.array_except(names, F.array(*[F.lit(key) for key in attributes])))
 
 
+def valid(submissions: DataFrame, attributes: Attributes) -> DataFrame:
+    """Submissions whose attributes are all declared."""
+    return submissions.where(F.size(_undeclared(attributes)) == 0)
+
+
 def accepted(submissions: DataFrame, attributes: Attributes) -> DataFrame:
     """Typed rows of submissions whose attributes are all declared.
 
@@ -52,9 +57,7 @@ def accepted(submissions: DataFrame, attributes: Attributes) -> DataFrame:
         ).alias(key)
         for key, (_, kind) in attributes.items()
     ]
-    return submissions.where(F.size(_undeclared(attributes)) == 0).select(
-        "channel_id", "item_id", "seq", *typed
-    )
+    return valid(submissions, attributes).select("channel_id", "item_id", "seq", *typed)
 
 
 def rejected(submissions: DataFrame, attributes: Attributes) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from kindred.operators import filters, ranking, skew
 from kindred.operators.cooccurrence import BY_CHANNEL
 
-# Users of one item that a task joins with that item's similarities.
-USERS_PER_PART = 50_000
+# Users of one item that a task joins with that item's similarities. Repeating the
+# similarities once per part adds one row to every so many rows of output.
+USERS_PER_PART = 2_000
 
 
 def history_items(history: DataFrame, by: Sequence[str] = BY_CHANNEL) -> DataFrame:
@@ -25,12 +26,19 @@ def history_items(history: DataFrame, by: Sequence[str] = BY_CHANNEL) -> DataFra
     return history.groupBy(*by, "user_id", "item_id").agg(rating.alias("rating"))
 
 
-def candidate_scores(
+def contributions(
     items: DataFrame,
     similarities: DataFrame,
     by: Sequence[str] = BY_CHANNEL,
     users_per_part: int = USERS_PER_PART,
 ) -> DataFrame:
+    """Every history item of every user with the similarities of that item."""
+    return skew.salted_join(
+        items, similarities, [*by, "item_id"], spread_by="user_id", limit=users_per_part
+    )
+
+
+def candidate_scores(contributions: DataFrame, by: Sequence[str] = BY_CHANNEL) -> DataFrame:
     """Weighted scores of all candidates of all users.
 
     A rated history item adds ``score * rating`` to the numerator and ``score`` to the
@@ -39,9 +47,6 @@ def candidate_scores(
     A zero denominator gives NULL.
     """
     rated = F.col("rating").isNotNull()
-    contributions = skew.salted_join(
-        items, similarities, [*by, "item_id"], spread_by="user_id", limit=users_per_part
-    )
     sums = contributions.groupBy(*by, "user_id", "other_id").agg(
         F.sum(F.col("score") * F.coalesce("rating", F.lit(1.0))).alias("numerator"),
         F.sum(F.when(rated, F.col("score")).otherwise(0)).alias("rated_weight"),
@@ -65,9 +70,28 @@ def recommendations(
 ) -> DataFrame:
     """The best ``num`` items of every user. Seen items stay in unless excluded."""
     items = history_items(history, by)
-    scored = candidate_scores(items, similarities, by)
+    scored = candidate_scores(contributions(items, similarities, by), by)
     if exclude_seen:
         scored = scored.join(items, [*by, "user_id", "item_id"], "left_anti")
     order = [F.col("score").desc_nulls_last(), F.col("item_id")]
     size = ranking.result_size(num, ranking.RECOMMENDATIONS_DEFAULT)
     return ranking.top_k(scored, [*by, "user_id"], order, size)
+
+
+def recommendations_for(
+    history: DataFrame,
+    similarities: DataFrame,
+    num: int | None = ranking.RECOMMENDATIONS_DEFAULT,
+) -> DataFrame:
+    """The best items of a single user, whose history is all ``history`` holds.
+
+    A plain join: the user's items are the small side, and the similarities are scanned
+    where they lie instead of being shuffled for one request.
+    """
+    items = history_items(history, by=())
+    joined = items.join(similarities, "item_id")
+    return (
+        candidate_scores(joined, by=())
+        .orderBy(F.col("score").desc_nulls_last(), "item_id")
+        .limit(ranking.result_size(num, ranking.RECOMMENDATIONS_DEFAULT))
+    )

@@ -1,4 +1,4 @@
-"""Cutting hot keys into parts of bounded size.
+"""Cutting hot keys into parts of bounded size, and spreading rows before a fan-out.
 
 A key may hold a large share of all rows. Counting rows per key is cheap (map-side partial
 counts, one row per key in the shuffle), and the keys above a limit are few, so the join that
@@ -40,6 +40,17 @@ def all_parts(parts: Column | str = "parts") -> Column:
     return F.sequence(F.lit(0), parts - 1)
 
 
+def spread(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Hash-partition into as many partitions as the session has for shuffles.
+
+    For the inputs of a join whose output is many times larger. Adaptive execution would
+    merge partitions by the size of these inputs and leave the output to a few tasks; it does
+    not merge partitions whose number was given.
+    """
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(partitions, *keys)
+
+
 def salted_join(
     large: DataFrame, other: DataFrame, keys: Sequence[str], spread_by: str, limit: int
 ) -> DataFrame:
@@ -49,10 +60,8 @@ def salted_join(
     rows of ``other`` are repeated once per part. Ordinary keys are joined as they are.
     """
     hot = hot_keys(large, keys, limit)
-    left = (
-        with_parts(large, hot, keys).withColumn("salt", part_of(spread_by)).drop("parts")
-    )
-    right = (
-        with_parts(other, hot, keys).withColumn("salt", F.explode(all_parts())).drop("parts")
-    )
-    return left.join(right, [*keys, "salt"]).drop("salt")
+    salted = [*keys, "salt"]
+    left = with_parts(large, hot, keys).withColumn("salt", part_of(spread_by))
+    right = with_parts(other, hot, keys).withColumn("salt", F.explode(all_parts()))
+    joined = spread(left.drop("parts"), salted).join(spread(right.drop("parts"), salted), salted)
+    return joined.drop("salt")

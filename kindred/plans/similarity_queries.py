@@ -295,30 +295,29 @@ def user_recs_exclude_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- published results ---------------------------------------------------------------------
 
-CHANNELS = ("CH-0", "CH-1", "CH-2")
-
-
 @QUERIES.add(
-    f"""WITH {scored_ctes(views.INTERACTIONS_SQL, "jaccard")}
+    f"""WITH {scored_ctes(views.ONE_CHANNEL_SQL, "jaccard")}
 SELECT channel_id, 'AL-1' AS algo_id, '000002' AS version, item_id, other_id, score
 FROM both_ways"""
 )
 def similarity_current_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two successful versions and a failed third one per channel; the second is served."""
+    """Two successful versions and a failed third one; the second is served.
+
+    All events are published as one channel.
+    """
     root = work_folder(spark, "published")
-    rows = views.interactions(spark, sf_dir)
-    for channel in CHANNELS:
-        for actions in (FILTERED_ACTIONS, ()):
-            algorithm = algorithms.Algorithm(channel, "AL-1", "jaccard", actions)
-            algorithms.run(spark, root, rows, algorithm)
-        leftover = filters.of_channel(
-            tables.current_results(spark, root, tables.SIMILARITY), channel
-        ).withColumn("score", F.lit(0).cast("bigint"))
-        tables.write_result(leftover, root, tables.SIMILARITY, channel, "AL-1", "000003")
-        tables.record_run(
-            spark, root, channel_id=channel, algo_id="AL-1", version="000003",
-            start_ms=0, end_ms=1, outcome=algorithms.FAILURE, output="stopped",
-        )
+    channel, algo = views.ONE_CHANNEL, "AL-1"
+    rows = views.interactions(spark, sf_dir).withColumn("channel_id", F.lit(channel))
+    for actions in (FILTERED_ACTIONS, ()):
+        algorithm = algorithms.Algorithm(channel, algo, "jaccard", actions)
+        algorithms.run(spark, root, rows, algorithm)
+    served = tables.current_results(spark, root, tables.SIMILARITY)
+    leftover = served.withColumn("score", F.lit(0).cast("bigint"))
+    tables.write_result(leftover, root, tables.SIMILARITY, channel, algo, "000003")
+    tables.record_run(
+        spark, root, channel_id=channel, algo_id=algo, version="000003",
+        start_ms=0, end_ms=1, outcome=algorithms.FAILURE, output="stopped",
+    )
     current = tables.current_results(spark, root, tables.SIMILARITY)
     return current.select("channel_id", "algo_id", "version", "item_id", "other_id", "score")
 

@@ -36,8 +36,9 @@ def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-INTERACTIONS_SQL = """interactions AS (
-  SELECT 'CL-1' AS client_id, 'CH-' || CAST(user_id % 3 AS VARCHAR) AS channel_id,
+def interactions_sql(channel: str = "'CH-' || CAST(user_id % 3 AS VARCHAR)") -> str:
+    return f"""interactions AS (
+  SELECT 'CL-1' AS client_id, {channel} AS channel_id,
          CASE WHEN event_id % 4 = 0 THEN 'stream' ELSE 'bulk' END AS ingestion,
          CASE WHEN event_id % 4 = 0 THEN NULL
               ELSE 'F' || CAST(event_id % 7 AS VARCHAR) END AS bulkfile,
@@ -50,6 +51,10 @@ INTERACTIONS_SQL = """interactions AS (
   FROM events)"""
 
 
+INTERACTIONS_SQL = interactions_sql()
+ONE_CHANNEL_SQL = interactions_sql(f"'{ONE_CHANNEL}'")
+
+
 def baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lineitem`` as interactions of a single channel: orders are users, parts are items."""
     lines = table(spark, sf_dir, "lineitem")

@@ -20,6 +20,9 @@ JOB_RUNS = (
     "channel_id string, algo_id string, version string, "
     "start_ms bigint, end_ms bigint, outcome string, output string"
 )
+ITEM_SUBMISSIONS = (
+    "channel_id string, item_id bigint, seq bigint, attributes map<string,string>"
+)
 CELLS = "rowkey string, family string, qualifier string, value string"
 REJECTS = "raw string, reason string, source string"
 

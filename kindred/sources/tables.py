@@ -1,10 +1,11 @@
 """The written tables: partitioned Parquet under one root folder.
 
     interactions/channel_id=…/…           appended
-    history/batch=…                       appended, latest row per key wins on reading
+    history/channel_id=…                  appended, latest row per key wins on reading
     similarity/channel_id=…/algo_id=…/version=…
     recommendations/channel_id=…/algo_id=…/version=…
     job_runs/                             one row per finished run
+    items/channel_id=…                    appended submissions, latest per item wins on reading
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ from pyspark.sql import types as T
 from kindred import schemas
 from kindred.functions import keys
 from kindred.operators import history as histories
+from kindred.operators import items
 
-INTERACTIONS, HISTORY, JOB_RUNS = "interactions", "history", "job_runs"
+INTERACTIONS, HISTORY, JOB_RUNS, ITEMS = "interactions", "history", "job_runs", "items"
 SIMILARITY, RECOMMENDATIONS = "similarity", "recommendations"
 RESULT_SCHEMAS = {
     SIMILARITY: schemas.SIMILARITY,
@@ -79,6 +81,22 @@ def compact_history(spark: SparkSession, root: str, target: str) -> None:
     )
 
 
+def append_items(submissions: DataFrame, root: str, attributes: items.Attributes) -> None:
+    """Keep the submissions whose attributes are all declared."""
+    items.valid(submissions, attributes).write.mode("append").partitionBy(
+        "channel_id"
+    ).parquet(f"{root}/{ITEMS}")
+
+
+def read_items(
+    spark: SparkSession, root: str, channel: str, attributes: items.Attributes
+) -> DataFrame:
+    """The latest typed record per item of a channel, with its declared attributes."""
+    stored = _read(spark, f"{root}/{ITEMS}", schemas.ITEM_SUBMISSIONS)
+    mine = stored.where(F.col("channel_id") == channel)
+    return items.latest(items.accepted(mine, attributes), attributes)
+
+
 def write_result(
     rows: DataFrame, root: str, kind: str, channel: str, algo: str, version: str
 ) -> None:

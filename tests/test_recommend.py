@@ -13,7 +13,8 @@ ITEMS = "channel_id string, user_id bigint, item_id bigint, rating double"
 def candidates(spark, baskets, known, **options):
     similarities = similarity.symmetric(similarity.similarity(baskets, "jaccard"))
     frame = spark.createDataFrame([("CH-1", 9, i, r) for i, r in known], ITEMS)
-    scored = recommend.candidate_scores(frame, similarities, **options).collect()
+    joined = recommend.contributions(frame, similarities, **options)
+    scored = recommend.candidate_scores(joined).collect()
     return {r["item_id"]: r["score"] for r in scored}
 
 
@@ -62,9 +63,8 @@ def test_matches_accumulating_item_by_item(spark, users_per_part):
         [("CH-1", i, o, s) for i, others in similar.items() for o, s in others],
         "channel_id string, item_id bigint, other_id bigint, score bigint",
     )
-    rows = recommend.candidate_scores(
-        items, similarities, users_per_part=users_per_part
-    ).collect()
+    joined = recommend.contributions(items, similarities, users_per_part=users_per_part)
+    rows = recommend.candidate_scores(joined).collect()
     expected = {
         (u, o): score for u, known in users.items() for o, score in accumulate(known, similar).items()
     }
