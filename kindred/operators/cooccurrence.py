@@ -20,7 +20,7 @@ from kindred.operators import skew
 
 BY_CHANNEL = ("channel_id",)
 # Items of one user that a task pairs with each other (at most about twice this many).
-BLOCK_ITEMS = 4_000
+BLOCK_ITEMS = 1_000
 
 
 def user_items(interactions: DataFrame, by: Sequence[str] = BY_CHANNEL) -> DataFrame:
