@@ -47,7 +47,7 @@ def cell_value() -> Column:
 
 
 def responses(history: DataFrame) -> DataFrame:
-    """History as shown to callers, newest first per user.
+    """History as shown to callers.
 
     Rating rows show their rating and no action; other rows show their action, with a rating
     they may carry kept in its text.
@@ -59,13 +59,14 @@ def responses(history: DataFrame) -> DataFrame:
         F.when(_is_rating(), F.col("rating")).alias("rating"),
         F.when(~_is_rating(), cell_value()).alias("action"),
         times.seconds_text("time").alias("time"),
-    ).orderBy("channel_id", "user_id", F.col("time").desc(), "item_id")
+    )
 
 
 def user_history(history: DataFrame, channel: str, user: int) -> DataFrame:
-    """One user's history, from a filtered scan."""
+    """One user's history, newest first, from a filtered scan."""
     mine = (F.col("channel_id") == channel) & (F.col("user_id") == user)
-    return responses(latest(history.where(mine)))
+    shown = responses(latest(history.where(mine)))
+    return shown.orderBy(F.col("time").desc(), "item_id")
 
 
 def to_cells(history: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ def history_cells(runs: DataFrame) -> DataFrame:
 
 
 def history(cells: DataFrame) -> DataFrame:
-    """Finished runs with their durations, newest first per algorithm."""
+    """Finished runs with their durations."""
     run = F.from_json("value", schemas.JOB_HISTORY_JSON)
     start, end = F.col("run.startTime").cast("bigint"), F.col("run.endTime").cast("bigint")
     parsed = cells.where(F.col("family") == "jobhistory").select("rowkey", run.alias("run"))
@@ -43,7 +43,13 @@ def history(cells: DataFrame) -> DataFrame:
         end.alias("end_ms"),
         ((end - start) / 1000).cast("bigint").alias("seconds"),
         times.humanised(end - start).alias("took"),
-    ).orderBy("channel_id", "algo_id", F.col("end_ms").desc(), "job")
+    )
+
+
+def history_of(cells: DataFrame, channel: str, algo: str) -> DataFrame:
+    """One algorithm's finished runs, newest first."""
+    mine = cells.where(F.col("rowkey") == f"{channel}:{algo}")
+    return history(mine).orderBy(F.col("end_ms").desc(), "job")
 
 
 def algorithm_state(runs: DataFrame, now_ms: Column | None = None) -> DataFrame:

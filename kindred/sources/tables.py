@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from kindred import schemas
 from kindred.functions import keys
 from kindred.operators import history as histories
-from kindred.operators import items
+from kindred.operators import items, skew
 
 INTERACTIONS, HISTORY, JOB_RUNS, ITEMS = "interactions", "history", "job_runs", "items"
 SIMILARITY, RECOMMENDATIONS = "similarity", "recommendations"
@@ -163,11 +163,10 @@ def next_version(spark: SparkSession, root: str, channel: str, algo: str) -> str
 def current_results(spark: SparkSession, root: str, kind: str) -> DataFrame:
     """Results of the current versions only.
 
-    The version table is one row per algorithm; joining on the partition columns lets Spark
-    prune the folders of older versions at run time.
+    The versions are one row per algorithm. Broadcast, they prune the partition folders of
+    older versions at run time.
     """
-    versions = current_versions(read_runs(spark, root))
+    versions = skew.broadcast_if_small(current_versions(read_runs(spark, root)))
     return read_results(spark, root, kind).join(
         versions, ["channel_id", "algo_id", "version"]
     )
-

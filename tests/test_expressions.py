@@ -165,6 +165,19 @@ def test_algorithm_state(spark):
     assert (second["last_outcome"], second["version"], second["last_run_ms"]) == ("failure", None, None)
 
 
+def test_job_history(spark):
+    runs = spark.createDataFrame(
+        [("CH-1", "AL-1", 1, 0, 5_000, "success", "ok"), ("CH-1", "AL-1", 2, 6_000, 9_999, None, ""),
+         ("CH-1", "AL-2", 3, 0, 9_000, "failure", "")],
+        "channel_id string, algo_id string, run_id bigint, start_ms bigint, end_ms bigint, "
+        "outcome string, output string",
+    )
+    shown = jobs.history_of(jobs.history_cells(runs), "CH-1", "AL-1").collect()
+    assert [(r["job"], r["outcome"], r["seconds"], r["took"]) for r in shown] == [
+        ("2", "NA", 3, "3 secs"), ("1", "success", 5, "5 secs"),
+    ]
+
+
 def test_factorisation(spark, ratings):
     predicted = factorize.predictions(ratings)
     observed = {(r["user_id"], r["item_id"]): r["rating"] for r in ratings.collect()}
