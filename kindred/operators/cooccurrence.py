@@ -118,13 +118,15 @@ def pair_table(
     """
     pairs = user_items(interactions, by)
     counts = item_counts(pairs, by)
-    first = with_total(counts, by) if total else counts
+    if total:
+        counts = with_total(counts, by)
+    counts = skew.measured(counts, [*by, "item_id"])
     second = counts.select(
         *by, F.col("item_id").alias("other_id"), F.col("users").alias("n2")
     )
     return (
         pair_counts(pairs, by, block_items)
-        .join(first.withColumnRenamed("users", "n1"), [*by, "item_id"])
+        .join(counts.withColumnRenamed("users", "n1"), [*by, "item_id"])
         .join(second, [*by, "other_id"])
     )
 

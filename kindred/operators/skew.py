@@ -16,14 +16,25 @@ from pyspark.sql import functions as F
 SMALL_ROWS = 100_000
 
 
+def measured(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Put an aggregate behind a shuffle of its own, by the keys it is joined on.
+
+    Adaptive execution judges a join side by its last shuffle. Without this one that is the
+    shuffle before the final aggregation and its filters, which may be many times larger; with
+    it a small side is seen to be small and broadcast, and an empty one drops the join.
+    """
+    return rows.hint("rebalance", *keys)
+
+
 def hot_keys(rows: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
     """Keys with more than ``limit`` rows and the number of parts each is cut into."""
-    return (
+    hot = (
         rows.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("rows_of_key"))
         .where(F.col("rows_of_key") > limit)
         .select(*keys, F.ceil(F.col("rows_of_key") / limit).cast("int").alias("parts"))
     )
+    return measured(hot, keys)
 
 
 def with_parts(rows: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:

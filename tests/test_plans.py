@@ -33,15 +33,20 @@ def test_filters_and_columns_reach_the_scan(spark):
 
 
 @pytest.fixture
-def no_broadcast(spark):
-    """Plans as they are when no side is small."""
+def broadcast_limit(spark):
+    """Sets the size below which Spark broadcasts a join side."""
     threshold = "spark.sql.autoBroadcastJoinThreshold"
     before = spark.conf.get(threshold)
-    spark.conf.set(threshold, "-1")
-    yield
+    yield lambda size: spark.conf.set(threshold, size)
     spark.conf.set(threshold, before)
 
 
+@pytest.fixture
+def no_broadcast(broadcast_limit):
+    """Plans as they are when no side is small."""
+    broadcast_limit("-1")
+
+
 def test_self_join_writes_its_shuffle_once(spark, no_broadcast):
     pairs = cooccurrence.user_items(views.baskets(spark, SF_DIR), by=())
     frame = cooccurrence.pair_counts(pairs, by=())
@@ -63,6 +68,19 @@ def test_nothing_is_broadcast_unless_small(spark, no_broadcast, name):
     assert "Broadcast" not in plan(frame)
 
 
+def test_measured_sizes_decide_at_run_time(spark, broadcast_limit):
+    """Item counts are broadcast once measured, although the input is too large to be sure
+    beforehand, and without hot users their join falls away."""
+    broadcast_limit("150000")
+    baskets = views.baskets(spark, "/root/testdata/sf0.01")
+    frame = similarity.similarity(baskets, "jaccard", by=())
+    assert "Broadcast" not in plan(frame)
+    frame.collect()
+    final = plan(frame).split("== Initial Plan ==")[0]
+    assert final.count("BroadcastHashJoin") == 2
+    assert final.count("SortMergeJoin") == 1 and "LeftOuter" not in final
+
+
 def test_top_k_cuts_groups_before_the_shuffle(spark):
     text = plan(entry_points.queries()["similar_items_jaccard"](spark, SF_DIR))
     assert "WindowGroupLimit" in text
