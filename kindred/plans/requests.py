@@ -116,13 +116,19 @@ def load_upload(
     channel: str,
     upload: str,
     upload_ms: int,
-) -> DataFrame:
-    """Load an uploaded file into both tables; returns its rejected lines.
+) -> None:
+    """Load an uploaded file into both tables, and its bad lines into the rejects.
 
-    ``upload_ms`` orders this load among others in the history.
+    ``upload_ms`` orders this load among others in the history. The lines are parsed once
+    for all three.
     """
-    parsed = parsing.parse_bulk(readers.bulk_lines(spark, path), client, channel, upload)
-    good = parsing.accepted(parsed)
-    tables.append_interactions(good, root)
-    tables.append_history(good, root, F.lit(upload_ms))
-    return parsing.rejected(parsed)
+    parsed = parsing.parse_bulk(
+        readers.bulk_lines(spark, path), client, channel, upload
+    ).persist()
+    try:
+        good = parsing.accepted(parsed)
+        tables.append_interactions(good, root)
+        tables.append_history(good, root, F.lit(upload_ms))
+        tables.append_rejects(parsing.rejected(parsed), root)
+    finally:
+        parsed.unpersist()

@@ -6,6 +6,9 @@
     recommendations/channel_id=…/algo_id=…/version=…
     job_runs/                             one row per finished run
     items/channel_id=…                    appended submissions, latest per item wins on reading
+    rejects/                              lines that did not parse
+    streamed_interactions, streamed_history, streamed_rejects/batch_id=…
+                                          the same tables as written by streams
 """
 
 from __future__ import annotations
@@ -20,7 +23,8 @@ from kindred.functions import keys
 from kindred.operators import history as histories
 from kindred.operators import items, skew
 
-INTERACTIONS, HISTORY, JOB_RUNS, ITEMS = "interactions", "history", "job_runs", "items"
+INTERACTIONS, HISTORY, REJECTS = "interactions", "history", "rejects"
+JOB_RUNS, ITEMS = "job_runs", "items"
 SIMILARITY, RECOMMENDATIONS = "similarity", "recommendations"
 RESULT_SCHEMAS = {
     SIMILARITY: schemas.SIMILARITY,
@@ -40,6 +44,18 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], T.StructType.fromDDL(schema))
 
 
+def _bulk_and_streamed(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
+    bulk = _read(spark, f"{root}/{name}", schema)
+    batches = _read(spark, streamed(root, name), f"{schema}, batch_id bigint")
+    return bulk.unionByName(batches.drop("batch_id"))
+
+
+def streamed(root: str, name: str, batch_id: int | None = None) -> str:
+    """The folder streams write a table to, or that of one batch."""
+    folder = f"{root}/streamed_{name}"
+    return folder if batch_id is None else f"{folder}/batch_id={batch_id}"
+
+
 def append_interactions(interactions: DataFrame, root: str) -> None:
     """Append, as the feed allows repeated rows: replaying an upload duplicates it."""
     interactions.write.mode("append").partitionBy("channel_id").parquet(
@@ -49,11 +65,7 @@ def append_interactions(interactions: DataFrame, root: str) -> None:
 
 def read_interactions(spark: SparkSession, root: str) -> DataFrame:
     """All interactions, bulk and streamed."""
-    bulk = _read(spark, f"{root}/{INTERACTIONS}", schemas.INTERACTIONS)
-    streamed = _read(
-        spark, f"{root}/streamed_{INTERACTIONS}", f"{schemas.INTERACTIONS}, batch_id bigint"
-    )
-    return bulk.unionByName(streamed.drop("batch_id"))
+    return _bulk_and_streamed(spark, root, INTERACTIONS, schemas.INTERACTIONS)
 
 
 def append_history(interactions: DataFrame, root: str, ingest_seq: Column) -> None:
@@ -63,18 +75,35 @@ def append_history(interactions: DataFrame, root: str, ingest_seq: Column) -> No
 
 def read_history(spark: SparkSession, root: str) -> DataFrame:
     """The latest history row per (channel, user, second, item)."""
-    bulk = _read(spark, f"{root}/{HISTORY}", schemas.USER_HISTORY)
-    streamed = _read(
-        spark, f"{root}/streamed_{HISTORY}", f"{schemas.USER_HISTORY}, batch_id bigint"
+    return histories.latest(
+        _bulk_and_streamed(spark, root, HISTORY, schemas.USER_HISTORY)
     )
-    return histories.latest(bulk.unionByName(streamed.drop("batch_id")))
 
 
-def compact_history(spark: SparkSession, root: str, target: str) -> None:
-    """Write the latest rows to a new root, clustered by user, for cheap point reads."""
+def append_rejects(rejects: DataFrame, root: str) -> None:
+    rejects.write.mode("append").parquet(f"{root}/{REJECTS}")
+
+
+def read_rejects(spark: SparkSession, root: str) -> DataFrame:
+    return _bulk_and_streamed(spark, root, REJECTS, schemas.REJECTS)
+
+
+def compact(spark: SparkSession, root: str, target: str) -> None:
+    """Rewrite both tables under a new root, in even files instead of one set per batch.
+
+    Interactions lie sorted by time, history holds only the latest rows and lies sorted by
+    user, so that filters on them skip row groups.
+    """
+    (
+        read_interactions(spark, root)
+        .hint("rebalance", "channel_id")
+        .sortWithinPartitions("channel_id", "time")
+        .write.partitionBy("channel_id")
+        .parquet(f"{target}/{INTERACTIONS}")
+    )
     (
         read_history(spark, root)
-        .repartition("channel_id", "user_id")
+        .hint("rebalance", "channel_id", "user_id")
         .sortWithinPartitions("channel_id", "user_id", F.col("time").desc())
         .write.partitionBy("channel_id")
         .parquet(f"{target}/{HISTORY}")

@@ -11,7 +11,6 @@ from kindred.sources import parsing, tables
 
 # Fixed value: how often a continuously running stream takes a batch.
 BATCH_INTERVAL = "1 second"
-REJECTS = "streamed_rejects"
 
 
 def write_batch(parsed: DataFrame, batch_id: int, root: str, seq_offset: int = 0) -> None:
@@ -25,12 +24,13 @@ def write_batch(parsed: DataFrame, batch_id: int, root: str, seq_offset: int = 0
         good = parsing.accepted(rows)
         past = history.from_interactions(good, F.lit(seq_offset + batch_id))
         outputs = {
-            f"streamed_{tables.INTERACTIONS}": good,
-            f"streamed_{tables.HISTORY}": past,
-            REJECTS: parsing.rejected(rows),
+            tables.INTERACTIONS: good,
+            tables.HISTORY: past,
+            tables.REJECTS: parsing.rejected(rows),
         }
         for name, output in outputs.items():
-            output.write.mode("overwrite").parquet(f"{root}/{name}/batch_id={batch_id}")
+            folder = tables.streamed(root, name, batch_id)
+            output.write.mode("overwrite").parquet(folder)
     finally:
         rows.unpersist()
 

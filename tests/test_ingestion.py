@@ -3,7 +3,9 @@ from __future__ import annotations
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from kindred import schemas
 from kindred.operators import history
 from kindred.session import work_folder
 from kindred.sources import parsing, readers, tables
@@ -35,7 +37,8 @@ def lines(spark, texts):
 def test_bulk_lines(spark):
     parsed = parsing.parse_bulk(lines(spark, [*LINES, *BROKEN]), "CL-1", "CH-1", "F1")
     good = parsing.accepted(parsed).orderBy("user_id", "item_id", "action").collect()
-    assert [(r["user_id"], r["item_id"], str(r["time"]), r["action"], r["rating"]) for r in good] == [
+    shown = [(r["user_id"], r["item_id"], str(r["time"]), r["action"], r["rating"]) for r in good]
+    assert shown == [
         (1, 10, "2024-01-01 00:00:01", "rating", 4.0),
         (1, 10, "2024-01-01 00:00:01", "view", None),
         (2, 20, "2024-01-02 03:04:05", "rating", 2.5),
@@ -79,10 +82,6 @@ def test_bulk_tables(spark):
     assert past.count() == 5
     same_second = past.where("user_id = 1").first()
     assert (same_second["action"], same_second["ingest_seq"]) == ("view", 2)
-    target = work_folder(spark, "compacted")
-    tables.compact_history(spark, root, target)
-    again = tables.read_history(spark, target)
-    assert again.exceptAll(past).isEmpty() and again.count() == 5
 
 
 def test_history_responses(spark):
@@ -107,7 +106,36 @@ def test_a_repeated_batch_leaves_no_duplicates(spark):
             ingest.write_batch(parsed, batch_id, root)
     assert tables.read_interactions(spark, root).count() == 4
     assert tables.read_history(spark, root).count() == 3
-    assert spark.read.parquet(f"{root}/{ingest.REJECTS}").count() == len(BROKEN)
+    assert tables.read_rejects(spark, root).count() == len(BROKEN)
+
+
+def test_compacting_keeps_both_tables(spark):
+    root, target = work_folder(spark, "loose"), work_folder(spark, "compacted")
+    bulk = parsing.accepted(parsing.parse_bulk(lines(spark, LINES), "CL-1", "CH-1", "F1"))
+    tables.append_interactions(bulk, root)
+    tables.append_history(bulk, root, F.lit(0))
+    for batch_id, text in enumerate(LINES[:3], start=1):
+        parsed = parsing.parse_messages(lines(spark, [f"CL-1,CH-2,{text}"]))
+        ingest.write_batch(parsed, batch_id, root)
+    tables.compact(spark, root, target)
+    for read in (tables.read_interactions, tables.read_history):
+        before, after = read(spark, root), read(spark, target)
+        assert after.exceptAll(before).isEmpty() and before.exceptAll(after).isEmpty()
+    assert tables.read_interactions(spark, target).count() == len(LINES) + 3
+
+
+def test_columns_are_the_canonical_ones(spark):
+    parsed = parsing.parse_messages(lines(spark, LINES))
+    for frame, schema in (
+        (parsing.accepted(parsed), schemas.INTERACTIONS),
+        (parsing.rejected(parsed), schemas.REJECTS),
+        (history.from_interactions(parsing.accepted(parsed), F.lit(1)), schemas.USER_HISTORY),
+        (history.to_cells(history.from_interactions(parsed, F.lit(1))), schemas.CELLS),
+    ):
+        expected = T.StructType.fromDDL(schema)
+        assert [(f.name, f.dataType) for f in frame.schema] == [
+            (f.name, f.dataType) for f in expected
+        ]
 
 
 def test_a_restarted_stream_goes_on_where_it_was(spark):

@@ -29,8 +29,9 @@ def root(spark):
     folder = work_folder(spark, "requests")
     upload = work_folder(spark, "upload")
     spark.createDataFrame([(line,) for line in LINES], "value string").write.text(upload)
-    rejects = requests.load_upload(spark, folder, upload, "CL-1", CHANNEL, "F1", 1)
-    assert [r["raw"] for r in rejects.collect()] == ["broken"]
+    requests.load_upload(spark, folder, upload, "CL-1", CHANNEL, "F1", 1)
+    rejects = tables.read_rejects(spark, folder).collect()
+    assert [(r["raw"], r["source"]) for r in rejects] == [("broken", "bulk")]
     rows = tables.read_interactions(spark, folder)
     for base in ("jaccard", "cosine", "als"):
         algorithm = algorithms.Algorithm(CHANNEL, f"AL-{base}", base)
