@@ -228,14 +228,19 @@ HISTORY_CTE = """latest AS (
     PARTITION BY channel_id, user_id, time, item_id ORDER BY event_id DESC) = 1)"""
 
 
-def recommendations_sql(where: str, rating: str = "rating", unseen: bool = False) -> str:
+def recommendations_sql(
+    where: str,
+    rating: str = "rating",
+    unseen: bool = False,
+    view: str = views.INTERACTIONS_SQL,
+) -> str:
     seen = (
         "WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.channel_id = r.channel_id "
         "AND k.user_id = r.user_id AND k.item_id = r.item_id)"
         if unseen
         else ""
     )
-    return f"""WITH {scored_ctes(views.INTERACTIONS_SQL, "jaccard")},
+    return f"""WITH {scored_ctes(view, "jaccard")},
 {HISTORY_CTE},
 known AS (
   SELECT channel_id, user_id, item_id,
@@ -295,19 +300,33 @@ def user_recs_exclude_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- published results ---------------------------------------------------------------------
 
+def _one_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one channel."""
+    rows = views.interactions(spark, sf_dir)
+    return rows.withColumn("channel_id", F.lit(views.ONE_CHANNEL))
+
+
+@QUERIES.add(recommendations_sql("TRUE", view=views.ONE_CHANNEL_SQL))
+def served_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recommendations from the history table and the published version of an algorithm."""
+    root = work_folder(spark, "served")
+    rows = _one_channel(spark, sf_dir)
+    tables.append_history(rows, root, F.col("event_id"))
+    algorithm = algorithms.Algorithm(views.ONE_CHANNEL, "AL-1", "jaccard")
+    algorithms.run(spark, root, rows, algorithm)
+    return algorithms.serve(spark, root, algorithm, ranking.RECOMMENDATIONS_DEFAULT)
+
+
 @QUERIES.add(
     f"""WITH {scored_ctes(views.ONE_CHANNEL_SQL, "jaccard")}
 SELECT channel_id, 'AL-1' AS algo_id, '000002' AS version, item_id, other_id, score
 FROM both_ways"""
 )
 def similarity_current_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two successful versions and a failed third one; the second is served.
-
-    All events are published as one channel.
-    """
+    """Two successful versions and a failed third one; the second is served."""
     root = work_folder(spark, "published")
     channel, algo = views.ONE_CHANNEL, "AL-1"
-    rows = views.interactions(spark, sf_dir).withColumn("channel_id", F.lit(channel))
+    rows = _one_channel(spark, sf_dir)
     for actions in (FILTERED_ACTIONS, ()):
         algorithm = algorithms.Algorithm(channel, algo, "jaccard", actions)
         algorithms.run(spark, root, rows, algorithm)
@@ -353,6 +372,25 @@ def similarity_decoded_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.similarities_from_cells(cells.similarity_cells(_published(spark, sf_dir)))
 
 
+@QUERIES.add(
+    f"""WITH {views.INTERACTIONS_SQL},
+stored AS (
+  SELECT channel_id, user_id, item_id, max(rating) AS score
+  FROM interactions WHERE action = 'rating' GROUP BY ALL)
+SELECT * FROM (
+  SELECT *, row_number() OVER (
+    PARTITION BY channel_id, user_id ORDER BY score DESC, item_id) AS rank
+  FROM stored) WHERE rank <= 5"""
+)
+def stored_recommendations_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranking of stored scores, with each user's highest ratings as the scores."""
+    rated = filters.ratings_only(views.interactions(spark, sf_dir))
+    stored = rated.groupBy("channel_id", "user_id", "item_id").agg(
+        F.max("rating").alias("score")
+    )
+    return ranking.stored_recommendations(stored, 5)
+
+
 # --- factorisation: values depend on the solver's arithmetic, so there is no SQL ----------
 
 

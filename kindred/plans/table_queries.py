@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.functions import times
+from kindred.functions import keys, text, times
 from kindred.operators import catalog, content, dashboard, history, items, jobs
-from kindred.plans import views
+from kindred.plans import requests, views
 from kindred.plans.registry import Registry
 from kindred.session import work_folder
 from kindred.sources import cells, parsing, readers, tables
@@ -56,34 +56,46 @@ def _odd_line(prefix: Column) -> Column:
     )
 
 
-def _bulk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write the events as lines of a bulk file and read the file back."""
+def _bulk_file(spark: SparkSession, sf_dir: str) -> str:
+    """Write the events as lines of a bulk file."""
     rows = views.interactions(spark, sf_dir)
     rating = F.col("rating").cast("bigint")
     good = F.concat_ws(",", *_pair(), times.seconds_text("time"), "action", rating)
     lines = rows.select(F.explode(F.array(good, _odd_line(F.lit("")))).alias("value"))
     path = work_folder(spark, "bulk")
     lines.write.text(path)
-    return readers.bulk_lines(spark, path)
+    return path
 
 
 def _parsed_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsing.parse_bulk(_bulk_lines(spark, sf_dir), "CL-1", "CH-0", "F1")
+    lines = readers.bulk_lines(spark, _bulk_file(spark, sf_dir))
+    return parsing.parse_bulk(lines, "CL-1", "CH-0", "F1")
+
+
+def _loaded_root(spark: SparkSession, sf_dir: str) -> str:
+    """Load the bulk file into tables, return their root."""
+    root = work_folder(spark, "loaded")
+    path = _bulk_file(spark, sf_dir)
+    requests.load_upload(spark, root, path, "CL-1", "CH-0", "F1", upload_ms=1)
+    return root
 
 
 def _iso(rows: DataFrame) -> DataFrame:
     return rows.withColumn("time", times.iso_text("time"))
 
 
-@QUERIES.add(
-    f"""WITH {views.INTERACTIONS_SQL}, {BULK_LINES_SQL},
+ACCEPTED_SQL = f"""{views.INTERACTIONS_SQL}, {BULK_LINES_SQL},
 accepted AS (
-  SELECT user_id, item_id, {ISO_SQL} AS time, action, rating FROM interactions
+  SELECT user_id, item_id, time, action, rating FROM interactions
   UNION ALL
-  SELECT user_id, item_id, {ISO_SQL}, 'view', NULL FROM odd WHERE kind = {LONG})
-SELECT 'CL-1' AS client_id, 'CH-0' AS channel_id, 'bulk' AS ingestion, 'F1' AS bulkfile, *
+  SELECT user_id, item_id, time, 'view', NULL FROM odd WHERE kind = {LONG})"""
+PARSED_SQL = f"""WITH {ACCEPTED_SQL}
+SELECT 'CL-1' AS client_id, 'CH-0' AS channel_id, 'bulk' AS ingestion, 'F1' AS bulkfile,
+       * REPLACE ({ISO_SQL} AS time)
 FROM accepted"""
-)
+
+
+@QUERIES.add(PARSED_SQL)
 def interactions_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _iso(parsing.accepted(_parsed_bulk(spark, sf_dir)))
 
@@ -101,6 +113,23 @@ def interactions_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.rejected(_parsed_bulk(spark, sf_dir))
 
 
+@QUERIES.add(PARSED_SQL)
+def bulk_ingest_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _iso(tables.read_interactions(spark, _loaded_root(spark, sf_dir)))
+
+
+@QUERIES.add(
+    f"""WITH {ACCEPTED_SQL}
+SELECT 'CH-0' AS channel_id, user_id, {SECONDS_SQL} AS time, item_id, action, rating
+FROM accepted
+QUALIFY row_number() OVER (
+  PARTITION BY user_id, time, item_id ORDER BY action DESC, rating DESC NULLS LAST) = 1"""
+)
+def bulk_ingest_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    past = tables.read_history(spark, _loaded_root(spark, sf_dir))
+    return past.withColumn("time", times.seconds_text("time")).drop("ingest_seq")
+
+
 MESSAGE_SQL = (
     "client_id || ',' || channel_id || ',' || CAST(user_id AS VARCHAR) || ',' || "
     f"CAST(item_id AS VARCHAR) || ',' || {SECONDS_SQL} || ',' || action"
@@ -442,6 +471,45 @@ def algo_run_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.algorithm_state(views.job_runs(spark, sf_dir))
 
 
+@QUERIES.add(
+    f"""WITH {views.CLIENTS_SQL}, {views.CHANNELS_SQL},
+made AS (
+  SELECT client_id AS of, 'CL-' || printf('%X', created_ms) AS timed_id, created_ms FROM clients
+  UNION ALL
+  SELECT channel_id, 'CH-' || printf('%X', created_ms), created_ms FROM channels)
+SELECT * FROM made"""
+)
+def timed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids made from creation times, and the times read back from the ids."""
+
+    def made(rows: DataFrame, of: str, prefix: str) -> DataFrame:
+        timed = keys.timed_id(prefix, F.col("created_ms"))
+        return rows.select(F.col(of).alias("of"), timed.alias("timed_id"))
+
+    both = made(views.clients(spark, sf_dir), "client_id", keys.CLIENT_PREFIX).unionByName(
+        made(views.channels(spark, sf_dir), "channel_id", keys.CHANNEL_PREFIX)
+    )
+    return both.withColumn("created_ms", keys.id_millis("timed_id"))
+
+
+@QUERIES.add(
+    """SELECT o_orderkey AS run_id,
+       '["' || o_orderpriority || '","' || o_orderstatus || '"]' AS cell,
+       o_orderpriority || ',' || o_orderstatus AS actions
+FROM orders"""
+)
+def action_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Action lists as typed in a form, as their JSON cell, and joined again from it."""
+    orders = views.table(spark, sf_dir, "orders")
+    typed = F.concat(F.lit(" "), "o_orderpriority", F.lit(" , "), "o_orderstatus")
+    cells_of_runs = orders.select(
+        F.col("o_orderkey").alias("run_id"),
+        text.actions_to_json(text.action_list(typed)).alias("cell"),
+    )
+    joined = text.actions_text(text.actions_from_json("cell"))
+    return cells_of_runs.withColumn("actions", joined)
+
+
 # --- items ---------------------------------------------------------------------------------
 
 

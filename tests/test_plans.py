@@ -10,7 +10,7 @@ from kindred.plans import views
 
 SF_DIR = "/root/testdata/sf0.001"
 # These write tables or fit models before they return.
-EAGER = ("als", "stream", "interactions_", "similarity_current")
+EAGER = ("als", "stream", "bulk", "interactions_", "similarity_current", "served")
 LAZY = sorted(n for n in entry_points.REGISTERED if not n.startswith(EAGER))
 
 
