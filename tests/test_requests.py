@@ -107,3 +107,16 @@ def test_streamed_and_bulk_rows_count_together(spark, root):
     rows = tables.read_interactions(spark, root)
     assert similarity.similarity(rows, "jaccard").count() == 3
     assert rows.where(F.col("ingestion") == "bulk").count() == 8
+
+
+def test_requests_read_only_what_they_ask_for(spark, root):
+    def scans(frame):
+        text = frame._jdf.queryExecution().executedPlan().toString()
+        return [line for line in text.splitlines() if "FileScan" in line]
+
+    history = scans(requests.user_history(spark, root, CHANNEL, 1))
+    assert history and all("EqualTo(user_id,1)" in line for line in history)
+    assert all("PartitionFilters: [isnotnull(channel_id" in line for line in history)
+    similar = scans(requests.similar_items(spark, root, CHANNEL, "AL-jaccard", 20, 5))
+    assert similar and all("EqualTo(item_id,20)" in line for line in similar)
+    assert all("version" in line.split("PartitionFilters")[1] for line in similar)
