@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 from kindred.operators import cooccurrence, filters, similarity
@@ -81,6 +82,22 @@ def test_measured_sizes_decide_at_run_time(spark, broadcast_limit):
     assert final.count("SortMergeJoin") == 1 and "LeftOuter" not in final
 
 
+def test_a_hot_user_is_found_small_and_cut(spark, broadcast_limit):
+    """The list of hot users is broadcast and the rows stay with the tasks that made them."""
+    broadcast_limit("150000")
+    baskets = views.baskets(spark, "/root/testdata/sf0.01")
+    one_third = F.when(F.col("user_id") % 3 == 0, -1).otherwise(F.col("user_id"))
+    pairs = cooccurrence.user_items(baskets.withColumn("user_id", one_third), by=())
+    frame = cooccurrence.same_user_pairs(pairs, by=())
+    found = frame.where("user_id = -1").count()
+    items = pairs.where("user_id = -1").count()
+    assert found == items * (items - 1) // 2
+    counts = cooccurrence.pair_counts(pairs, by=())
+    counts.collect()
+    final = plan(counts).split("== Initial Plan ==")[0]
+    assert "LeftOuter, BuildRight" in final and "AQEShuffleRead local" in final
+
+
 def test_top_k_cuts_groups_before_the_shuffle(spark):
     text = plan(entry_points.queries()["similar_items_jaccard"](spark, SF_DIR))
     assert "WindowGroupLimit" in text

@@ -49,7 +49,11 @@ def accumulate(known, similar):
 def test_matches_accumulating_item_by_item(spark, users_per_part):
     random.seed(11)
     similar = {
-        i: [(o, random.choice([0, 3, 250, 900])) for o in range(12) if o != i and random.random() < 0.6]
+        i: [
+            (o, random.choice([0, 3, 250, 900]))
+            for o in range(12)
+            if o != i and random.random() < 0.6
+        ]
         for i in range(12)
     }
     users = {
@@ -66,7 +70,9 @@ def test_matches_accumulating_item_by_item(spark, users_per_part):
     joined = recommend.contributions(items, similarities, users_per_part=users_per_part)
     rows = recommend.candidate_scores(joined).collect()
     expected = {
-        (u, o): score for u, known in users.items() for o, score in accumulate(known, similar).items()
+        (u, o): score
+        for u, known in users.items()
+        for o, score in accumulate(known, similar).items()
     }
     assert {(r["user_id"], r["item_id"]): r["score"] for r in rows} == expected
 
@@ -80,7 +86,8 @@ def test_latest_rating_counts_and_any_action_is_history(spark):
             ("CH-1", 1, "2024-01-01 00:00:02", 20, "view", None),
             ("CH-1", 1, "2024-01-01 00:00:02", 30, "buy", 7.0),
         ],
-        "channel_id string, user_id bigint, time string, item_id bigint, action string, rating double",
+        "channel_id string, user_id bigint, time string, item_id bigint, action string, "
+        "rating double",
     ).withColumn("time", F.to_timestamp("time"))
     rows = recommend.history_items(frame).collect()
     assert {r["item_id"]: r["rating"] for r in rows} == {10: 4.0, 20: None, 30: None}
