@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import bpe, mixing, quality_rules, url_filter
+from kindred.llm import bpe, mixing, quality_classifier, quality_rules, toxicity, url_filter
 from kindred.plans.registry import Registry
 
 QUERIES = Registry()
@@ -155,3 +155,17 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@QUERIES.add()
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    )
+
+
+@QUERIES.add()
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    )
