@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import bpe, mixing, quality_classifier, quality_rules, toxicity, url_filter
+from kindred.llm import (
+    bpe,
+    line_dedup,
+    mixing,
+    quality_classifier,
+    quality_rules,
+    toxicity,
+    url_filter,
+)
 from kindred.plans.registry import Registry
 
 QUERIES = Registry()
@@ -169,3 +177,32 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     )
+
+
+@QUERIES.add(
+    f"""
+    WITH split AS (
+        SELECT row_no, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos
+        FROM (SELECT row_number() OVER () AS row_no, doc_id,
+                     string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)),
+    keyed AS (
+        SELECT *, translate(trim(line, {SPACE_SQL}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                            'abcdefghijklmnopqrstuvwxyz') AS key FROM split),
+    shared AS (
+        SELECT key, min(doc_id) AS owner FROM keyed WHERE length(key) >= 10
+        GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+    marked AS (
+        SELECT k.*, coalesce(owner <> doc_id, FALSE) AS dropped
+        FROM keyed k LEFT JOIN shared USING (key))
+    SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines,
+           count(*) FILTER (dropped) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), ''))
+               AS kept_sha256
+    FROM marked GROUP BY row_no
+    """
+)
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.drop_repeated_lines(docs).select(
+        "doc.doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256")
+    )
