@@ -171,7 +171,7 @@ def dropped_lines(docs: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
     built = shard(keys).groupBy("shard").applyInPandas(build_shard, SHARD_COLUMNS)
     arrays = written(built, "line-shards")
     hits = shard(keys).groupBy("shard").agg(F.sum("n").alias("hits"))
-    others = (total.get["lines"] or 0) / shards
+    others = (total.get.get("lines") or 0) / shards
     parts = written(
         hits.select("shard", F.ceil((F.col("hits") + F.lit(others)) / GROUP_PROBES).alias("parts")),
         "line-parts",

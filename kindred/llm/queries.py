@@ -9,6 +9,7 @@ from kindred.llm import (
     bpe,
     line_dedup,
     mixing,
+    neighbours,
     quality_classifier,
     quality_rules,
     toxicity,
@@ -206,3 +207,8 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_repeated_lines(docs).select(
         "doc.doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256")
     )
+
+
+@QUERIES.add()
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
