@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kindred.llm import (
     bpe,
+    html_extract,
     line_dedup,
     mixing,
     neighbours,
@@ -212,3 +213,9 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @QUERIES.add()
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@QUERIES.add()
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html_extract.extract(table(spark, sf_dir, "pages"))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
