@@ -10,6 +10,7 @@ from kindred.llm import (
     html_extract,
     line_dedup,
     mixing,
+    near_dedup,
     neighbours,
     quality_classifier,
     quality_rules,
@@ -219,3 +220,8 @@ def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = html_extract.extract(table(spark, sf_dir, "pages"))
     return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@QUERIES.add()
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4)
