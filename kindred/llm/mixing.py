@@ -133,8 +133,8 @@ def streams(sized: DataFrame, goals: DataFrame) -> DataFrame:
         .withColumn("first", F.col("offset") + F.col("upto") - F.col("size"))
         .withColumn("end", F.col("offset") + F.col("upto"))
         .select(
-            "doc_id", "size", "place", "piece", "number", "first", "end", "source_size", "target",
-            "quota",
+            "doc_id", "source", "size", "place", "piece", "number", "first", "end", "source_size",
+            "target", "quota",
         )
     )
 

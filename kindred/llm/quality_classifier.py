@@ -13,16 +13,15 @@ texts without any shuffle, with one broadcast array of 2^18 weights.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.arrow import map_slices
 from kindred.llm.learning import agreed, features_of, in_fold, sample, sigmoid
 from kindred.llm.words import LOWER, UPPER, WORD
 
@@ -200,23 +199,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", size: int
     return fit([row for _, _, row in rows], np.array([label for _, label, _ in rows], int))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` that scoring needs (doc_id, text) mapped to doc_id and score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def score(spark: SparkSession, model: Model, text: Column) -> Column:
+    """The score of each text; the model is broadcast."""
+    shared = spark.sparkContext.broadcast(model)
 
-    def make():
-        find, ready = features(), shared.value
+    @F.pandas_udf("double")
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        ready = shared.value
+        find = features()
+        for texts in batches:
+            yield pd.Series([ready.score(find(text or "")) for text in texts], dtype=float)
 
-        def rows(batch: pa.RecordBatch) -> dict:
-            texts = batch["text"].to_pylist()
-            return {
-                "doc_id": batch["doc_id"],
-                "score": [ready.score(find(text or "")) for text in texts],
-            }
-
-        return rows
-
-    return map_slices(docs.select("doc_id", "text"), make, "doc_id bigint, score double")
+    return scores(text)
 
 
 def classify(
@@ -229,7 +223,8 @@ def classify(
     class every score is the same, on the side of the class there is. Repeated rows get the same
     score, an empty table an empty result, and other columns are not read.
     """
-    scored = score(docs, train(docs, labels, label))
+    model = train(docs, labels, label)
+    scored = docs.select("doc_id", score(docs.sparkSession, model, F.col("text")).alias("score"))
     return scored.select(
         "doc_id",
         in_fold(F.col("doc_id"), FOLDS, HELD_OUT).alias("held_out"),
