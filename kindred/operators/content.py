@@ -32,7 +32,7 @@ def numeric_keys(attributes: Attributes) -> list[str]:
 def _beside(rows: DataFrame, summary: DataFrame, by: Sequence[str]) -> DataFrame:
     """Put a summary with one row per group (or one row in all) beside each row."""
     if by:
-        return rows.join(skew.broadcast_if_small(summary), list(by), "left")
+        return rows.join(skew.measured(summary, by), list(by), "left")
     names = summary.columns
     # One row: a scalar subquery instead of a join.
     only = summary.select(F.struct(*names).alias("only")).scalar()
@@ -66,7 +66,7 @@ def medians(
     )
     low, high = F.col("bracket")[0], F.col("bracket")[1]
     counts = (
-        melted.join(skew.broadcast_if_small(brackets), group)
+        melted.join(skew.measured(brackets, group), group)
         .where(F.col("value") <= high)
         .groupBy(*group, "n", F.when(F.col("value") >= low, F.col("value")).alias("value"))
         .agg(F.count(F.lit(1)).alias("rows"))

@@ -112,22 +112,26 @@ def pair_table(
 ) -> DataFrame:
     """``n12, n1, n2`` per item pair, and ``total`` where a score needs it.
 
-    The item counts join after the pairs are counted: they depend on the item alone, so the
-    pair shuffle need not carry them, and the small table is broadcast when its measured size
-    allows.
+    The item counts join the rows of users and items before these are paired, and each pair
+    carries its two counts: the pairs, by far the largest table, are shuffled once, when they
+    are counted.
     """
     pairs = user_items(interactions, by)
     counts = item_counts(pairs, by)
     if total:
         counts = with_total(counts, by)
-    counts = skew.measured(counts, [*by, "item_id"])
-    second = counts.select(
-        *by, F.col("item_id").alias("other_id"), F.col("users").alias("n2")
-    )
+    carry = ["users", "total"] if total else ["users"]
+    known = pairs.join(skew.measured(counts, [*by, "item_id"]), [*by, "item_id"])
+    same = [F.max("total").alias("total")] if total else []
     return (
-        pair_counts(pairs, by, block_items)
-        .join(counts.withColumnRenamed("users", "n1"), [*by, "item_id"])
-        .join(second, [*by, "other_id"])
+        same_user_pairs(known, by, carry=carry, block_items=block_items)
+        .groupBy(*by, "item_id", "other_id")
+        .agg(
+            F.count(F.lit(1)).alias("n12"),
+            F.max("users").alias("n1"),
+            F.max("other_users").alias("n2"),
+            *same,
+        )
     )
 
 

@@ -11,9 +11,8 @@ from kindred.functions import times
 from kindred.operators import filters, ranking
 from kindred.operators.cooccurrence import BY_CHANNEL
 
-# Buckets a count by field returns, rows the data browser shows, and the
-# relative error of approximate distinct counts.
-TOP_TERMS = 10
+# Rows the data browser shows, and the relative error of approximate distinct
+# counts.
 BROWSER_ROWS = 100
 DISTINCT_ERROR = 0.01
 
@@ -27,7 +26,8 @@ def daily_counts(
 ) -> DataFrame:
     """Rows per UTC day, optionally of one ingestion type."""
     rows = filters.of_ingestion(rows, ingestion)
-    return rows.groupBy(*by, times.day_text("time").alias("day")).agg(_hits())
+    counts = rows.groupBy(*by, F.to_date("time").alias("day")).agg(_hits())
+    return counts.withColumn("day", times.day_text("day"))
 
 
 def fill_days(counts: DataFrame, by: Sequence[str] = BY_CHANNEL) -> DataFrame:
@@ -42,10 +42,12 @@ def fill_days(counts: DataFrame, by: Sequence[str] = BY_CHANNEL) -> DataFrame:
 
 
 def counts_by(
-    rows: DataFrame, field: str, by: Sequence[str] = BY_CHANNEL, size: int = TOP_TERMS
+    rows: DataFrame, field: str, by: Sequence[str] = BY_CHANNEL, size: int | None = None
 ) -> DataFrame:
-    """Rows per value of a field: the ``size`` most frequent ones of each channel."""
+    """Rows per value of a field: all values, or the ``size`` most frequent of each channel."""
     counts = rows.where(F.col(field).isNotNull()).groupBy(*by, field).agg(_hits())
+    if size is None:
+        return counts
     return ranking.top_k(counts, by, [F.col("hits").desc(), F.col(field)], size).drop("rank")
 
 
@@ -70,15 +72,13 @@ def facets(rows: DataFrame) -> DataFrame:
         F.grouping("ingestion") == 0, "ingestion"
     )
     named = facet.when(F.grouping("action") == 0, "action").otherwise("total")
-    days = rows.select(
-        "channel_id", "ingestion", "action", times.day_text("time").alias("day")
-    )
+    days = rows.select("channel_id", "ingestion", "action", F.to_date("time").alias("day"))
     sets = [["channel_id", name] for name in ("day", "ingestion", "action")] + [["channel_id"]]
     return (
         days.groupingSets(sets, "channel_id", "day", "ingestion", "action")
         .agg(
             named.alias("facet"),
-            F.coalesce("day", "ingestion", "action").alias("value"),
+            F.coalesce(times.day_text("day"), "ingestion", "action").alias("value"),
             _hits(),
             F.count_if(F.col("ingestion") == "stream").alias("stream_hits"),
         )

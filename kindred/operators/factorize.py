@@ -3,43 +3,56 @@
 from __future__ import annotations
 
 from pyspark.ml.recommendation import ALS, ALSModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.operators import cooccurrence, filters
+from kindred.session import work_folder
 
 # The model's size and weights.
 RANK = 10
 ITERATIONS = 10
 REGULARISATION = 0.01
 IMPLICIT_ALPHA = 0.01
-LARGEST_ID = 2**31 - 1
 
+def dense_ids(rows: DataFrame, name: str) -> DataFrame:
+    """``name`` and a dense number from 0 for each of its values.
 
-def _int_id(name: str):
-    """The model takes 32-bit ids; a larger one stops the job rather than wrapping round."""
-    column = F.col(name)
-    fits = (column >= -LARGEST_ID - 1) & (column <= LARGEST_ID)
-    message = F.concat(F.lit(f"{name} does not fit 32 bits: "), column)
-    return F.when(fits, column.cast("int")).otherwise(F.raise_error(message).cast("int"))
+    The model takes 32-bit ids. Values are numbered inside their partitions, and the counts of
+    the partitions before, one row each, move them apart. The values are written first, so that
+    both steps see the same partitions.
+    """
+    spark = rows.sparkSession
+    path = work_folder(spark, f"ids-{name}")
+    distinct = rows.select(name).distinct()
+    placed = distinct.withColumns(
+        {"part": F.spark_partition_id(), "row": F.monotonically_increasing_id()}
+    )
+    placed.write.parquet(path)
+    stored = spark.read.schema(placed.schema).parquet(path)
+    counts = stored.groupBy("part").agg(F.count("*").alias("n"), F.min("row").alias("first"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(
+        "part", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")
+    )
+    number = F.col("offset") + F.col("row") - F.col("first")
+    return stored.join(offsets, "part").select(
+        name, number.cast("int").alias(name.replace("_id", "_number"))
+    )
 
 
 def ratings(interactions: DataFrame) -> DataFrame:
-    """Distinct (user, item, rating) with 32-bit ids. The rows must be of one channel."""
+    """Distinct (user, item, rating). The rows must be of one channel."""
     rows = cooccurrence.user_item_ratings(filters.ratings_only(interactions), by=())
-    return rows.select(
-        _int_id("user_id").alias("user_id"),
-        _int_id("item_id").alias("item_id"),
-        F.col("rating").cast("float").alias("rating"),
-    )
+    return rows.select("user_id", "item_id", F.col("rating").cast("float").alias("rating"))
 
 
 def fit(rows: DataFrame, implicit: bool = False, seed: int = 0) -> ALSModel:
     # One block per core of the cluster, and not fewer than the library's default.
     blocks = max(10, rows.sparkSession.sparkContext.defaultParallelism)
     als = ALS(
-        userCol="user_id",
-        itemCol="item_id",
+        userCol="user_number",
+        itemCol="item_number",
         ratingCol="rating",
         rank=RANK,
         maxIter=ITERATIONS,
@@ -56,10 +69,12 @@ def fit(rows: DataFrame, implicit: bool = False, seed: int = 0) -> ALSModel:
 def predictions(interactions: DataFrame, implicit: bool = False, seed: int = 0) -> DataFrame:
     """``(user_id, item_id, score)`` for every observed pair."""
     rows = ratings(interactions)
-    observed = rows.select("user_id", "item_id").distinct()
+    for name in ("user_id", "item_id"):
+        rows = rows.join(dense_ids(rows, name), name)
+    observed = rows.select("user_id", "item_id", "user_number", "item_number").distinct()
     scored = fit(rows, implicit, seed).transform(observed)
     return scored.select(
-        F.col("user_id").cast("bigint"),
-        F.col("item_id").cast("bigint"),
+        "user_id",
+        "item_id",
         F.col("prediction").cast("double").alias("score"),
     )

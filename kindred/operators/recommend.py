@@ -78,6 +78,11 @@ def recommendations(
     return ranking.top_k(scored, [*by, "user_id"], order, size)
 
 
+# Most items of one user that are sent to the scan of the similarities, and most that become a
+# filter on it.
+FEW_ITEMS, FILTER_ITEMS = 100_000, 1_000
+
+
 def recommendations_for(
     history: DataFrame,
     similarities: DataFrame,
@@ -85,11 +90,18 @@ def recommendations_for(
 ) -> DataFrame:
     """The best items of a single user, whose history is all ``history`` holds.
 
-    A plain join: the user's items are the small side, and the similarities are scanned
-    where they lie instead of being shuffled for one request.
+    The user's items are read first, as for any request. A user with ``FEW_ITEMS`` or fewer has
+    them broadcast, so the similarities are scanned where they lie; as a filter, a few items also
+    let the scan skip row groups. Beyond that both sides join by shuffle.
     """
     items = history_items(history, by=())
-    joined = items.join(similarities, "item_id")
+    found = items.limit(FEW_ITEMS + 1).collect()
+    if len(found) <= FEW_ITEMS:
+        items = F.broadcast(items.sparkSession.createDataFrame(found, items.schema))
+    if len(found) <= FILTER_ITEMS:
+        wanted = [row["item_id"] for row in found]
+        similarities = similarities.where(F.col("item_id").isin(wanted))
+    joined = similarities.join(items, "item_id")
     return (
         candidate_scores(joined, by=())
         .orderBy(F.col("score").desc_nulls_last(), "item_id")

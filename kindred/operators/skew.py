@@ -12,10 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Most rows a summary may have to be broadcast.
-SMALL_ROWS = 100_000
-
-
 def measured(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Put an aggregate behind a shuffle of its own, by the keys it is joined on.
 
@@ -65,19 +61,6 @@ def spread(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.repartition(partitions, *keys)
 
 
-def broadcast_if_small(summary: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
-    """Broadcast a summary whose size has been checked; a larger one joins by shuffle.
-
-    For joining a table with a summary of few keys, such as one row per channel: shuffling
-    the table by those keys would put a large channel into one partition. The summary is
-    computed here, once; no more than ``limit`` of its rows come to the driver.
-    """
-    rows = summary.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return summary
-    return F.broadcast(summary.sparkSession.createDataFrame(rows, summary.schema))
-
-
 def salted_join(
     large: DataFrame, other: DataFrame, keys: Sequence[str], spread_by: str, limit: int
 ) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -18,9 +20,21 @@ SETTINGS = {
 }
 
 
+CHECKPOINT_DIR = "spark.checkpoint.dir"
+
+
 def configure(spark: SparkSession) -> SparkSession:
+    """Set what every job relies on.
+
+    Work folders lie in ``spark.checkpoint.dir``, a folder that all executors share. A session
+    that runs in one process and has none gets one folder of this machine for its lifetime.
+    """
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    if not spark.conf.get(CHECKPOINT_DIR, None) and spark.sparkContext.isLocal:
+        folder = tempfile.mkdtemp(prefix="run-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.conf.set(CHECKPOINT_DIR, folder)
     return spark
 
 
@@ -46,13 +60,9 @@ def local_session(
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder for written tables and stream checkpoints.
 
-    It lies in the shared folder named by ``spark.checkpoint.dir``. Only a local session
-    without that setting gets a folder of its own machine.
+    It lies in the shared folder named by ``spark.checkpoint.dir``.
     """
-    context = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    root = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="run-")
+        raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder all executors can reach")
     return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
