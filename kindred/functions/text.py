@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: the leading part of a text that counts as its number ("12 cm" is 12).
+# What counts as a rating, and the leading part of a text that counts as its
+# number ("12 cm" is 12).
+PLAIN_NUMBER = r"^[+-]?(\d{1,15}(\.\d{0,15})?|\.\d{1,15})$"
 LEADING_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?"
 
 
@@ -46,7 +48,12 @@ def leading_number(text: Column | str) -> Column:
     return F.when(found != "", found).cast("double")
 
 
+def number(text: Column) -> Column:
+    """A finite number written out with digits and at most one point; NULL for anything else."""
+    return F.when(F.trim(text).rlike(PLAIN_NUMBER), F.trim(text)).try_cast("double")
+
+
 def plain_number(value: Column) -> Column:
     """A double as text, without the fraction when it is whole."""
-    whole = value.cast("bigint")
+    whole = value.try_cast("bigint")
     return F.when(value == whole, whole.cast("string")).otherwise(value.cast("string"))

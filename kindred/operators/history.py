@@ -81,12 +81,14 @@ def to_cells(history: DataFrame) -> DataFrame:
 
 def from_cells(cells: DataFrame) -> DataFrame:
     """History rows back from cells."""
-    action, rating = keys.part("value", 0), keys.part("value", 1)
+    # Only a rating carries its number; any other action may hold colons of its own.
+    number = text.number(F.regexp_extract("value", f"^{filters.RATING_ACTION}:(.*)$", 1))
+    action = F.when(number.isNotNull(), filters.RATING_ACTION).otherwise(F.col("value"))
     return cells.where(F.col("family") == "i").select(
         keys.part("rowkey", 0).alias("channel_id"),
         keys.part("rowkey", 1).cast("bigint").alias("user_id"),
         F.timestamp_seconds(keys.part("qualifier", 0).cast("bigint")).alias("time"),
         keys.part("qualifier", 1).cast("bigint").alias("item_id"),
         action.alias("action"),
-        rating.cast("double").alias("rating"),
+        number.alias("rating"),
     )

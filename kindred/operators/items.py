@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kindred import schemas
 from kindred.functions import keys, text, times
 from kindred.operators import dashboard, filters
 
@@ -16,40 +17,51 @@ NUMERIC, CATEGORICAL = "numeric", "categorical"
 # Declared attributes: key -> (label, type).
 Attributes = Mapping[str, tuple[str, str]]
 
-# A channel declares its attributes by hand; more than this is not a schema.
-MAX_ATTRIBUTES = 5_000
+SUBMISSION = ("channel_id", "item_id", "seq")
 
 
 def declared_attributes(schema_rows: DataFrame, channel: str) -> dict[str, tuple[str, str]]:
-    """The attributes of one channel, from the attribute table."""
-    rows = (
-        filters.of_channel(schema_rows, channel)
-        .select("key", "name", "type")
-        .limit(MAX_ATTRIBUTES + 1)
-        .collect()
-    )
-    if len(rows) > MAX_ATTRIBUTES:
-        raise ValueError(f"channel {channel} declares more than {MAX_ATTRIBUTES} attributes")
+    """The attributes of one channel, from the attribute table: the columns of its typed items."""
+    rows = filters.of_channel(schema_rows, channel).select("key", "name", "type").collect()
     return {row["key"]: (row["name"], row["type"]) for row in rows}
 
 
-def _undeclared(attributes: Attributes) -> Column:
-    names = F.map_keys("attributes")
-    return F.array_sort(F.array_except(names, F.array(*[F.lit(key) for key in attributes])))
+def declaration(spark: SparkSession, channel: str, attributes: Attributes) -> DataFrame:
+    """Attribute table rows for one channel."""
+    rows = [(channel, key, name, kind) for key, (name, kind) in attributes.items()]
+    return spark.createDataFrame(rows, schemas.ATTRIBUTES)
+
+
+def _undeclared(submissions: DataFrame, declared: DataFrame) -> DataFrame:
+    """Submissions with the keys that their channel's attribute table lacks."""
+    used = submissions.select(*SUBMISSION, F.explode(F.map_keys("attributes")).alias("key"))
+    known = declared.select("channel_id", "key")
+    return (
+        used.join(known, ["channel_id", "key"], "left_anti")
+        .groupBy(*SUBMISSION)
+        .agg(F.array_join(F.sort_array(F.collect_set("key")), ",").alias("undeclared"))
+    )
+
 
+def valid(submissions: DataFrame, declared: DataFrame) -> DataFrame:
+    """Submissions whose attributes are all in the attribute table."""
+    return submissions.join(_undeclared(submissions, declared), [*SUBMISSION], "left_anti")
 
-def valid(submissions: DataFrame, attributes: Attributes) -> DataFrame:
-    """Submissions whose attributes are all declared."""
-    return submissions.where(F.size(_undeclared(attributes)) == 0)
 
+def accepted(
+    submissions: DataFrame, declared: DataFrame, attributes: Attributes
+) -> DataFrame:
+    """Typed rows of submissions whose attributes are all declared."""
+    return typed(valid(submissions, declared), attributes)
 
-def accepted(submissions: DataFrame, attributes: Attributes) -> DataFrame:
-    """Typed rows of submissions whose attributes are all declared.
+
+def typed(submissions: DataFrame, attributes: Attributes) -> DataFrame:
+    """Submissions with one column per attribute.
 
     Submissions carry ``channel_id, item_id, seq`` and an ``attributes`` map of texts; a
     numeric attribute is the number its text starts with.
     """
-    typed = [
+    columns = [
         (
             text.leading_number(F.col("attributes")[key])
             if kind == NUMERIC
@@ -57,15 +69,12 @@ def accepted(submissions: DataFrame, attributes: Attributes) -> DataFrame:
         ).alias(key)
         for key, (_, kind) in attributes.items()
     ]
-    return valid(submissions, attributes).select("channel_id", "item_id", "seq", *typed)
+    return submissions.select(*SUBMISSION, *columns)
 
 
-def rejected(submissions: DataFrame, attributes: Attributes) -> DataFrame:
+def rejected(submissions: DataFrame, declared: DataFrame) -> DataFrame:
     """Submissions with an undeclared attribute: the whole record is refused."""
-    unknown = _undeclared(attributes)
-    return submissions.where(F.size(unknown) > 0).select(
-        "channel_id", "item_id", "seq", F.array_join(unknown, ",").alias("undeclared")
-    )
+    return _undeclared(submissions, declared)
 
 
 def latest(typed: DataFrame, attributes: Attributes) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred import schemas
@@ -28,28 +28,42 @@ def history_cells(runs: DataFrame) -> DataFrame:
     )
 
 
-def history(cells: DataFrame) -> DataFrame:
-    """Finished runs with their durations."""
+def runs_from_cells(cells: DataFrame) -> DataFrame:
+    """Runs back from their JSON cells."""
     run = F.from_json("value", schemas.JOB_HISTORY_JSON)
-    start, end = F.col("run.startTime").cast("bigint"), F.col("run.endTime").cast("bigint")
     parsed = cells.where(F.col("family") == "jobhistory").select("rowkey", run.alias("run"))
     return parsed.select(
         keys.part("rowkey", 0).alias("channel_id"),
         keys.part("rowkey", 1).alias("algo_id"),
-        F.col("run.job").alias("job"),
-        F.coalesce("run.outcome", F.lit("NA")).alias("outcome"),
+        F.col("run.job").alias("run_id"),
+        F.col("run.startTime").cast("bigint").alias("start_ms"),
+        F.col("run.endTime").cast("bigint").alias("end_ms"),
+        F.col("run.outcome").alias("outcome"),
         F.col("run.output").alias("output"),
-        start.alias("start_ms"),
-        end.alias("end_ms"),
-        ((end - start) / 1000).cast("bigint").alias("seconds"),
-        times.humanised(end - start).alias("took"),
     )
 
 
-def history_of(cells: DataFrame, channel: str, algo: str) -> DataFrame:
+def history(runs: DataFrame) -> DataFrame:
+    """Finished runs with their durations; ``rank`` numbers an algorithm's runs, newest first."""
+    took = F.col("end_ms") - F.col("start_ms")
+    newest = Window.partitionBy("channel_id", "algo_id").orderBy(F.col("end_ms").desc(), "job")
+    return runs.select(
+        "channel_id",
+        "algo_id",
+        F.col("run_id").cast("string").alias("job"),
+        F.coalesce("outcome", F.lit("NA")).alias("outcome"),
+        "output",
+        "start_ms",
+        "end_ms",
+        (took / 1000).cast("bigint").alias("seconds"),
+        times.humanised(took).alias("took"),
+    ).withColumn("rank", F.row_number().over(newest).cast("bigint"))
+
+
+def history_of(runs: DataFrame, channel: str, algo: str) -> DataFrame:
     """One algorithm's finished runs, newest first."""
-    mine = cells.where(F.col("rowkey") == f"{channel}:{algo}")
-    return history(mine).orderBy(F.col("end_ms").desc(), "job")
+    mine = runs.where((F.col("channel_id") == channel) & (F.col("algo_id") == algo))
+    return history(mine).orderBy("rank")
 
 
 def algorithm_state(runs: DataFrame, now_ms: Column | None = None) -> DataFrame:

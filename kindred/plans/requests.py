@@ -38,6 +38,11 @@ def compare_similar_items(
     spark: SparkSession, root: str, channel: str, algos: Sequence[str], item: int
 ) -> DataFrame:
     """One item's similar items side by side for several algorithms."""
+    if not algos:
+        empty = tables.read_results(spark, root, tables.SIMILARITY).limit(0)
+        return ranking.compare_algorithms(empty).select(
+            "algo_id", F.col("other_id").alias("item"), "score", "rank"
+        )
     of_item = [
         _current(spark, root, tables.SIMILARITY, channel, algo).where(F.col("item_id") == item)
         for algo in algos

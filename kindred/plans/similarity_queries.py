@@ -290,12 +290,10 @@ def user_recs_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recommend.recommendations(*_history_and_similarity(spark, sf_dir))
 
 
-@QUERIES.add(recommendations_sql("action = 'rating'", unseen=True))
+@QUERIES.add(recommendations_sql("TRUE", unseen=True))
 def user_recs_exclude_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     past, similarities = _history_and_similarity(spark, sf_dir)
-    return recommend.recommendations(
-        filters.ratings_only(past), similarities, exclude_seen=True
-    )
+    return recommend.recommendations(past, similarities, exclude_seen=True)
 
 
 # --- published results ---------------------------------------------------------------------
@@ -391,21 +389,34 @@ def stored_recommendations_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.stored_recommendations(stored, 5)
 
 
-# --- factorisation: values depend on the solver's arithmetic, so there is no SQL ----------
+# --- factorisation: values depend on the solver's arithmetic, so SQL tells the observed pairs
+# --- and that each score is in the range that ratings from 1 to 5 allow
 
 
-@QUERIES.add()
+def _als_sql() -> str:
+    return f"""WITH {views.ONE_CHANNEL_SQL}
+SELECT DISTINCT user_id, item_id, TRUE AS in_range FROM interactions
+WHERE action = 'rating' AND rating IS NOT NULL"""
+
+
+def _in_range(scored: DataFrame, low: float, high: float) -> DataFrame:
+    return scored.select(
+        "user_id", "item_id", F.col("score").between(low, high).alias("in_range")
+    )
+
+
+@QUERIES.add(_als_sql())
 def als_explicit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return factorize.predictions(views.interactions(spark, sf_dir))
+    return _in_range(factorize.predictions(_one_channel(spark, sf_dir)), -1, 7)
 
 
-@QUERIES.add()
+@QUERIES.add(_als_sql())
 def als_implicit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return factorize.predictions(views.interactions(spark, sf_dir), implicit=True)
+    return _in_range(factorize.predictions(_one_channel(spark, sf_dir), implicit=True), -1, 4)
 
 
 @QUERIES.add()
 def als_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best stored predictions of every user."""
-    stored = factorize.predictions(views.interactions(spark, sf_dir))
+    stored = factorize.predictions(_one_channel(spark, sf_dir))
     return ranking.stored_recommendations(stored, by=())

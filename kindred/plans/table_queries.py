@@ -21,6 +21,10 @@ DAY_SQL = "strftime(time, '%Y-%m-%d')"
 
 # --- ingestion -----------------------------------------------------------------------------
 
+# Ratings that are no finite plain numbers, by event_id // 6 % 5.
+NO_RATINGS = ("many", "NaN", "Infinity", "1e300", "4d")
+NO_RATING_SQL = f"({list(NO_RATINGS)!r})[event_id // 6 % {len(NO_RATINGS)} + 1]"
+
 # Every event gives one good line and one line of these kinds, by event_id % 6.
 BAD_USER, SHORT, BAD_TIME, EMPTY, LONG, BAD_RATING = range(6)
 BULK_LINES_SQL = f"""lines AS (
@@ -33,7 +37,7 @@ odd AS (
                  WHEN {BAD_TIME} THEN pair || '2024-13-45 00:00:00,view'
                  WHEN {EMPTY} THEN ''
                  WHEN {LONG} THEN pair || {SECONDS_SQL} || ',view,3,more'
-                 ELSE pair || {SECONDS_SQL} || ',rating,many' END AS raw
+                 ELSE pair || {SECONDS_SQL} || ',rating,' || {NO_RATING_SQL} END AS raw
   FROM lines)"""
 
 
@@ -45,6 +49,8 @@ def _odd_line(prefix: Column) -> Column:
     """A line of the kind the event's number asks for, after some leading fields."""
     time, kind = times.seconds_text("time"), F.col("event_id") % 6
     pair = F.concat_ws(",", *_pair())
+    ratings = F.array(*[F.lit(rating) for rating in NO_RATINGS])
+    no_rating = F.get(ratings, (F.floor(F.col("event_id") / 6) % len(NO_RATINGS)).cast("int"))
     return (
         F.when(kind == BAD_USER, F.concat(prefix, F.lit("u"), pair, F.lit(","), time,
                                           F.lit(",view")))
@@ -52,7 +58,7 @@ def _odd_line(prefix: Column) -> Column:
         .when(kind == BAD_TIME, F.concat(prefix, pair, F.lit(",2024-13-45 00:00:00,view")))
         .when(kind == EMPTY, F.lit(""))
         .when(kind == LONG, F.concat(prefix, pair, F.lit(","), time, F.lit(",view,3,more")))
-        .otherwise(F.concat(prefix, pair, F.lit(","), time, F.lit(",rating,many")))
+        .otherwise(F.concat(prefix, pair, F.lit(","), time, F.lit(",rating,"), no_rating))
     )
 
 
@@ -184,6 +190,73 @@ def stream_ingest_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@QUERIES.add(
+    f"""WITH {views.INTERACTIONS_SQL}, {BULK_LINES_SQL}
+SELECT CASE kind WHEN {EMPTY} THEN '' ELSE 'CL-1,' || channel_id || ',' || raw END AS raw,
+       CASE kind WHEN {BAD_USER} THEN 'user is not a number'
+                 WHEN {SHORT} THEN 'too few fields'
+                 WHEN {BAD_TIME} THEN 'time is not a time'
+                 WHEN {EMPTY} THEN 'too few fields'
+                 ELSE 'rating is not a number' END AS reason, 'stream' AS source
+FROM odd WHERE kind <> {LONG}"""
+)
+def stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.read_rejects(spark, _streamed_root(spark, sf_dir))
+
+
+def _both_root(spark: SparkSession, sf_dir: str) -> str:
+    """Load the bulk file, then stream the messages into the same tables, twice the odd lines:
+    a second stream with a checkpoint of its own."""
+    root = _streamed_root(spark, sf_dir)
+    path = _bulk_file(spark, sf_dir)
+    requests.load_upload(spark, root, path, "CL-1", "CH-0", "F1", upload_ms=1)
+    rows = views.interactions(spark, sf_dir)
+    prefix = F.concat_ws(",", "client_id", "channel_id", F.lit(""))
+    rows.select(_odd_line(prefix).alias("value")).write.text(f"{root}/more")
+    more = readers.message_files(spark, f"{root}/more")
+    ingest.ingest(more, root, f"{root}/more-checkpoint", available_now=True).awaitTermination()
+    return root
+
+
+BOTH_SQL = f"""{STREAMED_SQL},
+again AS (
+  SELECT client_id, channel_id, 'stream' AS ingestion, CAST(NULL AS VARCHAR) AS bulkfile,
+         user_id, item_id, time, 'view' AS action, CAST(NULL AS DOUBLE) AS rating
+  FROM odd WHERE kind = {LONG}),
+loaded AS (
+  SELECT 'CL-1' AS client_id, 'CH-0' AS channel_id, 'bulk' AS ingestion, 'F1' AS bulkfile,
+         user_id, item_id, time, action, rating FROM interactions
+  UNION ALL
+  SELECT 'CL-1', 'CH-0', 'bulk', 'F1', user_id, item_id, time, 'view', NULL
+  FROM odd WHERE kind = {LONG})"""
+
+
+@QUERIES.add(
+    f"""WITH {BOTH_SQL}
+SELECT * REPLACE ({ISO_SQL} AS time)
+FROM (SELECT * FROM loaded UNION ALL SELECT * FROM streamed UNION ALL SELECT * FROM again)"""
+)
+def bulk_and_streamed_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _iso(tables.read_interactions(spark, _both_root(spark, sf_dir)))
+
+
+@QUERIES.add(
+    f"""WITH {BOTH_SQL},
+written AS (
+  SELECT channel_id, user_id, time, item_id, action, rating, 1 AS seq FROM loaded
+  UNION ALL SELECT channel_id, user_id, time, item_id, action, rating, 2 FROM streamed
+  UNION ALL SELECT channel_id, user_id, time, item_id, action, rating, 3 FROM again)
+SELECT channel_id, user_id, {SECONDS_SQL} AS time, item_id, action, rating FROM written
+QUALIFY row_number() OVER (
+  PARTITION BY channel_id, user_id, time, item_id
+  ORDER BY seq DESC, action DESC, rating DESC NULLS LAST) = 1"""
+)
+def bulk_and_streamed_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a loaded and a later streamed row for one key the streamed one counts."""
+    past = tables.read_history(spark, _both_root(spark, sf_dir))
+    return past.withColumn("time", times.seconds_text("time")).drop("ingest_seq")
+
+
 @QUERIES.add(
     f"""WITH {STREAMED_SQL}
 SELECT channel_id, {DAY_SQL} AS day, count(*) AS hits FROM streamed GROUP BY ALL"""
@@ -303,13 +376,9 @@ def daily_counts_by_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _top_sql(field: str) -> str:
-    return f"""WITH {views.INTERACTIONS_SQL},
-counts AS (
-  SELECT channel_id, {field}, count(*) AS hits FROM interactions
-  WHERE {field} IS NOT NULL GROUP BY ALL)
-SELECT * FROM counts
-QUALIFY row_number() OVER (PARTITION BY channel_id ORDER BY hits DESC, {field})
-        <= {dashboard.TOP_TERMS}"""
+    return f"""WITH {views.INTERACTIONS_SQL}
+SELECT channel_id, {field}, count(*) AS hits FROM interactions
+WHERE {field} IS NOT NULL GROUP BY ALL"""
 
 
 @QUERIES.add(_top_sql("action"))
@@ -332,9 +401,31 @@ def channel_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboard.totals(views.interactions(spark, sf_dir))
 
 
-@QUERIES.add()
+@QUERIES.add(
+    f"""WITH {views.INTERACTIONS_SQL}
+SELECT channel_id, count(*) AS hits, TRUE AS users_close, TRUE AS items_close
+FROM interactions GROUP BY channel_id"""
+)
 def channel_distinct_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dashboard.totals(views.interactions(spark, sf_dir), exact=False)
+    """Approximate totals, and whether they are within five times their error of the exact ones."""
+    rows = views.interactions(spark, sf_dir)
+    near = dashboard.totals(rows, exact=False)
+    exact = dashboard.totals(rows).select(
+        "channel_id",
+        F.col("distinct_users").alias("users"),
+        F.col("distinct_items").alias("items"),
+    )
+
+    def close(approximate: str, true: str) -> Column:
+        off = F.abs(F.col(approximate) - F.col(true))
+        return off <= 5 * dashboard.DISTINCT_ERROR * F.col(true)
+
+    return near.join(exact, "channel_id").select(
+        "channel_id",
+        "hits",
+        close("distinct_users", "users").alias("users_close"),
+        close("distinct_items", "items").alias("items_close"),
+    )
 
 
 @QUERIES.add(
@@ -440,11 +531,18 @@ def _took_sql(millis: str) -> str:
 @QUERIES.add(
     f"""WITH {views.JOB_RUNS_SQL}
 SELECT channel_id, algo_id, CAST(run_id AS VARCHAR) AS job, outcome, output, start_ms, end_ms,
-       (end_ms - start_ms) // 1000 AS seconds, {_took_sql("(end_ms - start_ms)")} AS took
+       (end_ms - start_ms) // 1000 AS seconds, {_took_sql("(end_ms - start_ms)")} AS took,
+       row_number() OVER (PARTITION BY channel_id, algo_id
+                          ORDER BY end_ms DESC, CAST(run_id AS VARCHAR)) AS rank
 FROM job_runs"""
 )
 def job_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.history(jobs.history_cells(views.job_runs(spark, sf_dir)))
+    """From the table of runs, filled from their cells."""
+    root = work_folder(spark, "runs")
+    cells_of_runs = jobs.history_cells(views.job_runs(spark, sf_dir))
+    stored = jobs.runs_from_cells(cells_of_runs).withColumn("version", F.lit(None))
+    tables.append_runs(stored, root)
+    return jobs.history(tables.read_runs(spark, root))
 
 
 @QUERIES.add(
@@ -452,11 +550,11 @@ def job_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 wins AS (
   SELECT * FROM job_runs WHERE outcome = 'success'
   QUALIFY row_number() OVER (
-    PARTITION BY channel_id, algo_id ORDER BY end_ms DESC, run_id DESC) = 1),
+    PARTITION BY channel_id, algo_id ORDER BY end_ms DESC, CAST(run_id AS VARCHAR) DESC) = 1),
 ends AS (
   SELECT * FROM job_runs
   QUALIFY row_number() OVER (
-    PARTITION BY channel_id, algo_id ORDER BY end_ms DESC, run_id DESC) = 1),
+    PARTITION BY channel_id, algo_id ORDER BY end_ms DESC, CAST(run_id AS VARCHAR) DESC) = 1),
 wins_count AS (
   SELECT channel_id, algo_id, count(*) AS n FROM job_runs WHERE outcome = 'success'
   GROUP BY ALL)
@@ -468,7 +566,11 @@ LEFT JOIN wins w ON w.channel_id = e.channel_id AND w.algo_id = e.algo_id
 LEFT JOIN wins_count n ON n.channel_id = e.channel_id AND n.algo_id = e.algo_id"""
 )
 def algo_run_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.algorithm_state(views.job_runs(spark, sf_dir))
+    root = work_folder(spark, "runs")
+    tables.append_runs(
+        views.job_runs(spark, sf_dir).withColumn("version", F.lit(None)), root
+    )
+    return jobs.algorithm_state(tables.read_runs(spark, root))
 
 
 @QUERIES.add(
@@ -548,9 +650,11 @@ def _submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM part"""
 )
 def item_metadata_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    declared = views.ITEM_ATTRIBUTES
-    typed = items.accepted(_submissions(spark, sf_dir), declared)
-    return items.latest(typed, declared).drop("document_id")
+    """Through the table of submissions, whose schema changes after they were checked."""
+    root, channel = work_folder(spark, "items"), views.ONE_CHANNEL
+    declared = items.declaration(spark, channel, views.ITEM_ATTRIBUTES)
+    tables.append_items(_submissions(spark, sf_dir), root, declared)
+    return tables.read_items(spark, root, channel, views.ITEM_ATTRIBUTES).drop("document_id")
 
 
 @QUERIES.add(
@@ -559,7 +663,10 @@ def item_metadata_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM part WHERE p_partkey % 11 = 0"""
 )
 def item_metadata_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return items.rejected(_submissions(spark, sf_dir), views.ITEM_ATTRIBUTES)
+    root = work_folder(spark, "items")
+    declared = items.declaration(spark, views.ONE_CHANNEL, views.ITEM_ATTRIBUTES)
+    tables.append_items(_submissions(spark, sf_dir), root, declared)
+    return tables.read_item_rejects(spark, root)
 
 
 _COVERED = {

@@ -17,12 +17,14 @@ RECOMMENDATIONS = (
     "user_id bigint, item_id bigint, score double"
 )
 JOB_RUNS = (
-    "channel_id string, algo_id string, version string, "
+    "channel_id string, algo_id string, run_id string, version string, "
     "start_ms bigint, end_ms bigint, outcome string, output string"
 )
 ITEM_SUBMISSIONS = (
     "channel_id string, item_id bigint, seq bigint, attributes map<string,string>"
 )
+ATTRIBUTES = "channel_id string, key string, name string, type string"
+ITEM_REJECTS = "channel_id string, item_id bigint, seq bigint, undeclared string"
 CELLS = "rowkey string, family string, qualifier string, value string"
 REJECTS = "raw string, reason string, source string"
 

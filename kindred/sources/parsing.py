@@ -37,6 +37,7 @@ def _typed(lines: DataFrame, column: str, at: dict[str, int], constants: dict[st
     needed = at["action"] + 1
     # A rating is read only from a line of exactly the right length; longer lines load without.
     rating_text = F.when(count == at["rating"] + 1, text.field(parts, at["rating"]))
+    rating = text.number(rating_text)
     split = lines.select(F.col(column).alias("raw"), text.fields(column).alias("parts"))
     typed = split.select(
         "raw",
@@ -45,9 +46,9 @@ def _typed(lines: DataFrame, column: str, at: dict[str, int], constants: dict[st
         text.field(parts, at["item"]).try_cast("bigint").alias("item_id"),
         times.parsed(text.field(parts, at["time"])).alias("time"),
         text.field(parts, at["action"]).alias("action"),
-        rating_text.try_cast("double").alias("rating"),
+        rating.alias("rating"),
         (count < needed).alias("short"),
-        (rating_text.isNotNull() & rating_text.try_cast("double").isNull()).alias("bad_rating"),
+        (rating_text.isNotNull() & rating.isNull()).alias("bad_rating"),
     )
     reason = (
         F.when(F.col("short"), REASONS["fields"])

@@ -4,15 +4,19 @@
     history/channel_id=…                  appended, latest row per key wins on reading
     similarity/channel_id=…/algo_id=…/version=…
     recommendations/channel_id=…/algo_id=…/version=…
-    job_runs/                             one row per finished run
+    job_runs/channel_id=…                 one row per finished run
     items/channel_id=…                    appended submissions, latest per item wins on reading
+    item_rejects/channel_id=…             refused submissions with their undeclared attributes
     rejects/                              lines that did not parse
-    streamed_interactions, streamed_history, streamed_rejects/batch_id=…
+    streamed_interactions, streamed_history/stream_id=…/batch_id=…/channel_id=…
+    streamed_rejects/stream_id=…/batch_id=…
                                           the same tables as written by streams
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,10 +25,10 @@ from pyspark.sql import types as T
 from kindred import schemas
 from kindred.functions import keys
 from kindred.operators import history as histories
-from kindred.operators import items, skew
+from kindred.operators import items
 
 INTERACTIONS, HISTORY, REJECTS = "interactions", "history", "rejects"
-JOB_RUNS, ITEMS = "job_runs", "items"
+JOB_RUNS, ITEMS, ITEM_REJECTS = "job_runs", "items", "item_rejects"
 SIMILARITY, RECOMMENDATIONS = "similarity", "recommendations"
 RESULT_SCHEMAS = {
     SIMILARITY: schemas.SIMILARITY,
@@ -46,14 +50,22 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def _bulk_and_streamed(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
     bulk = _read(spark, f"{root}/{name}", schema)
-    batches = _read(spark, streamed(root, name), f"{schema}, batch_id bigint")
-    return bulk.unionByName(batches.drop("batch_id"))
+    batches = _read(spark, streamed(root, name), f"{schema}, stream_id string, batch_id bigint")
+    return bulk.unionByName(batches.drop("stream_id", "batch_id"))
+
+
+def streamed(root: str, name: str) -> str:
+    """The folder streams write a table to."""
+    return f"{root}/streamed_{name}"
 
 
-def streamed(root: str, name: str, batch_id: int | None = None) -> str:
-    """The folder streams write a table to, or that of one batch."""
-    folder = f"{root}/streamed_{name}"
-    return folder if batch_id is None else f"{folder}/batch_id={batch_id}"
+def write_batch(rows: DataFrame, root: str, name: str, stream_id: str, batch_id: int) -> None:
+    """Write one batch of one stream, replacing what an earlier try of it left."""
+    folder = f"{streamed(root, name)}/stream_id={stream_id}/batch_id={batch_id}"
+    writer = rows.write.mode("overwrite")
+    if "channel_id" in rows.columns:
+        writer = writer.partitionBy("channel_id")
+    writer.parquet(folder)
 
 
 def append_interactions(interactions: DataFrame, root: str) -> None:
@@ -89,10 +101,10 @@ def read_rejects(spark: SparkSession, root: str) -> DataFrame:
 
 
 def compact(spark: SparkSession, root: str, target: str) -> None:
-    """Rewrite both tables under a new root, in even files instead of one set per batch.
+    """Rewrite all tables under a new root, in even files instead of one set per batch or run.
 
     Interactions lie sorted by time, history holds only the latest rows and lies sorted by
-    user, so that filters on them skip row groups.
+    user, so that filters on them skip row groups. Of results only the served versions go along.
     """
     (
         read_interactions(spark, root)
@@ -108,22 +120,51 @@ def compact(spark: SparkSession, root: str, target: str) -> None:
         .write.partitionBy("channel_id")
         .parquet(f"{target}/{HISTORY}")
     )
+    read_rejects(spark, root).hint("rebalance").write.parquet(f"{target}/{REJECTS}")
+    for name, schema in (
+        (ITEMS, schemas.ITEM_SUBMISSIONS),
+        (ITEM_REJECTS, schemas.ITEM_REJECTS),
+        (JOB_RUNS, schemas.JOB_RUNS),
+    ):
+        stored = _read(spark, f"{root}/{name}", schema).hint("rebalance", "channel_id")
+        stored.write.partitionBy("channel_id").parquet(f"{target}/{name}")
+    for kind, subject in SUBJECT.items():
+        (
+            current_results(spark, root, kind)
+            .hint("rebalance", "channel_id", "algo_id", subject)
+            .sortWithinPartitions("channel_id", "algo_id", subject, F.col("score").desc())
+            .write.partitionBy("channel_id", "algo_id", "version")
+            .parquet(f"{target}/{kind}")
+        )
+
+
+def append_items(submissions: DataFrame, root: str, declared: DataFrame) -> None:
+    """Keep the submissions whose attributes are all declared, and record the others.
+
+    ``declared`` is the attribute table: ``channel_id, key`` and more.
+    """
+    for rows, name in (
+        (items.valid(submissions, declared), ITEMS),
+        (items.rejected(submissions, declared), ITEM_REJECTS),
+    ):
+        rows.write.mode("append").partitionBy("channel_id").parquet(f"{root}/{name}")
 
 
-def append_items(submissions: DataFrame, root: str, attributes: items.Attributes) -> None:
-    """Keep the submissions whose attributes are all declared."""
-    items.valid(submissions, attributes).write.mode("append").partitionBy(
-        "channel_id"
-    ).parquet(f"{root}/{ITEMS}")
+def read_item_rejects(spark: SparkSession, root: str) -> DataFrame:
+    return _read(spark, f"{root}/{ITEM_REJECTS}", schemas.ITEM_REJECTS)
 
 
 def read_items(
     spark: SparkSession, root: str, channel: str, attributes: items.Attributes
 ) -> DataFrame:
-    """The latest typed record per item of a channel, with its declared attributes."""
+    """The latest typed record per item of a channel, with its declared attributes.
+
+    Submissions were checked when they were written, so a schema that has changed since gives
+    other columns and hides no item.
+    """
     stored = _read(spark, f"{root}/{ITEMS}", schemas.ITEM_SUBMISSIONS)
     mine = stored.where(F.col("channel_id") == channel)
-    return items.latest(items.accepted(mine, attributes), attributes)
+    return items.latest(items.typed(mine, attributes), attributes)
 
 
 def write_result(
@@ -157,10 +198,19 @@ def read_results(spark: SparkSession, root: str, kind: str) -> DataFrame:
 
 
 def record_run(spark: SparkSession, root: str, **run) -> None:
-    """Append one finished run."""
+    """Append one finished run; it gets an id of its own unless one is given."""
     fields = T.StructType.fromDDL(schemas.JOB_RUNS)
+    run = {"run_id": uuid.uuid4().hex, **run}
     row = [tuple(run.get(name) for name in fields.names)]
-    spark.createDataFrame(row, fields).coalesce(1).write.mode("append").parquet(
+    append_runs(spark.createDataFrame(row, fields).coalesce(1), root)
+
+
+def append_runs(runs: DataFrame, root: str) -> None:
+    columns = [
+        F.col(field.name).cast(field.dataType)
+        for field in T.StructType.fromDDL(schemas.JOB_RUNS).fields
+    ]
+    runs.select(*columns).write.mode("append").partitionBy("channel_id").parquet(
         f"{root}/{JOB_RUNS}"
     )
 
@@ -192,10 +242,10 @@ def next_version(spark: SparkSession, root: str, channel: str, algo: str) -> str
 def current_results(spark: SparkSession, root: str, kind: str) -> DataFrame:
     """Results of the current versions only.
 
-    The versions are one row per algorithm. Broadcast, they prune the partition folders of
-    older versions at run time.
+    The versions are one row per algorithm. Where Spark broadcasts them, they prune the
+    partition folders of older versions at run time.
     """
-    versions = skew.broadcast_if_small(current_versions(read_runs(spark, root)))
+    versions = current_versions(read_runs(spark, root))
     return read_results(spark, root, kind).join(
         versions, ["channel_id", "algo_id", "version"]
     )

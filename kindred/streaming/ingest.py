@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,46 +15,54 @@ from kindred.sources import parsing, tables
 BATCH_INTERVAL = "1 second"
 
 
-def write_batch(parsed: DataFrame, batch_id: int, root: str, seq_offset: int = 0) -> None:
+def write_batch(parsed: DataFrame, stream_id: str, batch_id: int, root: str) -> None:
     """Write one parsed batch to both tables, and its bad lines to the rejects.
 
-    Every batch owns a ``batch_id`` folder and overwrites it, so a batch that runs again
-    after a failure leaves no duplicates.
+    Every batch of a stream owns a folder and overwrites it, so a batch that runs again after a
+    failure leaves no duplicates, and streams don't touch each other's rows. ``taken_ms``, the
+    time of the batch, places its rows in the history; rows without it count as loaded first.
     """
     rows = parsed.persist()
     try:
         good = parsing.accepted(rows)
-        past = history.from_interactions(good, F.lit(seq_offset + batch_id))
+        taken = F.col("taken_ms") if "taken_ms" in rows.columns else F.lit(0)
+        past = rows.where(F.col("reason").isNull())
         outputs = {
             tables.INTERACTIONS: good,
-            tables.HISTORY: past,
+            tables.HISTORY: history.from_interactions(past, taken),
             tables.REJECTS: parsing.rejected(rows),
         }
         for name, output in outputs.items():
-            folder = tables.streamed(root, name, batch_id)
-            output.write.mode("overwrite").parquet(folder)
+            tables.write_batch(output, root, name, stream_id, batch_id)
     finally:
         rows.unpersist()
 
 
 def ingest(
-    messages: DataFrame,
-    root: str,
-    checkpoint: str,
-    available_now: bool = False,
-    seq_offset: int = 0,
+    messages: DataFrame, root: str, checkpoint: str, available_now: bool = False
 ) -> StreamingQuery:
     """Start a stream from message lines (a ``value`` column) into the tables under ``root``.
 
-    ``seq_offset`` places streamed rows after bulk loads with smaller sequence numbers.
+    A stream is known by the id that Spark keeps in its checkpoint. The time of a batch is kept
+    there too, so rows written again after a failure have the same place in the history. It is on
+    the scale of ``upload_ms`` of bulk loads: of two writes to one key the later one wins.
     """
     trigger = {"availableNow": True} if available_now else {"processingTime": BATCH_INTERVAL}
-    return (
+    known, started = {}, threading.Event()
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        started.wait()
+        write_batch(batch, known["id"], batch_id, root)
+
+    taken_ms = F.unix_millis(F.current_timestamp())
+    query = (
         parsing.parse_messages(messages)
-        .writeStream.foreachBatch(
-            lambda batch, batch_id: write_batch(batch, batch_id, root, seq_offset)
-        )
+        .withColumn("taken_ms", taken_ms)
+        .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(**trigger)
         .start()
     )
+    known["id"] = query.id
+    started.set()
+    return query

@@ -113,9 +113,11 @@ def test_metadata_validation(spark):
         "channel_id string, item_id bigint, seq bigint, attributes map<string,string>",
     )
     attributes = {"size": ("Size", items.NUMERIC)}
-    newest = items.latest(items.accepted(frame, attributes), attributes).collect()
+    declared = items.declaration(spark, "CH-1", attributes)
+    typed = items.accepted(frame, declared, attributes)
+    newest = items.latest(typed, attributes).collect()
     assert [(r["item_id"], r["size"]) for r in newest] == [(1, None)]
-    refused = items.rejected(frame, attributes).collect()
+    refused = items.rejected(frame, declared).collect()
     assert [(r["item_id"], r["undeclared"]) for r in refused] == [(2, "colour")]
 
 
@@ -184,7 +186,10 @@ def test_job_history(spark):
         "channel_id string, algo_id string, run_id bigint, start_ms bigint, end_ms bigint, "
         "outcome string, output string",
     )
-    shown = jobs.history_of(jobs.history_cells(runs), "CH-1", "AL-1").collect()
+    stored = jobs.runs_from_cells(jobs.history_cells(runs))
+    for rows in (runs, stored):
+        shown = jobs.history_of(rows, "CH-1", "AL-1").collect()
+        assert [r["rank"] for r in shown] == [1, 2]
     assert [(r["job"], r["outcome"], r["seconds"], r["took"]) for r in shown] == [
         ("2", "NA", 3, "3 secs"), ("1", "success", 5, "5 secs"),
     ]
@@ -196,6 +201,13 @@ def test_factorisation(spark, ratings):
     scored = {(r["user_id"], r["item_id"]): r["score"] for r in predicted.collect()}
     assert scored.keys() == observed.keys()
     assert all(abs(scored[pair] - rating) < 1 for pair, rating in observed.items())
-    wide = ratings.withColumn("user_id", F.lit(2**40))
-    with pytest.raises(Exception, match="does not fit 32 bits"):
-        factorize.predictions(wide)
+    wide = ratings.withColumn("user_id", F.col("user_id") + 2**40)
+    far = {(r["user_id"] - 2**40, r["item_id"]) for r in factorize.predictions(wide).collect()}
+    assert far == observed.keys()
+
+
+def test_dense_ids(spark):
+    rows = spark.range(0, 10**12, 10**9).select(F.col("id").alias("user_id")).repartition(7)
+    numbers = factorize.dense_ids(rows.unionAll(rows), "user_id").collect()
+    assert sorted(r["user_number"] for r in numbers) == list(range(1000))
+    assert len({r["user_id"] for r in numbers}) == 1000

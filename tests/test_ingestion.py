@@ -1,12 +1,14 @@
 from __future__ import annotations
 
+import time
+
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindred import schemas
-from kindred.operators import history
+from kindred.operators import history, similarity
 from kindred.session import work_folder
 from kindred.sources import parsing, readers, tables
 from kindred.streaming import ingest
@@ -103,7 +105,7 @@ def test_a_repeated_batch_leaves_no_duplicates(spark):
     for batch_id, texts in enumerate(batches):
         parsed = parsing.parse_messages(lines(spark, [f"CL-1,CH-1,{t}" for t in texts]))
         for _ in range(2):
-            ingest.write_batch(parsed, batch_id, root)
+            ingest.write_batch(parsed, "S1", batch_id, root)
     assert tables.read_interactions(spark, root).count() == 4
     assert tables.read_history(spark, root).count() == 3
     assert tables.read_rejects(spark, root).count() == len(BROKEN)
@@ -116,12 +118,15 @@ def test_compacting_keeps_both_tables(spark):
     tables.append_history(bulk, root, F.lit(0))
     for batch_id, text in enumerate(LINES[:3], start=1):
         parsed = parsing.parse_messages(lines(spark, [f"CL-1,CH-2,{text}"]))
-        ingest.write_batch(parsed, batch_id, root)
+        ingest.write_batch(parsed, "S1", batch_id, root)
+    tables.record_run(spark, root, channel_id="CH-1", algo_id="AL-1", version="000001", outcome="success")
+    runs = tables.read_runs(spark, root).collect()
     tables.compact(spark, root, target)
     for read in (tables.read_interactions, tables.read_history):
         before, after = read(spark, root), read(spark, target)
         assert after.exceptAll(before).isEmpty() and before.exceptAll(after).isEmpty()
     assert tables.read_interactions(spark, target).count() == len(LINES) + 3
+    assert tables.read_runs(spark, target).collect() == runs
 
 
 def test_columns_are_the_canonical_ones(spark):
@@ -149,6 +154,78 @@ def test_a_restarted_stream_goes_on_where_it_was(spark):
         assert tables.read_interactions(spark, root).count() == 2 * count
 
 
+def test_streams_keep_each_others_rows(spark):
+    """A new checkpoint on the same root starts counting batches again."""
+    root = work_folder(spark, "streams")
+    for count, text in enumerate(LINES[:3], start=1):
+        lines(spark, [f"CL-1,CH-1,{text}", "bad"]).write.text(f"{root}/messages-{count}")
+        source = readers.message_files(spark, f"{root}/messages-{count}")
+        checkpoint = f"{root}/checkpoint-{count}"
+        ingest.ingest(source, root, checkpoint, available_now=True).awaitTermination()
+        assert tables.read_interactions(spark, root).count() == count
+        assert tables.read_rejects(spark, root).count() == count
+
+
+def test_the_later_write_wins(spark):
+    """Bulk loads and streams are on one scale of milliseconds."""
+    root, now = work_folder(spark, "order"), int(time.time() * 1000)
+
+    def bulk(action, at):
+        line = f"1,10,2024-01-01 00:00:01,{action}"
+        rows = parsing.accepted(parsing.parse_bulk(lines(spark, [line]), "CL-1", "CH-1", "F1"))
+        tables.append_history(rows, root, F.lit(at))
+
+    def action():
+        return tables.read_history(spark, root).first()["action"]
+
+    bulk("zoom", now - 60_000)
+    lines(spark, ["CL-1,CH-1,1,10,2024-01-01 00:00:01,view"]).write.text(f"{root}/messages")
+    source = readers.message_files(spark, f"{root}/messages")
+    ingest.ingest(source, root, f"{root}/checkpoint", available_now=True).awaitTermination()
+    assert action() == "view"
+    bulk("buy", now + 3_600_000)
+    assert action() == "buy"
+
+
+NO_RATINGS = ("NaN", "Infinity", "-inf", "1e300", "4d", "4f", "0x1", "", " ", "9" * 16)
+
+
+def test_ratings_are_finite_plain_numbers(spark):
+    texts = [f"1,{item},2024-01-01 00:00:01,rating,{rating}" for item, rating in enumerate(NO_RATINGS)]
+    texts += [f"{user},{item},2024-01-01 00:00:01,rating,{user + item}.5" for user in (1, 2) for item in (90, 91)]
+    parsed = parsing.parse_bulk(lines(spark, texts), "CL-1", "CH-1", "F1")
+    refused = parsing.rejected(parsed).collect()
+    assert len(refused) == len(NO_RATINGS)
+    assert {r["reason"] for r in refused} == {"rating is not a number"}
+    rows = parsing.accepted(parsed)
+    assert similarity.similarity(rows, "pearson").count() == 1
+    past = history.latest(history.from_interactions(rows, F.lit(1)))
+    assert history.responses(past).where("rating = 91.5").count() == 1
+    assert history.from_cells(history.to_cells(past)).where("rating = 91.5").count() == 1
+
+
+def test_odd_stored_ratings_do_not_stop_reading(spark):
+    past = spark.createDataFrame(
+        [("CH-1", 1, 10, "rating", rating) for rating in (float("nan"), float("inf"), 1e300)],
+        "channel_id string, user_id bigint, item_id bigint, action string, rating double",
+    ).withColumn("time", F.lit("2024-01-01").cast("timestamp"))
+    assert history.responses(past).count() == 3
+    assert history.to_cells(past).select("value").distinct().count() == 3
+
+
+def test_cells_keep_colons_in_actions(spark):
+    past = spark.createDataFrame(
+        [("add:cart", None), ("rating", 4.0), ("rating", 2.5), ("rating:x", None), ("view", None)],
+        "action string, rating double",
+    ).selectExpr(
+        "'CH-1' AS channel_id", "1L AS user_id", "2L AS item_id", "action", "rating",
+        "timestamp'2024-01-01' AS time",
+    )
+    back = history.from_cells(history.to_cells(past)).select("action", "rating")
+    assert back.exceptAll(past.select("action", "rating")).isEmpty()
+    assert back.count() == 5
+
+
 def test_kafka_needs_its_connector(spark):
     with pytest.raises(AnalysisException, match="(?i)kafka"):
         readers.kafka_messages(spark, "localhost:9092", "interactions")

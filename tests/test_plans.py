@@ -6,13 +6,15 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
-from kindred.operators import cooccurrence, filters, similarity
-from kindred.plans import views
+from kindred.operators import content, cooccurrence, filters, similarity
+from kindred.plans import similarity_queries, table_queries, views
+from kindred.sources import tables
 
 SF_DIR = "/root/testdata/sf0.001"
 # These write tables or fit models before they return.
 EAGER = ("als", "stream", "bulk", "interactions_", "similarity_current", "served")
-LAZY = sorted(n for n in entry_points.REGISTERED if not n.startswith(EAGER))
+NAMES = [*similarity_queries.QUERIES, *table_queries.QUERIES]
+LAZY = sorted(name for name in NAMES if not name.startswith(EAGER))
 
 
 def plan(frame) -> str:
@@ -62,6 +64,25 @@ def test_self_join_writes_its_shuffle_once(spark, no_broadcast):
     assert sorted(reused) == [False, True]
 
 
+def test_pairs_are_shuffled_once(spark, no_broadcast):
+    """Counts join the rows before they are paired, so one exchange follows the self-join."""
+    for base in ("jaccard", "loglikelihood"):
+        text = plan(similarity.similarity(views.baskets(spark, SF_DIR), base, by=()))
+        after = text.split("SortMergeJoin")[0]
+        assert after.count("Exchange hashpartitioning") == 1
+        assert "hashpartitioning(item_id" in after and "other_id" in after
+
+
+def test_building_starts_no_job(spark):
+    """Filling in values and reading served versions only describe their work."""
+    rows = views.items(spark, SF_DIR)
+    ids = set(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    for policy in ("zero", "mean", "median"):
+        content.impute(rows, views.ITEM_ATTRIBUTES, policy)
+    tables.current_results(spark, "/none", tables.SIMILARITY)
+    assert set(spark.sparkContext.statusTracker().getJobIdsForGroup()) == ids
+
+
 @pytest.mark.parametrize("name", ["similar_items_jaccard", "llr_pairs", "user_recs_mixed"])
 def test_nothing_is_broadcast_unless_small(spark, no_broadcast, name):
     frame = entry_points.queries()[name](spark, SF_DIR)
@@ -72,13 +93,13 @@ def test_nothing_is_broadcast_unless_small(spark, no_broadcast, name):
 def test_measured_sizes_decide_at_run_time(spark, broadcast_limit):
     """Item counts are broadcast once measured, although the input is too large to be sure
     beforehand, and without hot users their join falls away."""
-    broadcast_limit("150000")
+    broadcast_limit("100000")
     baskets = views.baskets(spark, "/root/testdata/sf0.01")
     frame = similarity.similarity(baskets, "jaccard", by=())
     assert "Broadcast" not in plan(frame)
     frame.collect()
     final = plan(frame).split("== Initial Plan ==")[0]
-    assert final.count("BroadcastHashJoin") == 2
+    assert final.count("BroadcastHashJoin") == 1
     assert final.count("SortMergeJoin") == 1 and "LeftOuter" not in final
 
 

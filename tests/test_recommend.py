@@ -114,13 +114,3 @@ def test_salted_join_equals_plain_join(spark, limit):
     salted = skew.salted_join(large, other, ["key"], "id", limit).select("key", "id", "value")
     plain = large.join(other, "key").select("key", "id", "value")
     assert salted.exceptAll(plain).isEmpty() and plain.exceptAll(salted).isEmpty()
-
-
-def test_summaries_are_broadcast_only_when_small(spark):
-    rows = spark.range(100).select((F.col("id") % 5).alias("key"), "id")
-    summary = rows.groupBy("key").agg(F.sum("id").alias("total"))
-    for limit, hinted in ((5, True), (4, False)):
-        joined = rows.join(skew.broadcast_if_small(summary, limit), "key")
-        assert joined.agg(F.sum("total")).first()[0] == 20 * 4950
-        hint = "ResolvedHint" in joined._jdf.queryExecution().analyzed().toString()
-        assert hint == hinted

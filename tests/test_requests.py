@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import pytest
-from pyspark.sql import functions as F
 
 from kindred.operators import items, similarity
 from kindred.plans import algorithms, requests
 from kindred.session import work_folder
-from kindred.sources import tables
+from kindred.sources import parsing, tables
+from kindred.streaming import ingest
 
 LINES = [
     "1,10,2024-01-01 00:00:01,view",
@@ -97,16 +97,48 @@ def test_item_page(spark, root):
          (CHANNEL, 10, 3, {"colour": "red"})],
         "channel_id string, item_id bigint, seq bigint, attributes map<string,string>",
     )
-    tables.append_items(submitted, root, attributes)
+    tables.append_items(submitted, root, items.declaration(spark, CHANNEL, attributes))
+    assert tables.read_item_rejects(spark, root).first()["undeclared"] == "colour"
     profile, days = requests.item_page(spark, root, CHANNEL, 10, attributes)
     assert [(r["label"], r["value"]) for r in profile.collect()] == [("Size", "5.0")]
     assert pairs(days.select("day", "hits")) == [("2024-01-01", 2), ("2024-01-02", 1)]
+    fewer = {"brand": ("Brand", items.CATEGORICAL)}
+    again, _ = requests.item_page(spark, root, CHANNEL, 10, fewer)
+    assert again.count() == 0  # the same newest record, none of whose attributes are left
+    assert tables.read_items(spark, root, CHANNEL, fewer).count() == 1
+
+
+def test_no_algorithms_to_compare(spark, root):
+    assert requests.compare_similar_items(spark, root, CHANNEL, [], 10).isEmpty()
 
 
 def test_streamed_and_bulk_rows_count_together(spark, root):
+    message = f"CL-1,{CHANNEL},4,30,2024-01-05 00:00:00,view"
+    parsed = parsing.parse_messages(spark.createDataFrame([(message,)], "value string"))
+    ingest.write_batch(parsed, "S1", 0, root)
     rows = tables.read_interactions(spark, root)
-    assert similarity.similarity(rows, "jaccard").count() == 3
-    assert rows.where(F.col("ingestion") == "bulk").count() == 8
+    assert rows.groupBy("ingestion").count().orderBy("ingestion").collect() == [
+        ("bulk", 8), ("stream", 1),
+    ]
+    # User 4 now links items 10 and 30 as well.
+    shared = similarity.similarity(rows, "cooccurrence").where("item_id = 10 AND other_id = 30")
+    assert shared.first()["score"] == 2
+
+
+def test_one_users_request_leaves_the_similarities_in_place(spark, root):
+    """With broadcasting by estimate off, the similarity side is still scanned where it lies."""
+    jaccard = algorithms.Algorithm(CHANNEL, "AL-jaccard", "jaccard")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        frame = requests.recommendations(spark, root, jaccard, 2, 2)
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        scan = next(line for line in plan.splitlines() if "FileScan" in line and "other_id" in line)
+        assert "In(item_id" in scan
+        assert [row[0] for row in frame.collect()] == [30, 10]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_requests_read_only_what_they_ask_for(spark, root):
