@@ -130,17 +130,12 @@ def scale(
     )
 
 
-def similar_by_content(
-    items: DataFrame,
-    attributes: Attributes,
-    policy: str,
-    item: int,
-    num: int = ranking.SIMILAR_ITEMS_DEFAULT,
-) -> DataFrame:
-    """The items whose attributes have the highest cosine with one item's, in thousandths.
+def vectors(items: DataFrame, attributes: Attributes, policy: str) -> DataFrame:
+    """Prepared attributes of the items of one channel: ``numbers`` filled and scaled,
+    ``shared`` the categorical values an item can share with another, and their ``norm``.
 
-    The items are those of one channel. Numeric attributes are filled and scaled; every value
-    of a categorical one is a dimension of its own, so two items share it or not.
+    Every value of a categorical attribute is a dimension of its own, so two items share it or
+    not.
     """
     numeric = numeric_keys(attributes)
     categorical = [key for key in attributes if key not in numeric]
@@ -149,23 +144,34 @@ def similar_by_content(
         sum((F.col(c) * F.col(c) for c in numeric), F.lit(0.0))
         + sum((F.col(c).isNotNull().cast("int") for c in categorical), F.lit(0))
     )
-    vectors = rows.select("item_id", *attributes, norm.alias("norm"))
-    # The given item's attributes are one row, so a scalar subquery brings them to the scan.
+    numbers = F.array(*[F.col(c) for c in numeric]).cast("array<double>")
+    values = [F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in categorical]
+    shared = F.array_compact(F.array(*values).cast("array<string>"))
+    return rows.select(
+        "item_id", numbers.alias("numbers"), shared.alias("shared"), norm.alias("norm")
+    )
+
+
+def similar_by_vectors(
+    prepared: DataFrame, item: int, num: int | None = ranking.SIMILAR_ITEMS_DEFAULT
+) -> DataFrame:
+    """The items with the highest cosine with one item's vector, in thousandths: one scan.
+
+    The given item's vector is one row, so a scalar subquery brings it to the scan.
+    """
     given = (
-        vectors.where(F.col("item_id") == item)
+        prepared.where(F.col("item_id") == item)
         .limit(1)
-        .select(F.struct(*attributes, "norm").alias("given"))
+        .select(F.struct("numbers", "shared", "norm").alias("given"))
         .scalar()
     )
-    dot = F.lit(0.0)
-    for name in numeric:
-        dot = dot + F.col(name) * F.col(f"given.{name}")
-    for name in categorical:
-        shared = (F.col(name) == F.col(f"given.{name}")).cast("int")
-        dot = dot + F.coalesce(shared, F.lit(0))
+    products = F.zip_with("numbers", "given.numbers", lambda x, y: x * y)
+    dot = F.aggregate(products, F.lit(0.0), lambda total, x: total + x) + F.size(
+        F.array_intersect("shared", "given.shared")
+    )
     cosine = F.coalesce(F.try_divide(dot, F.col("norm") * F.col("given.norm")), F.lit(0.0))
     return (
-        vectors.where(F.col("item_id") != item)
+        prepared.where(F.col("item_id") != item)
         .withColumn("given", given)
         .where(F.col("given").isNotNull())
         .select(
@@ -176,3 +182,14 @@ def similar_by_content(
         .orderBy(F.col("score").desc(), "other_id")
         .limit(ranking.result_size(num, ranking.SIMILAR_ITEMS_DEFAULT))
     )
+
+
+def similar_by_content(
+    items: DataFrame,
+    attributes: Attributes,
+    policy: str,
+    item: int,
+    num: int = ranking.SIMILAR_ITEMS_DEFAULT,
+) -> DataFrame:
+    """The same from items that are not prepared; they are those of one channel."""
+    return similar_by_vectors(vectors(items, attributes, policy), item, num)

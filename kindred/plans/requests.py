@@ -11,8 +11,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.operators import dashboard, filters, history, items, ranking, recommend
-from kindred.plans.algorithms import Algorithm
+from kindred.operators import (
+    catalog,
+    content,
+    dashboard,
+    filters,
+    history,
+    items,
+    jobs,
+    ranking,
+    recommend,
+)
+from kindred.plans.algorithms import Algorithm, stored
 from kindred.sources import parsing, readers, tables
 
 
@@ -29,8 +39,14 @@ def _current(spark: SparkSession, root: str, kind: str, channel: str, algo: str)
 def similar_items(
     spark: SparkSession, root: str, channel: str, algo: str, item: int, num: int | None
 ) -> DataFrame:
-    current = _current(spark, root, tables.SIMILARITY, channel, algo)
-    best = ranking.similar_to(current, item, num)
+    """From stored similarities, or for a content-based algorithm from its stored vectors."""
+    algorithm = stored(spark, root, channel, algo)
+    if algorithm and algorithm.by_content:
+        prepared = _current(spark, root, tables.VECTORS, channel, algo)
+        best = content.similar_by_vectors(prepared, item, num)
+    else:
+        current = _current(spark, root, tables.SIMILARITY, channel, algo)
+        best = ranking.similar_to(current, item, num)
     return best.select(F.col("other_id").alias("item"), "score")
 
 
@@ -113,6 +129,60 @@ def item_page(
     return profile, items.profile_counts(rows).orderBy("day")
 
 
+def browser_total(spark: SparkSession, root: str, channel: str) -> DataFrame:
+    """The number of rows beside the data browser."""
+    rows = filters.of_channel(tables.read_interactions(spark, root), channel)
+    return rows.agg(F.count(F.lit(1)).alias("total"))
+
+
+def clients(spark: SparkSession, root: str, search: str | None = None) -> DataFrame:
+    """Clients, all or those whose name matches, with their channels."""
+    found = catalog.search_clients(tables.read_catalog(spark, root, tables.CLIENTS), search)
+    return catalog.clients_with_channels(
+        found, tables.read_catalog(spark, root, tables.CHANNELS)
+    )
+
+
+def channels(spark: SparkSession, root: str, client: str) -> DataFrame:
+    return catalog.channels_of(tables.read_catalog(spark, root, tables.CHANNELS), client)
+
+
+def owner(spark: SparkSession, root: str, channel: str) -> DataFrame:
+    """A channel with the name of its client."""
+    mine = filters.of_channel(tables.read_catalog(spark, root, tables.CHANNELS), channel)
+    return catalog.owners(mine, tables.read_catalog(spark, root, tables.CLIENTS))
+
+
+def uploads(spark: SparkSession, root: str, channel: str) -> DataFrame:
+    """Registered uploads of a channel with what was loaded from them."""
+    mine = filters.of_channel(tables.read_catalog(spark, root, tables.UPLOADS), channel)
+    rows = filters.of_channel(tables.read_interactions(spark, root), channel)
+    return dashboard.upload_summary(mine, rows)
+
+
+def coverage(spark: SparkSession, root: str, channel: str) -> DataFrame:
+    """How many items of a channel have each declared attribute."""
+    declared = tables.read_catalog(spark, root, tables.ATTRIBUTES)
+    attributes = items.declared_attributes(declared, channel)
+    return items.coverage(tables.read_items(spark, root, channel, attributes), attributes)
+
+
+def job_history(spark: SparkSession, root: str, channel: str, algo: str) -> DataFrame:
+    return jobs.history_of(tables.read_runs(spark, root), channel, algo)
+
+
+def load_registered(spark: SparkSession, root: str, upload: str) -> None:
+    """Load an upload whose path, time and channel are in the catalog."""
+    registered = tables.read_catalog(spark, root, tables.UPLOADS)
+    row = registered.where(F.col("upload_id") == upload).first()
+    if row is None:
+        raise ValueError(f"upload {upload} is not registered")
+    channel = row["channel_id"]
+    of = tables.read_catalog(spark, root, tables.CHANNELS).where(F.col("channel_id") == channel)
+    client = of.first()["client_id"]
+    load_upload(spark, root, row["path"], client, channel, upload, row["upload_ms"])
+
+
 def load_upload(
     spark: SparkSession,
     root: str,

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kindred import schemas
 from kindred.functions import keys, text, times
 from kindred.operators import catalog, content, dashboard, history, items, jobs
-from kindred.plans import requests, views
+from kindred.plans import algorithms, requests, views
 from kindred.plans.registry import Registry
 from kindred.session import work_folder
 from kindred.sources import cells, parsing, readers, tables
@@ -773,3 +774,97 @@ def content_similar_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content.similar_by_content(
         views.items(spark, sf_dir), views.ITEM_ATTRIBUTES, content.MEDIAN, item=7, num=20
     )
+
+
+# --- stored catalog and content vectors ----------------------------------------------------
+
+
+def _catalog_root(spark: SparkSession, sf_dir: str) -> str:
+    """Clients, channels, uploads, interactions and attributes in tables of their own."""
+    root = work_folder(spark, "catalog")
+    tables.append_catalog(views.clients(spark, sf_dir), root, tables.CLIENTS)
+    tables.append_catalog(views.channels(spark, sf_dir), root, tables.CHANNELS)
+    return root
+
+
+@QUERIES.add(QUERIES["client_channels"].sql)
+def stored_client_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return requests.clients(spark, _catalog_root(spark, sf_dir))
+
+
+@QUERIES.add(
+    f"""WITH {views.CHANNELS_SQL}
+SELECT channel_id, client_id, name, created_ms,
+       strftime(make_timestamp(created_ms * 1000), '%-d %B, %Y') AS created,
+       row_number() OVER (ORDER BY created_ms DESC, channel_id) AS rank
+FROM channels WHERE client_id = 'CL-2'"""
+)
+def stored_channels_of_client(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mine = requests.channels(spark, _catalog_root(spark, sf_dir), "CL-2")
+    order = Window.orderBy(F.col("created_ms").desc(), "channel_id")
+    return mine.withColumn("rank", F.row_number().over(order).cast("bigint"))
+
+
+@QUERIES.add(
+    f"""WITH {views.INTERACTIONS_SQL}, {views.UPLOADS_SQL},
+counts AS (
+  SELECT bulkfile, count(*) AS hits, min(time) AS first, max(time) AS last
+  FROM interactions WHERE bulkfile IS NOT NULL AND channel_id = 'CH-1' GROUP BY bulkfile)
+SELECT u.channel_id, u.upload_id, u.upload_ms, u.oname, coalesce(c.hits, 0) AS hits,
+       strftime(c.first, '%Y-%m-%d') AS first_day, strftime(c.last, '%Y-%m-%d') AS last_day,
+       CASE WHEN c.hits IS NULL THEN 'processing' ELSE 'done' END AS state,
+       row_number() OVER (ORDER BY u.upload_ms DESC, u.upload_id) AS rank
+FROM uploads u LEFT JOIN counts c ON c.bulkfile = u.upload_id WHERE u.channel_id = 'CH-1'"""
+)
+def stored_uploads_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = work_folder(spark, "uploads")
+    tables.append_catalog(views.uploads(spark, sf_dir), root, tables.UPLOADS)
+    tables.append_interactions(views.interactions(spark, sf_dir).drop("event_id"), root)
+    order = Window.orderBy(F.col("upload_ms").desc(), "upload_id")
+    page = requests.uploads(spark, root, "CH-1")
+    return page.withColumn("rank", F.row_number().over(order).cast("bigint"))
+
+
+def _items_root(spark: SparkSession, sf_dir: str) -> str:
+    """All parts as submitted items of one channel with its declared attributes."""
+    root, channel = work_folder(spark, "stored-items"), views.ONE_CHANNEL
+    declared = items.declaration(spark, channel, views.ITEM_ATTRIBUTES)
+    tables.append_catalog(declared, root, tables.ATTRIBUTES)
+    texts = {key: F.col(key).cast("string") for key in views.ITEM_ATTRIBUTES}
+    pairs = F.create_map(*[part for key, value in texts.items() for part in (F.lit(key), value)])
+    submitted = views.items(spark, sf_dir).select(
+        F.lit(channel).alias("channel_id"),
+        "item_id",
+        F.lit(1).cast("bigint").alias("seq"),
+        F.map_filter(pairs, lambda _, value: value.isNotNull()).alias("attributes"),
+    )
+    tables.append_items(submitted, root, tables.read_catalog(spark, root, tables.ATTRIBUTES))
+    return root
+
+
+@QUERIES.add(
+    f"WITH {views.ITEMS_SQL} "
+    + " UNION ALL ".join(
+        f"""SELECT 'CH-0' AS channel_id, count(*) AS total, '{key}' AS attribute,
+       '{label}' AS label, '{kind}' AS type, count(*) FILTER (WHERE {_COVERED[key]}) AS covered,
+       CAST(floor(count(*) FILTER (WHERE {_COVERED[key]}) / CAST(count(*) AS DOUBLE) * 100)
+            AS BIGINT) AS percent
+FROM items"""
+        for key, (label, kind) in views.ITEM_ATTRIBUTES.items()
+    )
+)
+def stored_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return requests.coverage(spark, _items_root(spark, sf_dir), views.ONE_CHANNEL)
+
+
+@QUERIES.add(
+    f"SELECT other_id AS item, score FROM ({QUERIES['content_similar_items'].sql}) AS found"
+)
+def served_content_similar_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the published vectors of a content-based algorithm in the catalog."""
+    root, channel, algo = _items_root(spark, sf_dir), views.ONE_CHANNEL, "AL-content"
+    row = [(channel, algo, "contentbased", None, content.MEDIAN)]
+    defined = spark.createDataFrame(row, schemas.ALGORITHMS)
+    tables.append_catalog(defined, root, tables.ALGORITHMS)
+    algorithms.run(spark, root, None, algorithms.stored(spark, root, channel, algo))
+    return requests.similar_items(spark, root, channel, algo, 7, 20)

@@ -23,6 +23,16 @@ JOB_RUNS = (
 ITEM_SUBMISSIONS = (
     "channel_id string, item_id bigint, seq bigint, attributes map<string,string>"
 )
+CLIENTS = "client_id string, name string, created_ms bigint"
+CHANNELS = "channel_id string, client_id string, name string, created_ms bigint"
+ALGORITHMS = (
+    "channel_id string, algo_id string, base string, actions string, missing_values string"
+)
+UPLOADS = "channel_id string, upload_id string, upload_ms bigint, oname string, path string"
+VECTORS = (
+    "channel_id string, algo_id string, version string, "
+    "item_id bigint, numbers array<double>, shared array<string>, norm double"
+)
 ATTRIBUTES = "channel_id string, key string, name string, type string"
 ITEM_REJECTS = "channel_id string, item_id bigint, seq bigint, undeclared string"
 CELLS = "rowkey string, family string, qualifier string, value string"

@@ -7,6 +7,10 @@
     job_runs/channel_id=…                 one row per finished run
     items/channel_id=…                    appended submissions, latest per item wins on reading
     item_rejects/channel_id=…             refused submissions with their undeclared attributes
+    vectors/channel_id=…/algo_id=…/version=…
+                                          prepared item attributes of content-based algorithms
+    clients/, channels/, algorithms/, uploads/, attributes/
+                                          the catalog, appended
     rejects/                              lines that did not parse
     streamed_interactions, streamed_history/stream_id=…/batch_id=…/channel_id=…
     streamed_rejects/stream_id=…/batch_id=…
@@ -29,13 +33,24 @@ from kindred.operators import items
 
 INTERACTIONS, HISTORY, REJECTS = "interactions", "history", "rejects"
 JOB_RUNS, ITEMS, ITEM_REJECTS = "job_runs", "items", "item_rejects"
-SIMILARITY, RECOMMENDATIONS = "similarity", "recommendations"
+SIMILARITY, RECOMMENDATIONS, VECTORS = "similarity", "recommendations", "vectors"
 RESULT_SCHEMAS = {
     SIMILARITY: schemas.SIMILARITY,
     RECOMMENDATIONS: schemas.RECOMMENDATIONS,
+    VECTORS: schemas.VECTORS,
+}
+CLIENTS, CHANNELS, ALGORITHMS, UPLOADS, ATTRIBUTES = CATALOG = (
+    "clients", "channels", "algorithms", "uploads", "attributes",
+)
+CATALOG_SCHEMAS = {
+    CLIENTS: schemas.CLIENTS,
+    CHANNELS: schemas.CHANNELS,
+    ALGORITHMS: schemas.ALGORITHMS,
+    UPLOADS: schemas.UPLOADS,
+    ATTRIBUTES: schemas.ATTRIBUTES,
 }
 # The column point reads filter on: rows are clustered and sorted by it.
-SUBJECT = {SIMILARITY: "item_id", RECOMMENDATIONS: "user_id"}
+SUBJECT = {SIMILARITY: "item_id", RECOMMENDATIONS: "user_id", VECTORS: "item_id"}
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -128,11 +143,13 @@ def compact(spark: SparkSession, root: str, target: str) -> None:
     ):
         stored = _read(spark, f"{root}/{name}", schema).hint("rebalance", "channel_id")
         stored.write.partitionBy("channel_id").parquet(f"{target}/{name}")
+    for name in CATALOG:
+        read_catalog(spark, root, name).hint("rebalance").write.parquet(f"{target}/{name}")
     for kind, subject in SUBJECT.items():
         (
             current_results(spark, root, kind)
             .hint("rebalance", "channel_id", "algo_id", subject)
-            .sortWithinPartitions("channel_id", "algo_id", subject, F.col("score").desc())
+            .sortWithinPartitions("channel_id", "algo_id", subject, *_best_first(kind))
             .write.partitionBy("channel_id", "algo_id", "version")
             .parquet(f"{target}/{kind}")
         )
@@ -167,6 +184,25 @@ def read_items(
     return items.latest(items.typed(mine, attributes), attributes)
 
 
+def append_catalog(rows: DataFrame, root: str, name: str) -> None:
+    """Add rows to a table of the catalog; columns that are missing stay empty."""
+    columns = [
+        (F.col(field.name) if field.name in rows.columns else F.lit(None))
+        .cast(field.dataType)
+        .alias(field.name)
+        for field in T.StructType.fromDDL(CATALOG_SCHEMAS[name]).fields
+    ]
+    rows.select(*columns).write.mode("append").parquet(f"{root}/{name}")
+
+
+def read_catalog(spark: SparkSession, root: str, name: str) -> DataFrame:
+    return _read(spark, f"{root}/{name}", CATALOG_SCHEMAS[name])
+
+
+def _best_first(kind: str) -> list[Column]:
+    return [] if kind == VECTORS else [F.col("score").desc()]
+
+
 def write_result(
     rows: DataFrame, root: str, kind: str, channel: str, algo: str, version: str
 ) -> None:
@@ -186,7 +222,7 @@ def write_result(
     (
         rows.select(*columns)
         .hint("rebalance", subject)
-        .sortWithinPartitions(subject, F.col("score").desc())
+        .sortWithinPartitions(subject, *_best_first(kind))
         .write.mode("overwrite")
         .parquet(folder)
     )

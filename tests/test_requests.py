@@ -108,6 +108,60 @@ def test_item_page(spark, root):
     assert tables.read_items(spark, root, CHANNEL, fewer).count() == 1
 
 
+def test_catalog(spark, tmp_path):
+    folder = work_folder(spark, "catalog")
+    lines = str(tmp_path / "upload.csv")
+    spark.createDataFrame([(line,) for line in LINES], "value string").write.text(lines)
+    rows = {
+        tables.CLIENTS: ([("CL-1", "One", 1), ("CL-2", "Two", 2)], "client_id, name, created_ms"),
+        tables.CHANNELS: ([(CHANNEL, "CL-1", "Shop", 3)], "channel_id, client_id, name, created_ms"),
+        tables.UPLOADS: (
+            [(CHANNEL, "F1", 1, "a.csv", lines), (CHANNEL, "F2", 2, "b.csv", "none")],
+            "channel_id, upload_id, upload_ms, oname, path",
+        ),
+        tables.ALGORITHMS: (
+            [(CHANNEL, "AL-1", "jaccard", '["view","buy"]'), (CHANNEL, "AL-2", "contentbased", None)],
+            "channel_id, algo_id, base, actions",
+        ),
+    }
+    for name, (values, columns) in rows.items():
+        tables.append_catalog(spark.createDataFrame(values, columns.split(", ")), folder, name)
+    requests.load_registered(spark, folder, "F1")
+    with pytest.raises(ValueError):
+        requests.load_registered(spark, folder, "F9")
+    assert [tuple(r[:4]) for r in requests.uploads(spark, folder, CHANNEL).collect()] == [
+        (CHANNEL, "F2", 2, "b.csv"), (CHANNEL, "F1", 1, "a.csv"),
+    ]
+    assert [r["client_id"] for r in requests.clients(spark, folder, "o").collect()] == ["CL-1", "CL-2"]
+    assert requests.channels(spark, folder, "CL-1").first()["channel_id"] == CHANNEL
+    assert requests.owner(spark, folder, CHANNEL).first()["client_name"] == "One"
+    assert requests.browser_total(spark, folder, CHANNEL).first()["total"] == 8
+    found = algorithms.stored(spark, folder, CHANNEL, "AL-1")
+    assert (found.base, found.actions) == ("jaccard", ("view", "buy"))
+    assert algorithms.stored(spark, folder, CHANNEL, "AL-9") is None
+    algorithms.run(spark, folder, tables.read_interactions(spark, folder), found)
+    past = requests.job_history(spark, folder, CHANNEL, "AL-1").collect()
+    assert [(r["outcome"], r["rank"]) for r in past] == [("success", 1)]
+
+    declared = items.declaration(
+        spark, CHANNEL, {"size": ("Size", items.NUMERIC), "brand": ("Brand", items.CATEGORICAL)}
+    )
+    tables.append_catalog(declared, folder, tables.ATTRIBUTES)
+    submitted = spark.createDataFrame(
+        [(CHANNEL, 1, 1, {"size": "4", "brand": "A"}), (CHANNEL, 2, 1, {"size": "4", "brand": "A"}),
+         (CHANNEL, 3, 1, {"brand": "B"})],
+        "channel_id string, item_id bigint, seq bigint, attributes map<string,string>",
+    )
+    tables.append_items(submitted, folder, declared)
+    covered = {r["attribute"]: r["covered"] for r in requests.coverage(spark, folder, CHANNEL).collect()}
+    assert covered == {"size": 2, "brand": 3}
+    by_content = algorithms.stored(spark, folder, CHANNEL, "AL-2")
+    assert algorithms.run(spark, folder, None, by_content) == "000001"
+    assert pairs(requests.similar_items(spark, folder, CHANNEL, "AL-2", 1, 5)) == [(2, 1000), (3, 0)]
+    with pytest.raises(ValueError):
+        algorithms.serve(spark, folder, by_content, 5)
+
+
 def test_no_algorithms_to_compare(spark, root):
     assert requests.compare_similar_items(spark, root, CHANNEL, [], 10).isEmpty()
 

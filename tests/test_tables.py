@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from kindred.operators import ranking
@@ -24,10 +25,10 @@ def test_unknown_algorithm():
 def test_versions_move_on_success_only(spark, baskets):
     root = work_folder(spark, "versions")
     good = algorithms.Algorithm("CH-1", "AL-1", "jaccard")
-    # There is no job for content attributes, so this run fails.
-    bad = algorithms.Algorithm("CH-1", "AL-1", "contentbased")
+    # There are no ratings, so this run fails.
+    bad = algorithms.Algorithm("CH-1", "AL-1", "als")
     assert algorithms.run(spark, root, baskets, good) == "000001"
-    with pytest.raises(ValueError):
+    with pytest.raises(AnalysisException):
         algorithms.run(spark, root, baskets, bad)
     runs = tables.read_runs(spark, root).orderBy("end_ms", "outcome").collect()
     assert [(r["version"], r["outcome"]) for r in runs] == [
