@@ -40,10 +40,10 @@ def _entropy(*counts: Column) -> Column:
 
 
 def loglikelihood(n12: Column, n1: Column, n2: Column, total: Column) -> Column:
-    only1, only2 = n1 - n12, n2 - n12
-    rows = _entropy(n12 + only2, only1 + total)
-    cols = _entropy(n12 + only1, only2 + total)
-    cells = _entropy(n12, only2, only1, total)
+    without_other, without_item = n1 - n12, n2 - n12
+    rows = _entropy(n2, without_other + total)
+    cols = _entropy(n1, without_item + total)
+    cells = _entropy(n12, without_item, without_other, total)
     ratio = thousandths(F.lit(2) * (rows + cols - cells))
     return F.when((n12 <= 0) | (rows + cols < cells), F.lit(0).cast("bigint")).otherwise(ratio)
 

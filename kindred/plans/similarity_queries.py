@@ -36,8 +36,8 @@ def _entropy(*counts: str) -> str:
     return f"({_x_log_x(whole)} - ({parts}))"
 
 
-_ROWS = _entropy("n12 + (n2 - n12)", "n1 - n12 + total")
-_COLS = _entropy("n12 + (n1 - n12)", "n2 - n12 + total")
+_ROWS = _entropy("n2", "n1 - n12 + total")
+_COLS = _entropy("n1", "n2 - n12 + total")
 _CELLS = _entropy("n12", "n2 - n12", "n1 - n12", "total")
 
 SCORE_SQL = {
@@ -144,9 +144,7 @@ def llr_pairs_action_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SPREAD = "(sxx - sx * sx / n) * (syy - sy * sy / n)"
 
 
-@QUERIES.add(
-    f"""WITH {views.INTERACTIONS_SQL},
-ratings AS (
+PEARSON_CTES = f"""ratings AS (
   SELECT DISTINCT channel_id, user_id, item_id, rating FROM interactions
   WHERE action = 'rating' AND rating IS NOT NULL),
 sums AS (
@@ -155,13 +153,16 @@ sums AS (
          sum(b.rating * b.rating) AS syy, sum(a.rating * b.rating) AS sxy
   FROM ratings a JOIN ratings b ON a.channel_id = b.channel_id AND a.user_id = b.user_id
        AND a.item_id < b.item_id
-  GROUP BY ALL)
-SELECT channel_id, item_id, other_id,
-       CASE WHEN greatest({_SPREAD}, 0) = 0 THEN 0
-            ELSE CAST(round((1 + (sxy - sx * sy / n) / sqrt(greatest({_SPREAD}, 0))) / 2 * 1000)
-                      AS BIGINT) END AS score
-FROM sums"""
-)
+  GROUP BY ALL),
+correlated AS (
+  SELECT channel_id, item_id, other_id,
+         CASE WHEN greatest({_SPREAD}, 0) = 0 THEN 0
+              ELSE CAST(round((1 + (sxy - sx * sy / n) / sqrt(greatest({_SPREAD}, 0))) / 2 * 1000)
+                        AS BIGINT) END AS score
+  FROM sums)"""
+
+
+@QUERIES.add(f"WITH {views.INTERACTIONS_SQL}, {PEARSON_CTES} SELECT * FROM correlated")
 def pearson_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.similarity(views.interactions(spark, sf_dir), "pearson")
 
@@ -202,7 +203,10 @@ _ALL_ALGOS = " UNION ALL ".join(
 
 @QUERIES.add(
     f"""WITH {pair_ctes(views.INTERACTIONS_SQL)},
-scored AS ({_ALL_ALGOS}),
+{PEARSON_CTES},
+scored AS (
+  {_ALL_ALGOS}
+  UNION ALL SELECT channel_id, 'pearson', item_id, other_id, score FROM correlated),
 both_ways AS (
   SELECT channel_id, algo_id, item_id, other_id, score FROM scored
   UNION ALL
@@ -214,8 +218,13 @@ SELECT * FROM (
 )
 def similar_items_all_algos(spark: SparkSession, sf_dir: str) -> DataFrame:
     bases = list(similarity.COUNT_SCORES)
-    wide = similarity.count_similarities(views.interactions(spark, sf_dir))
-    long = wide.unpivot(["channel_id", "item_id", "other_id"], bases, "algo_id", "score")
+    rows = views.interactions(spark, sf_dir)
+    wide = similarity.count_similarities(rows)
+    counted = wide.unpivot(["channel_id", "item_id", "other_id"], bases, "algo_id", "score")
+    rated = similarity.similarity(rows, similarity.PEARSON).withColumn(
+        "algo_id", F.lit(similarity.PEARSON)
+    )
+    long = counted.unionByName(rated)
     return ranking.compare_algorithms(similarity.symmetric(long))
 
 

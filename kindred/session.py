@@ -62,7 +62,10 @@ def work_folder(spark: SparkSession, name: str) -> str:
 
     It lies in the shared folder named by ``spark.checkpoint.dir``.
     """
-    root = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    root = spark.conf.get(CHECKPOINT_DIR, None) or context.getCheckpointDir()
+    if not root:
+        root = configure(spark).conf.get(CHECKPOINT_DIR, None)
     if not root:
         raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder all executors can reach")
     return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
