@@ -868,3 +868,63 @@ def served_content_similar_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables.append_catalog(defined, root, tables.ALGORITHMS)
     algorithms.run(spark, root, None, algorithms.stored(spark, root, channel, algo))
     return requests.similar_items(spark, root, channel, algo, 7, 20)
+
+
+# --- requests over stored tables -----------------------------------------------------------
+
+CHANNEL, USER, ITEM, UPLOAD = "CH-1", 4, 10, "F2"
+
+
+def _events_root(spark: SparkSession, sf_dir: str) -> str:
+    """All events in the interaction and history tables."""
+    root = work_folder(spark, "events")
+    rows = views.interactions(spark, sf_dir)
+    tables.append_interactions(rows.drop("event_id"), root)
+    tables.append_history(rows, root, F.col("event_id"))
+    return root
+
+
+@QUERIES.add(
+    f"""WITH {views.INTERACTIONS_SQL}, {LATEST_SQL}
+SELECT channel_id, user_id, item_id, rating,
+       CASE WHEN rating IS NULL THEN action END AS action, {SECONDS_SQL} AS time,
+       row_number() OVER (ORDER BY time DESC, item_id) AS rank
+FROM latest WHERE channel_id = '{CHANNEL}' AND user_id = {USER}"""
+)
+def requested_user_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One user's history, newest first."""
+    past = requests.user_history(spark, _events_root(spark, sf_dir), CHANNEL, USER)
+    order = Window.orderBy(F.col("time").desc(), "item_id")
+    return past.withColumn("rank", F.row_number().over(order).cast("bigint"))
+
+
+@QUERIES.add(
+    f"WITH {views.INTERACTIONS_SQL} " + _daily_sql(f"bulkfile = '{UPLOAD}'", "bulkfile")
+)
+def requested_upload_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return requests.upload_chart(spark, _events_root(spark, sf_dir), UPLOAD)
+
+
+@QUERIES.add(
+    f"WITH {views.INTERACTIONS_SQL} "
+    + _daily_sql(f"channel_id = '{CHANNEL}' AND item_id = {ITEM}", "channel_id, item_id")
+)
+def requested_item_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _events_root(spark, sf_dir)
+    _, days = requests.item_page(spark, root, CHANNEL, ITEM, views.ITEM_ATTRIBUTES)
+    return days
+
+
+@QUERIES.add(
+    """SELECT count(*) AS items, count(DISTINCT p_partkey) AS ids, TRUE AS stable FROM part"""
+)
+def item_document_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item has one surrogate id, the same whenever it is made."""
+    parts = views.table(spark, sf_dir, "part").select("p_partkey")
+    made = keys.item_document_id(F.lit(CHANNEL), F.col("p_partkey").cast("string"))
+    again = F.xxhash64(F.concat(F.lit(f"{CHANNEL}:"), F.col("p_partkey").cast("string")))
+    return parts.agg(
+        F.count("*").alias("items"),
+        F.count_distinct(made).alias("ids"),
+        F.bool_and(made == again).alias("stable"),
+    )
