@@ -195,15 +195,20 @@ def load_upload(
     """Load an uploaded file into both tables, and its bad lines into the rejects.
 
     ``upload_ms`` orders this load among others in the history. The lines are parsed once
-    for all three.
+    for all three. The upload's rows lie in a folder of their own: loading it again replaces
+    them, which also mends a load that broke off.
     """
     parsed = parsing.parse_bulk(
         readers.bulk_lines(spark, path), client, channel, upload
     ).persist()
     try:
         good = parsing.accepted(parsed)
-        tables.append_interactions(good, root)
-        tables.append_history(good, root, F.lit(upload_ms))
-        tables.append_rejects(parsing.rejected(parsed), root)
+        outputs = {
+            tables.INTERACTIONS: good,
+            tables.HISTORY: history.from_interactions(good, F.lit(upload_ms)),
+            tables.REJECTS: parsing.rejected(parsed),
+        }
+        for name, output in outputs.items():
+            tables.write_batch(output, root, name, f"upload-{upload}", 0)
     finally:
         parsed.unpersist()

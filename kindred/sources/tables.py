@@ -12,9 +12,9 @@
     clients/, channels/, algorithms/, uploads/, attributes/
                                           the catalog, appended
     rejects/                              lines that did not parse
-    streamed_interactions, streamed_history/stream_id=…/batch_id=…/channel_id=…
-    streamed_rejects/stream_id=…/batch_id=…
-                                          the same tables as written by streams
+    batched_interactions, batched_history/source_id=…/batch_id=…/channel_id=…
+    batched_rejects/source_id=…/batch_id=…
+                                          the same tables as written by uploads and streams
 """
 
 from __future__ import annotations
@@ -63,20 +63,15 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], T.StructType.fromDDL(schema))
 
 
-def _bulk_and_streamed(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
-    bulk = _read(spark, f"{root}/{name}", schema)
-    batches = _read(spark, streamed(root, name), f"{schema}, stream_id string, batch_id bigint")
-    return bulk.unionByName(batches.drop("stream_id", "batch_id"))
+def _appended_and_batched(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
+    appended = _read(spark, f"{root}/{name}", schema)
+    batches = _read(spark, f"{root}/batched_{name}", f"{schema}, source_id string, batch_id bigint")
+    return appended.unionByName(batches.drop("source_id", "batch_id"))
 
 
-def streamed(root: str, name: str) -> str:
-    """The folder streams write a table to."""
-    return f"{root}/streamed_{name}"
-
-
-def write_batch(rows: DataFrame, root: str, name: str, stream_id: str, batch_id: int) -> None:
-    """Write one batch of one stream, replacing what an earlier try of it left."""
-    folder = f"{streamed(root, name)}/stream_id={stream_id}/batch_id={batch_id}"
+def write_batch(rows: DataFrame, root: str, name: str, source_id: str, batch_id: int) -> None:
+    """Write one batch of an upload or a stream, replacing what an earlier try of it left."""
+    folder = f"{root}/batched_{name}/source_id={source_id}/batch_id={batch_id}"
     writer = rows.write.mode("overwrite")
     if "channel_id" in rows.columns:
         writer = writer.partitionBy("channel_id")
@@ -92,7 +87,7 @@ def append_interactions(interactions: DataFrame, root: str) -> None:
 
 def read_interactions(spark: SparkSession, root: str) -> DataFrame:
     """All interactions, bulk and streamed."""
-    return _bulk_and_streamed(spark, root, INTERACTIONS, schemas.INTERACTIONS)
+    return _appended_and_batched(spark, root, INTERACTIONS, schemas.INTERACTIONS)
 
 
 def append_history(interactions: DataFrame, root: str, ingest_seq: Column) -> None:
@@ -103,7 +98,7 @@ def append_history(interactions: DataFrame, root: str, ingest_seq: Column) -> No
 def read_history(spark: SparkSession, root: str) -> DataFrame:
     """The latest history row per (channel, user, second, item)."""
     return histories.latest(
-        _bulk_and_streamed(spark, root, HISTORY, schemas.USER_HISTORY)
+        _appended_and_batched(spark, root, HISTORY, schemas.USER_HISTORY)
     )
 
 
@@ -112,7 +107,7 @@ def append_rejects(rejects: DataFrame, root: str) -> None:
 
 
 def read_rejects(spark: SparkSession, root: str) -> DataFrame:
-    return _bulk_and_streamed(spark, root, REJECTS, schemas.REJECTS)
+    return _appended_and_batched(spark, root, REJECTS, schemas.REJECTS)
 
 
 def compact(spark: SparkSession, root: str, target: str) -> None:

@@ -126,7 +126,10 @@ def test_catalog(spark, tmp_path):
     }
     for name, (values, columns) in rows.items():
         tables.append_catalog(spark.createDataFrame(values, columns.split(", ")), folder, name)
-    requests.load_registered(spark, folder, "F1")
+    for _ in range(2):  # loading again replaces the upload's rows
+        requests.load_registered(spark, folder, "F1")
+    assert tables.read_interactions(spark, folder).count() == 8
+    assert tables.read_rejects(spark, folder).count() == 1
     with pytest.raises(ValueError):
         requests.load_registered(spark, folder, "F9")
     assert [tuple(r[:4]) for r in requests.uploads(spark, folder, CHANNEL).collect()] == [
