@@ -33,7 +33,7 @@ from kindred.llm.words import written
 
 BANDS = 24
 CHUNK = 512  # members of a group that are compared with its centre in one task
-OPEN_BLOCK, MEMBER_BLOCK = 128, 512  # sides of a tile
+OPEN_BLOCK, MEMBER_BLOCK = 64, 256  # sides of a tile
 SIGNED = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>"
 SETS = (
     "centre bigint, chunk bigint, member bigint, is_centre boolean, shingles binary"
