@@ -207,6 +207,37 @@ def test_html_frames(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def texts_of(spark, rows, partitions=(1, 9)):
+    """Texts by id, which must not depend on how the pages are dealt."""
+    from kindred.llm.html_extract import extract
+
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for number in partitions:
+            spark.conf.set("spark.sql.shuffle.partitions", number)
+            found.append(sorted((row["page_id"], row["text"]) for row in extract(frame).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert all(one == found[0] for one in found)
+    return found[0]
+
+
+def framed(*lines):
+    return "".join(f"<p>{line}</p>" for line in ("Top", *lines, "All rights"))
+
+
+def test_html_runs_of_copies(spark):
+    """However long a run of equal pages is, each of them meets the nearest other page."""
+    first, last = framed("First body, which is long enough"), framed("Last body, which is another one")
+    rows = [(1, "http://h.x/a", first)] * 3
+    rows += [(i, f"http://h.x/b{i:03}", first) for i in range(100, 160)]
+    rows += [(2, "http://h.x/c", last)] * 3
+    want = [(1, "First body, which is long enough")] * 3 + [(2, "Last body, which is another one")] * 3
+    want += [(i, "First body, which is long enough") for i in range(100, 160)]
+    assert texts_of(spark, rows) == sorted(want)
+
+
 def test_marked_lines():
     page = (
         "<header>Site</header><nav><a>X</a></nav><div class='ad'>buy</div><article><h1>T&amp;t</h1>"
