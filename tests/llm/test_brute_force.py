@@ -238,6 +238,32 @@ def test_html_runs_of_copies(spark):
     assert texts_of(spark, rows) == sorted(want)
 
 
+def body(name, number=6):
+    return [f"Paragraph {k} of {name}, which is told at some length" for k in "abcdefghij"[:number]]
+
+
+def test_html_near_copies(spark):
+    """Near copies lose the frame, but not what they share; a passage on two pages stays."""
+    bodies, quote = {}, "A passage that two pages hold, and that is rather long"
+    for day in range(1, 31):
+        bodies[f"/495/{day:02}"] = [f"As of {day} May", *body("the copied page")]
+    bodies |= {"/7": body("seven"), "/8": [*body("eight"), quote], "/8.html": [quote, *body("another")]}
+    bodies |= {f"/9{k}": [*body(f"page nine {k}"), "Section"] for k in "abcd"}
+    # Changed longest lines, too.
+    bodies |= {f"/z{k}": [f"{k * 60} as written by {k}", *body("the last page", 9)] for k in "mn"}
+    rows = [(i, f"http://h.x{path}", framed(*lines)) for i, (path, lines) in enumerate(bodies.items())]
+    want = {i: "\n\n".join(line for line in lines if line != "Section") for i, lines in enumerate(bodies.values())}
+    assert texts_of(spark, rows) == sorted(want.items())
+
+
+def test_html_two_near_copies_alone(spark):
+    """Where a host has nothing else, near copies keep everything."""
+    rows = [(i, f"http://h.x/495{end}", framed(f"{i} May", *body("it"))) for i, end in enumerate(("", ".html"))]
+    assert texts_of(spark, rows) == [
+        (i, "\n\n".join(("Top", f"{i} May", *body("it"), "All rights"))) for i in range(2)
+    ]
+
+
 def test_marked_lines():
     page = (
         "<header>Site</header><nav><a>X</a></nav><div class='ad'>buy</div><article><h1>T&amp;t</h1>"
