@@ -275,6 +275,37 @@ def test_marked_lines():
     assert {t for t, kind in marked if kind == html_lines.BOILERPLATE} == {"Site", "X", "buy", "s", "c", "f"}
 
 
+def read(page, kind=html_lines.ARTICLE):
+    return [text for text, found in html_lines.marked_lines(page) if found == kind]
+
+
+@pytest.mark.parametrize("wrapper", [
+    "<div class='content no-sidebar'>", "<div class='content-area right-sidebar'>", "<form id=aspnetForm>",
+    "<form><div class='page has-banner'><div id='main-nav-layout'>", "<div class=modal>",
+])
+def test_marked_wrappers(wrapper):
+    story = "<h1>Title</h1><p>A story of some length</p><div class='social-share'>Share</div>"
+    rest = "<nav>Menu</nav><div class=side>Links</div><div id=comments><article>A comment</article></div>"
+    for page in (f"Top {wrapper}<article>{story}</article>{rest}", f"{wrapper}{rest}<article>{story}</article>"):
+        assert read(page) == ["Title", "A story of some length"]
+    assert read(f"{wrapper}<main>{story}</main>{rest}", html_lines.MAIN) == ["Title", "A story of some length"]
+    if "modal" not in wrapper:
+        assert read(f"{wrapper}{story}{rest}", html_lines.OPEN) == ["Title", "A story of some length"]
+    inside = f"<article><h1>Title</h1><div class='entry-content ads-off'><p>{'Story ' * 9}</div></article>{rest}"
+    assert read(inside) == ["Title", ("Story " * 9).strip()]
+
+
+def test_marked_parts_stay_out():
+    """What is no layout is left out as before, however long it is."""
+    comments = f"<div class='comments-area'><article>{'a comment ' * 90}</article></div>"
+    assert read(f"<article>Story</article>{comments}") == ["Story"]
+    assert read(f"<p>Story</p>{comments}", html_lines.OPEN) == ["Story"]
+    related = "<div class='related-posts'><article>Other</article></div><form>Search for words</form>"
+    assert read(f"<article>Story</article>{related * 9}") == ["Story"]
+    assert read(f"<p>{'Story ' * 9}</p>{related}", html_lines.OPEN) == [("Story " * 9).strip()]
+    assert read("<div class='cookie-banner'>We use cookies</div>", html_lines.OPEN) == []
+
+
 @pytest.mark.parametrize("bits", [1 << 28, 40])
 def test_longest_common_subsequence(monkeypatch, bits):
     monkeypatch.setattr(html_lines, "TABLE_BITS", bits)
