@@ -306,6 +306,27 @@ def test_marked_parts_stay_out():
     assert read("<div class='cookie-banner'>We use cookies</div>", html_lines.OPEN) == []
 
 
+@pytest.mark.parametrize("quote", "\"'")
+@pytest.mark.parametrize("size", [1, 5000, 1 << 20])
+def test_quoted_values(quote, size):
+    other = "'" if quote == '"' else '"'
+    value = f"a > b {other} <p>no</p> </article> " * (size // 30 + 1)
+    page = f"<article><p data-x = {quote}{value}{quote} class=y>One<img alt={quote}{value}{quote}/> two</p></article>"
+    assert read(page) == ["One two"]
+    # Outside a value, quotes are text; a quote that never closes ends nothing.
+    assert read(f"<article><p {quote} title=a{quote}b>One</p>It{other}s > 1</article>") == ["One", f"It{other}s > 1"]
+    assert read(f"<article><p title={quote}x>One</p><p>two</article>") == ["One", "two"]
+
+
+def test_open_quotes_take_linear_time():
+    import time
+
+    start = time.process_time()
+    html_lines.marked_lines("<a b=\"x\" c=\"> " * 40_001)
+    html_lines.marked_lines("<a b='x\" c=\"> " * 40_001)
+    assert time.process_time() - start < 5
+
+
 @pytest.mark.parametrize("bits", [1 << 28, 40])
 def test_longest_common_subsequence(monkeypatch, bits):
     monkeypatch.setattr(html_lines, "TABLE_BITS", bits)
