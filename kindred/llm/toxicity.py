@@ -8,9 +8,10 @@ characters; only those that positives hold clearly more often than unlabelled te
 that long clean texts don't gather a score. Several classifiers with their own shares of the
 unlabelled texts are averaged.
 
-The fit uses at most ``POSITIVES`` and ``UNLABELLED`` texts, chosen by hash. The prior is the
-share of toxic rows among all labels outside the held-out fold. Scoring is a map over whole texts
-without any shuffle, with one broadcast table of at most ``FEATURES`` weights.
+The fit uses at most ``POSITIVES`` and ``UNLABELLED`` texts, chosen by hash of distinct ids. How
+often unlabelled documents hold a feature is counted over all of them. The prior is the share of
+toxic rows among all labels outside the held-out fold. Scoring is a map over whole texts without
+any shuffle, with one broadcast table of at most ``FEATURES`` weights.
 """
 
 from __future__ import annotations
@@ -22,9 +23,11 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kindred.llm.arrow import map_slices
 from kindred.llm.learning import agreed, features_of, in_fold, sample, sigmoid
 from kindred.llm.words import LOWER, UPPER, WORD
 
@@ -87,28 +90,42 @@ class Model:
         return float(sigmoid(self.weights[:, found].sum(1) + self.offsets).mean())
 
 
+def candidates(positive: list[np.ndarray]) -> tuple[dict[int, int], np.ndarray]:
+    """Features that enough positives hold, with their places, and how many hold each.
+
+    One in a hundred positives must have it, so that the words of one much copied text are no
+    feature.
+    """
+    count = np.zeros(SPACE, np.int32)
+    for row in positive:
+        count[row] += 1
+    found = np.flatnonzero(count >= max(3, 0.01 * len(positive)))
+    return {int(number): place for place, number in enumerate(found)}, count[found]
+
+
 def choose(
-    positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
+    positive: list[np.ndarray],
+    known: tuple[dict[int, int], np.ndarray],
+    mixed: np.ndarray,
+    documents: int,
+    prior: float,
 ) -> dict[int, int]:
     """Features far more frequent in positives than in clean texts, the surest first.
 
-    The clean share is the unlabelled share less the positives' part of it. How sure a feature is
-    follows from a Poisson tail: its count in positives against the count that the clean share
-    makes likely. One in a hundred positives must have it, so that the words of one much copied
-    text are no feature.
+    ``mixed`` says how many of all unlabelled documents hold each candidate. The clean share is the
+    unlabelled share less the positives' part of it. How sure a feature is follows from a Poisson
+    tail: its count in positives against the count that the clean share makes likely.
     """
-    counts = [np.zeros(SPACE, np.int32) for _ in range(2)]
-    for count, rows in zip(counts, (positive, unlabelled)):
-        for row in rows:
-            count[row] += 1
-    share, mixed = (count / len(rows) for count, rows in zip(counts, (positive, unlabelled)))
-    clean = np.maximum(mixed - prior * share, 0) / (1 - prior) + 1 / len(unlabelled)
-    usual, seen = clean * len(positive), np.maximum(counts[0], 1)
-    sure = seen * np.log(seen / usual) - (seen - usual)
-    sure[(counts[0] < max(3, 0.01 * len(positive))) | (share < 5 * clean)] = 0
+    numbers, count = known
+    share = count / len(positive)
+    clean = np.maximum(mixed / documents - prior * share, 0) / (1 - prior) + 1 / documents
+    usual = clean * len(positive)
+    sure = count * np.log(count / usual) - (count - usual)
+    sure[share < 5 * clean] = 0
     best = np.argsort(-sure, kind="stable")[:FEATURES]
     bar = 3.5 * np.log(len(positive) + 1)  # more positives hold more words that could pass by chance
-    return {int(number): place for place, number in enumerate(best[sure[best] > bar])}
+    number_of = list(numbers)
+    return {number_of[at]: place for place, at in enumerate(best[sure[best] > bar])}
 
 
 def non_negative_fit(
@@ -141,12 +158,10 @@ def non_negative_fit(
     return params[:-1], float(params[-1])
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
-    """A model from rows of feature numbers; one that finds nothing toxic without positives."""
-    if not positive or not unlabelled:
-        return Model()
-    prior = min(max(prior, 0.001), 0.9)
-    chosen = choose(positive, unlabelled, prior)
+def fit(
+    positive: list[np.ndarray], unlabelled: list[np.ndarray], chosen: dict[int, int], prior: float
+) -> Model:
+    """A model from rows of feature numbers and the features chosen."""
 
     def matrix(rows: list[np.ndarray]) -> np.ndarray:
         dense = np.zeros((len(rows), len(chosen)), np.float32)
@@ -163,21 +178,62 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
     return Model(chosen, np.stack([m[0] for m in members]), np.array([m[1] for m in members]))
 
 
+def open_documents(docs: DataFrame) -> DataFrame:
+    """Rows outside the held-out fold; all of them count as unlabelled."""
+    return docs.filter(F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"), FOLDS, HELD_OUT))
+
+
+def unlabelled_sample(docs: DataFrame) -> DataFrame:
+    return sample(open_documents(docs).select("doc_id").distinct(), UNLABELLED)
+
+
+def holders(docs: DataFrame, numbers: dict[int, int]) -> tuple[np.ndarray, int]:
+    """How many unlabelled documents hold each feature, by its place, and how many there are.
+
+    Of rows with one id, one counts: that with the smallest list of places.
+    """
+
+    def places():
+        find = features(numbers)
+
+        def rows(batch: pa.RecordBatch) -> dict:
+            found = [find(text or "").astype(">u4").tobytes() for text in batch["text"].to_pylist()]
+            return {"doc_id": batch["doc_id"], "found": found}
+
+        return rows
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, documents = np.zeros(len(numbers) + 1, np.int64), 0
+        for batch in batches:
+            documents += batch.num_rows
+            for found in batch["found"].to_pylist():
+                total[np.frombuffer(found, ">u4")] += 1
+        total[-1] = documents
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["place", "n"])
+
+    rows = map_slices(open_documents(docs).select("doc_id", "text"), places, "doc_id bigint, found binary")
+    one = rows.groupBy("doc_id").agg(F.min("found").alias("found")).select("found")
+    counts = one.mapInArrow(count, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n"))
+    total = np.zeros(len(numbers) + 1, np.int64)
+    for place, n in counts.collect():
+        total[place] = n
+    return total[:-1], int(total[-1])
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
-    """Fits on bounded samples outside the held-out fold."""
+    """Fits on bounded samples outside the held-out fold; without positives nothing is toxic."""
     known = agreed(labels, label).filter(~in_fold(F.col("doc_id"), FOLDS, HELD_OUT))
     prior = known.agg(F.avg("label")).first()[0] or 0.0
+    prior = min(max(prior, 0.001), 0.9)
     positives = sample(known.filter("label = 1"), POSITIVES)
-    open_ids = docs.select("doc_id").filter(
-        F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"), FOLDS, HELD_OUT)
-    )
-    unlabelled = sample(open_ids, UNLABELLED).distinct().withColumn("label", F.lit(-1))
+    unlabelled = unlabelled_sample(docs).withColumn("label", F.lit(-1))
     rows = features_of(docs, positives.unionByName(unlabelled), features)
-    return fit(
-        [found for _, kind, found in rows if kind == 1],
-        [found for _, kind, found in rows if kind == -1],
-        prior,
-    )
+    positive, mixed = ([found for _, kind, found in rows if kind == wanted] for wanted in (1, -1))
+    if not positive or not mixed:
+        return Model()
+    found = candidates(positive)
+    return fit(positive, mixed, choose(positive, found, *holders(docs, found[0]), prior), prior)
 
 
 def score(spark: SparkSession, model: Model, text: Column) -> Column:
