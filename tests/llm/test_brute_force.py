@@ -409,3 +409,43 @@ def test_pipeline(spark, docs):
         tokenizer.decode(np.frombuffer(row.ids, "<u4").tolist(), skip_special_tokens=False) == row.decoded
         for row in found.itertuples()
     )
+
+
+def test_pipeline_chain(spark, docs, tmp_path):
+    """Quality and line stages, each on its predecessor's output, and the rows of the whole chain."""
+    from kindred.llm import quality_classifier
+
+    frame = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    scores = quality_classifier.classify(frame, spark.read.parquet(f"{SF_DIR}/labels.parquet")).toPandas()
+    good = set(scores.loc[scores["score"] >= 0.5, "doc_id"])
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        before, path = frame.toPandas(), str(tmp_path / str(number))
+        stage(spark, frame, SF_DIR).write.parquet(path)
+        frame = spark.read.parquet(path)
+        after = frame.toPandas()
+        if number == 0:
+            assert sorted(after["doc_id"]) == sorted(i for i in before["doc_id"] if i in good)
+            assert dict(zip(after["doc_id"], after["text"])).items() <= dict(zip(docs["doc_id"], docs["text"])).items()
+        elif number == 1:
+            key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(TO_LOWER)
+            owners = {}
+            for row in before.itertuples():
+                for line in row.text.split("\n"):
+                    owners[key(line)] = min(owners.get(key(line), row.doc_id), row.doc_id)
+            want = {
+                row.doc_id: "\n".join(
+                    line for line in row.text.split("\n") if len(key(line)) < 10 or owners[key(line)] == row.doc_id
+                )
+                for row in before.itertuples()
+            }
+            assert dict(zip(after["doc_id"], after["text"])) == want and len(after) == len(before)
+        elif number == 2:
+            kept = {i for i, (_, root) in components(before, 5).items() if i == root}
+            assert sorted(after["doc_id"]) == sorted(kept)
+    found = corpus_pipeline.run(spark, SF_DIR).toPandas()
+    assert sorted(found["doc_id"]) == sorted(after["doc_id"])
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    texts = dict(zip(after["doc_id"], after["text"]))
+    for row in found.itertuples():
+        ids = tokenizer.encode(texts[row.doc_id], add_special_tokens=False).ids
+        assert np.frombuffer(row.ids, "<u4").tolist() == ids
