@@ -8,16 +8,20 @@ from pyspark.sql import functions as F
 from kindred.llm import (
     bpe,
     html_extract,
+    lexical_search,
     line_dedup,
     mixing,
     near_dedup,
     neighbours,
     quality_classifier,
     quality_rules,
+    source_audit,
+    token_files,
     toxicity,
     url_filter,
 )
 from kindred.plans.registry import Registry
+from kindred.session import work_folder
 
 QUERIES = Registry()
 
@@ -225,3 +229,95 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @QUERIES.add()
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4)
+
+
+@QUERIES.add()
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = work_folder(spark, "token-files")
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), vocabulary, folder, end_id=1)
+    return token_files.read_tokens(spark, folder).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
+
+
+LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SEARCH_TERMS_SQL = (
+    f"regexp_extract_all({LOWER_SQL}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+)
+
+
+@QUERIES.add(
+    f"""
+    WITH words AS (
+        SELECT row_no, doc_id, unnest({SEARCH_TERMS_SQL}) AS term
+        FROM (SELECT row_number() OVER () AS row_no, * FROM documents)),
+    counts AS (SELECT row_no, doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+    sizes AS (SELECT row_no, sum(tf)::BIGINT AS n FROM counts GROUP BY row_no),
+    corpus AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_words FROM sizes),
+    asked AS (SELECT DISTINCT item_id, unnest({SEARCH_TERMS_SQL}) AS term FROM benchmark),
+    weights AS (
+        SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w
+        FROM counts, corpus WHERE term IN (SELECT term FROM asked) GROUP BY term, n_docs),
+    scored AS (
+        SELECT item_id, row_no, doc_id,
+               sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_words))))::BIGINT
+                   AS score
+        FROM asked JOIN weights USING (term) JOIN counts USING (term) JOIN sizes USING (row_no), corpus
+        GROUP BY ALL)
+    SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank,
+           doc_id, score
+    FROM scored WHERE score > 0 QUALIFY rank <= 50
+    """
+)
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+AUDIT_TERMS_SQL = (
+    f"regexp_extract_all({LOWER_SQL}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+)
+
+
+@QUERIES.add(
+    f"""
+    WITH docs AS (
+        SELECT row_number() OVER () AS row_no, coalesce(lang, '') AS lang, coalesce(source, '') AS source, text
+        FROM documents),
+    words AS (SELECT row_no, lang, source, unnest({AUDIT_TERMS_SQL}) AS term FROM docs),
+    counts AS (
+        SELECT lang, source, term, count(*)::HUGEINT AS n, count(DISTINCT row_no) AS held
+        FROM words GROUP BY ALL),
+    kept AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM counts GROUP BY ALL HAVING sum(held) >= 10),
+    langs AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY lang),
+    totals AS (
+        SELECT lang, source, sum(c.n)::HUGEINT AS total FROM counts c JOIN kept USING (lang, term) GROUP BY ALL),
+    groups AS (
+        SELECT lang, source, coalesce(t.total, 0)::HUGEINT AS total
+        FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN totals t USING (lang, source)),
+    shares AS (
+        SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+               1 + (1000000000 * (coalesce(c.n, 0) + 2)) // (g.total + 2 * v) AS p,
+               1 + (1000000000 * (k.n + 2)) // (langs.total + 2 * v) AS q
+        FROM groups g JOIN kept k USING (lang) JOIN langs USING (lang)
+        LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+    sums AS (
+        SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+        FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+        GROUP BY ALL),
+    parts AS (
+        SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+        FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+        UNION ALL
+        SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT
+        FROM shares WHERE n > 0 AND p > q)
+    SELECT lang, source, part, item, value,
+           row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+    FROM parts QUALIFY part = 'pair' OR rank <= 10
+    """
+)
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"))

@@ -173,4 +173,4 @@ def test_stage(spark, odd, none, name, tmp_path):
 
 
 def test_every_operator_is_registered():
-    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 14)}
