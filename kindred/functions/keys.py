@@ -51,6 +51,15 @@ def id_millis(timed: Column | str) -> Column:
     return F.conv(F.element_at(F.split(timed, "-"), -1), 16, 10).cast("bigint")
 
 
+# Fixed value: characters that Spark escapes in the names of partition folders, beside controls.
+ESCAPED = '"#%\'*/:=?\\{[]^\x7f'
+
+
+def folder_value(value: str) -> str:
+    """A partition value as it stands in a folder name, which Spark reads back as the value."""
+    return "".join(f"%{ord(c):02X}" if c in ESCAPED or c < " " else c for c in value)
+
+
 def item_document_id(channel: Column | str, item: Column | str) -> Column:
     """A 64-bit surrogate for (channel, item); the pair itself stays the real key."""
     return F.xxhash64(joined(channel, item))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,16 +13,17 @@ from kindred.operators import filters
 HISTORY_KEY = ("channel_id", "user_id", "time", "item_id")
 
 
-def latest(history: DataFrame) -> DataFrame:
+def latest(history: DataFrame, also: Sequence[str] = ()) -> DataFrame:
     """The winning row per key: highest ``ingest_seq``, then action and rating.
 
-    An aggregate rather than a window, so replayed rows merge before the shuffle.
+    An aggregate rather than a window, so replayed rows merge before the shuffle. ``also`` names
+    columns whose values are kept apart.
     """
     winner = F.max(F.struct("ingest_seq", "action", "rating")).alias("winner")
     return (
-        history.groupBy(*HISTORY_KEY)
+        history.groupBy(*HISTORY_KEY, *also)
         .agg(winner)
-        .select(*HISTORY_KEY, "winner.action", "winner.rating", "winner.ingest_seq")
+        .select(*HISTORY_KEY, "winner.action", "winner.rating", "winner.ingest_seq", *also)
     )
 
 

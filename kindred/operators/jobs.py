@@ -69,8 +69,8 @@ def history_of(runs: DataFrame, channel: str, algo: str) -> DataFrame:
 def algorithm_state(runs: DataFrame, now_ms: Column | None = None) -> DataFrame:
     """Last outcome, last success and current version of each algorithm.
 
-    The version is the number of successful runs, as only they move it on. With ``now_ms``
-    the time since the last success is told too.
+    The version is the highest of successful runs; where runs carry none it is their number, as
+    only they move it on. With ``now_ms`` the time since the last success is told too.
     """
     succeeded = F.col("outcome") == "success"
     last = F.max_by("outcome", F.struct("end_ms", "run_id"))
@@ -79,8 +79,10 @@ def algorithm_state(runs: DataFrame, now_ms: Column | None = None) -> DataFrame:
         last.alias("last_outcome"),
         success.alias("success"),
         F.count_if(succeeded).alias("successes"),
+        F.max(F.when(succeeded, F.col("version").cast("bigint"))).alias("highest"),
     )
-    version = F.when(F.col("successes") > 0, keys.padded(F.col("successes")))
+    number = F.coalesce("highest", F.nullif(F.col("successes"), F.lit(0)))
+    version = F.when(number.isNotNull(), keys.padded(number))
     columns = [
         "channel_id",
         "algo_id",

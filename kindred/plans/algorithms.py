@@ -92,11 +92,12 @@ def run(
     """Compute and publish the next version; returns it. Content-based algorithms read the items
     and attributes under ``root`` and no interactions.
 
-    A failed run is recorded and raised again; the served version stays, and the next run
-    overwrites whatever this one left.
+    The version is claimed first, so runs at once write different ones. A failed run is recorded
+    and raised again; the served version stays, and the next run takes the number and overwrites
+    whatever this one left.
     """
     channel, algo = algorithm.channel_id, algorithm.algo_id
-    version = tables.next_version(spark, root, channel, algo)
+    version = tables.claim_version(spark, root, channel, algo)
     start_ms = int(time.time() * 1000)
     outcome, output = FAILURE, ""
     try:
@@ -108,6 +109,7 @@ def run(
         outcome = SUCCESS
     except Exception as error:
         output = str(error)
+        tables.release_version(spark, root, channel, algo, version)
         raise
     finally:
         tables.record_run(

@@ -21,9 +21,10 @@ from kindred.operators import (
     jobs,
     ranking,
     recommend,
+    rollups,
 )
 from kindred.plans.algorithms import Algorithm, stored
-from kindred.sources import parsing, readers, tables
+from kindred.sources import batches, parsing, readers, tables
 
 
 def _current(spark: SparkSession, root: str, kind: str, channel: str, algo: str) -> DataFrame:
@@ -99,14 +100,22 @@ def ingestion_chart(
     spark: SparkSession, root: str, channel: str, kind: str | None = None
 ) -> DataFrame:
     """Rows per day of a channel, bulk, streamed or both."""
-    rows = filters.of_channel(tables.read_interactions(spark, root), channel)
-    return dashboard.daily_counts(rows, ingestion=kind).orderBy("day")
+    counts = filters.of_channel(tables.read_rollups(spark, root), channel)
+    return rollups.daily_counts(counts, ingestion=kind).orderBy("day")
 
 
 def channel_page(spark: SparkSession, root: str, channel: str) -> tuple[DataFrame, DataFrame]:
     """Counts per day, ingestion type and action, and the totals of a channel."""
-    rows = filters.of_channel(tables.read_interactions(spark, root), channel)
-    return dashboard.facets(rows), dashboard.totals(rows, exact=False)
+    counts = filters.of_channel(tables.read_rollups(spark, root), channel)
+    return rollups.facets(counts), rollups.totals(counts)
+
+
+def audience(
+    spark: SparkSession, root: str, channel: str, first: str | None = None, last: str | None = None
+) -> DataFrame:
+    """Rows and about how many distinct users and items a channel had in a range of days."""
+    counts = filters.of_channel(tables.read_rollups(spark, root), channel)
+    return rollups.totals(rollups.of_days(counts, first, last))
 
 
 def data_browser(spark: SparkSession, root: str, channel: str) -> DataFrame:
@@ -115,8 +124,8 @@ def data_browser(spark: SparkSession, root: str, channel: str) -> DataFrame:
 
 
 def upload_chart(spark: SparkSession, root: str, upload: str) -> DataFrame:
-    rows = filters.of_upload(tables.read_interactions(spark, root), upload)
-    return dashboard.upload_daily_counts(rows).orderBy("day")
+    counts = filters.of_upload(tables.read_rollups(spark, root), upload)
+    return rollups.upload_daily_counts(counts).orderBy("day")
 
 
 def item_page(
@@ -131,8 +140,8 @@ def item_page(
 
 def browser_total(spark: SparkSession, root: str, channel: str) -> DataFrame:
     """The number of rows beside the data browser."""
-    rows = filters.of_channel(tables.read_interactions(spark, root), channel)
-    return rows.agg(F.count(F.lit(1)).alias("total"))
+    counts = filters.of_channel(tables.read_rollups(spark, root), channel)
+    return counts.agg(F.coalesce(F.sum("hits"), F.lit(0)).alias("total"))
 
 
 def clients(spark: SparkSession, root: str, search: str | None = None) -> DataFrame:
@@ -156,8 +165,8 @@ def owner(spark: SparkSession, root: str, channel: str) -> DataFrame:
 def uploads(spark: SparkSession, root: str, channel: str) -> DataFrame:
     """Registered uploads of a channel with what was loaded from them."""
     mine = filters.of_channel(tables.read_catalog(spark, root, tables.UPLOADS), channel)
-    rows = filters.of_channel(tables.read_interactions(spark, root), channel)
-    return dashboard.upload_summary(mine, rows)
+    counts = filters.of_channel(tables.read_rollups(spark, root), channel)
+    return rollups.upload_summary(mine, counts)
 
 
 def coverage(spark: SparkSession, root: str, channel: str) -> DataFrame:
@@ -179,8 +188,10 @@ def load_registered(spark: SparkSession, root: str, upload: str) -> None:
         raise ValueError(f"upload {upload} is not registered")
     channel = row["channel_id"]
     of = tables.read_catalog(spark, root, tables.CHANNELS).where(F.col("channel_id") == channel)
-    client = of.first()["client_id"]
-    load_upload(spark, root, row["path"], client, channel, upload, row["upload_ms"])
+    owner = of.first()
+    if owner is None:
+        raise ValueError(f"channel {channel} of upload {upload} is not registered")
+    load_upload(spark, root, row["path"], owner["client_id"], channel, upload, row["upload_ms"])
 
 
 def load_upload(
@@ -192,23 +203,20 @@ def load_upload(
     upload: str,
     upload_ms: int,
 ) -> None:
-    """Load an uploaded file into both tables, and its bad lines into the rejects.
+    """Load an uploaded file into all tables, and its bad lines into the rejects.
 
-    ``upload_ms`` orders this load among others in the history. The lines are parsed once
-    for all three. The upload's rows lie in a folder of their own: loading it again replaces
-    them, which also mends a load that broke off.
+    ``upload_ms`` orders this load among others in the history. The lines are parsed once for all
+    tables. Loading an upload again replaces its rows, also those that were merged meanwhile; a load
+    that breaks off leaves what was there.
     """
     parsed = parsing.parse_bulk(
         readers.bulk_lines(spark, path), client, channel, upload
     ).persist()
     try:
         good = parsing.accepted(parsed)
-        outputs = {
-            tables.INTERACTIONS: good,
-            tables.HISTORY: history.from_interactions(good, F.lit(upload_ms)),
-            tables.REJECTS: parsing.rejected(parsed),
-        }
-        for name, output in outputs.items():
-            tables.write_batch(output, root, name, f"upload-{upload}", 0)
+        past = history.from_interactions(good, F.lit(upload_ms))
+        outputs = tables.ingested(good, past, parsing.rejected(parsed))
+        number = batches.next_batch(spark, root, upload)
+        batches.write(outputs, root, upload, number, batches.LATEST)
     finally:
         parsed.unpersist()

@@ -348,6 +348,32 @@ def similarity_current_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     return current.select("channel_id", "algo_id", "version", "item_id", "other_id", "score")
 
 
+# Ids with characters that mean something in the names of folders.
+ODD_IDS = {"AL/1": "cooccurrence", "AL%31": "jaccard", "AL=1 ü": "cosine"}
+
+
+@QUERIES.add(
+    f"""WITH {pair_ctes(views.ONE_CHANNEL_SQL)},
+scored AS ({" UNION ALL ".join(
+        f"SELECT '{algo}' AS algo_id, item_id, other_id, {SCORE_SQL[base]} AS score FROM pairs"
+        for algo, base in ODD_IDS.items())})
+SELECT algo_id, item_id, other_id, score FROM scored
+UNION ALL SELECT algo_id, other_id, item_id, score FROM scored"""
+)
+def odd_ids_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Algorithms with odd ids, each first registered in another form than it is run in."""
+    root, channel = work_folder(spark, "odd-ids"), views.ONE_CHANNEL
+    rows = _one_channel(spark, sf_dir)
+    for bases in (dict.fromkeys(ODD_IDS, "loglikelihood"), ODD_IDS):
+        defined = spark.createDataFrame([(channel, algo, base) for algo, base in bases.items()],
+                                        "channel_id string, algo_id string, base string")
+        tables.put_catalog(defined, root, tables.ALGORITHMS)
+    for algo in ODD_IDS:
+        algorithms.run(spark, root, rows, algorithms.stored(spark, root, channel, algo))
+    current = tables.current_results(spark, root, tables.SIMILARITY)
+    return current.select("algo_id", "item_id", "other_id", "score")
+
+
 def _published(spark: SparkSession, sf_dir: str) -> DataFrame:
     symmetric = similarity.symmetric(_pairs_of("loglikelihood")(spark, sf_dir))
     return symmetric.select(

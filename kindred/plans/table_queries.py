@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kindred import schemas
 from kindred.functions import keys, text, times
-from kindred.operators import catalog, content, dashboard, history, items, jobs
+from kindred.operators import catalog, content, dashboard, history, items, jobs, rollups
 from kindred.plans import algorithms, requests, views
 from kindred.plans.registry import Registry
 from kindred.session import work_folder
@@ -268,6 +268,101 @@ def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboard.daily_counts(rows, ingestion="stream")
 
 
+# --- compaction beside writers, rollups ----------------------------------------------------
+
+
+def _merged_root(spark: SparkSession, sf_dir: str) -> str:
+    """The tables of ``_both_root`` after two compactions: the first stream merged, the bulk file
+    merged and loaded again, the second stream not merged."""
+    root = _streamed_root(spark, sf_dir)
+    tables.compact(spark, root)
+    path = _bulk_file(spark, sf_dir)
+    requests.load_upload(spark, root, path, "CL-1", "CH-0", "F1", upload_ms=1)
+    tables.compact(spark, root)
+    requests.load_upload(spark, root, path, "CL-1", "CH-0", "F1", upload_ms=1)
+    rows = views.interactions(spark, sf_dir)
+    prefix = F.concat_ws(",", "client_id", "channel_id", F.lit(""))
+    rows.select(_odd_line(prefix).alias("value")).write.text(f"{root}/more")
+    more = readers.message_files(spark, f"{root}/more")
+    ingest.ingest(more, root, f"{root}/more-checkpoint", available_now=True).awaitTermination()
+    return root
+
+
+MERGED_SQL = f"""{BOTH_SQL},
+merged AS (SELECT * FROM loaded UNION ALL SELECT * FROM streamed UNION ALL SELECT * FROM again)"""
+
+
+@QUERIES.add(QUERIES["bulk_and_streamed_interactions"].sql)
+def merged_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _iso(tables.read_interactions(spark, _merged_root(spark, sf_dir)))
+
+
+@QUERIES.add(QUERIES["bulk_and_streamed_history"].sql)
+def merged_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    past = tables.read_history(spark, _merged_root(spark, sf_dir))
+    return past.withColumn("time", times.seconds_text("time")).drop("ingest_seq")
+
+
+@QUERIES.add(
+    f"""WITH {MERGED_SQL},
+days AS (SELECT channel_id, ingestion, action, {DAY_SQL} AS day FROM merged)
+SELECT channel_id,
+       CASE WHEN grouping(day) = 0 THEN 'day' WHEN grouping(ingestion) = 0 THEN 'ingestion'
+            WHEN grouping(action) = 0 THEN 'action' ELSE 'total' END AS facet,
+       coalesce(day, ingestion, action) AS value, count(*) AS hits,
+       count(*) FILTER (WHERE days.ingestion = 'stream') AS stream_hits
+FROM days
+GROUP BY GROUPING SETS (
+  (channel_id, day), (channel_id, ingestion), (channel_id, action), (channel_id))"""
+)
+def rollup_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The channel page from rollups alone."""
+    return rollups.facets(tables.read_rollups(spark, _merged_root(spark, sf_dir)))
+
+
+@QUERIES.add(
+    f"""WITH {MERGED_SQL}, {views.UPLOADS_SQL},
+counts AS (
+  SELECT bulkfile, count(*) AS hits, min(time) AS first, max(time) AS last
+  FROM merged WHERE bulkfile IS NOT NULL GROUP BY bulkfile)
+SELECT u.channel_id, u.upload_id, u.upload_ms, u.oname, coalesce(c.hits, 0) AS hits,
+       strftime(c.first, '%Y-%m-%d') AS first_day, strftime(c.last, '%Y-%m-%d') AS last_day,
+       CASE WHEN c.hits IS NULL THEN 'processing' ELSE 'done' END AS state
+FROM uploads u LEFT JOIN counts c ON c.bulkfile = u.upload_id"""
+)
+def rollup_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = tables.read_rollups(spark, _merged_root(spark, sf_dir))
+    return rollups.upload_summary(views.uploads(spark, sf_dir), counts)
+
+
+@QUERIES.add(
+    f"""WITH {MERGED_SQL},
+spans AS (SELECT channel_id, min(CAST(time AS DATE)) + 3 AS first, min(CAST(time AS DATE)) + 12 AS last
+          FROM merged GROUP BY ALL)
+SELECT channel_id, count(*) AS hits, TRUE AS users_close, TRUE AS items_close
+FROM merged JOIN spans USING (channel_id) WHERE CAST(time AS DATE) BETWEEN first AND last GROUP BY ALL"""
+)
+def rollup_audience(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten days of each channel from united sketches, and whether the distinct counts are within
+    three times their error of exact ones from the interactions."""
+    root = _merged_root(spark, sf_dir)
+    rows, counts = tables.read_interactions(spark, root), tables.read_rollups(spark, root)
+    begin = F.date_add(F.min("day"), 3)
+    spans = counts.groupBy("channel_id").agg(begin.alias("first_day"))
+    inside = F.col("day").between(F.col("first_day"), F.date_add("first_day", 9))
+    near = rollups.totals(counts.join(spans, "channel_id").where(inside))
+    dated = rows.withColumn("day", F.to_date("time")).join(spans, "channel_id")
+    exact = dashboard.totals(dated.where(inside)).select(
+        "channel_id", F.col("distinct_users").alias("users"), F.col("distinct_items").alias("items")
+    )
+
+    def close(name: str) -> Column:
+        off = F.abs(F.col(f"distinct_{name}") - F.col(name))
+        return (off <= F.greatest(F.lit(1.0), 3 * rollups.DISTINCT_ERROR * F.col(name))).alias(f"{name}_close")
+
+    return near.join(exact, "channel_id").select("channel_id", "hits", close("users"), close("items"))
+
+
 # --- history -------------------------------------------------------------------------------
 
 LATEST_SQL = """latest AS (
@@ -782,8 +877,8 @@ def content_similar_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _catalog_root(spark: SparkSession, sf_dir: str) -> str:
     """Clients, channels, uploads, interactions and attributes in tables of their own."""
     root = work_folder(spark, "catalog")
-    tables.append_catalog(views.clients(spark, sf_dir), root, tables.CLIENTS)
-    tables.append_catalog(views.channels(spark, sf_dir), root, tables.CHANNELS)
+    tables.put_catalog(views.clients(spark, sf_dir), root, tables.CLIENTS)
+    tables.put_catalog(views.channels(spark, sf_dir), root, tables.CHANNELS)
     return root
 
 
@@ -792,6 +887,37 @@ def stored_client_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.clients(spark, _catalog_root(spark, sf_dir))
 
 
+@QUERIES.add(
+    f"""WITH {views.CLIENTS_SQL}, {views.CHANNELS_SQL},
+edited AS (
+  SELECT client_id, CASE WHEN created_ms % 3 = 0 THEN name || ' & Co' ELSE name END AS name, created_ms
+  FROM (SELECT * REPLACE (created_ms + CAST(substr(client_id, 4) AS BIGINT) AS created_ms) FROM clients)
+  WHERE created_ms % 5 <> 0),
+moved AS (
+  SELECT channel_id, name, created_ms,
+         CASE WHEN created_ms % 4000 = 0 THEN 'CL-1' ELSE client_id END AS client_id FROM channels)
+SELECT c.client_id, c.name, count(h.channel_id) AS channels
+FROM edited c LEFT JOIN moved h ON h.client_id = c.client_id GROUP BY ALL"""
+)
+def edited_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clients renamed or removed and channels given to another client, some of it merged."""
+    root = work_folder(spark, "edited")
+    number = F.substring("client_id", 4, 9).cast("bigint")
+    clients = views.clients(spark, sf_dir).withColumn("created_ms", F.col("created_ms") + number)
+    channels = views.channels(spark, sf_dir)
+    tables.put_catalog(clients, root, tables.CLIENTS)
+    tables.put_catalog(channels, root, tables.CHANNELS)
+    renamed = clients.where("created_ms % 3 = 0").withColumn("name", F.concat("name", F.lit(" & Co")))
+    tables.put_catalog(renamed, root, tables.CLIENTS)
+    tables.compact(spark, root)
+    moved = channels.where("created_ms % 4000 = 0").withColumn("client_id", F.lit("CL-1"))
+    tables.put_catalog(moved, root, tables.CHANNELS)
+    tables.remove_catalog(clients.where("created_ms % 5 = 0"), root, tables.CLIENTS)
+    return catalog.channel_counts(
+        tables.read_catalog(spark, root, tables.CLIENTS), tables.read_catalog(spark, root, tables.CHANNELS)
+    )
+
+
 @QUERIES.add(
     f"""WITH {views.CHANNELS_SQL}
 SELECT channel_id, client_id, name, created_ms,
@@ -818,7 +944,7 @@ FROM uploads u LEFT JOIN counts c ON c.bulkfile = u.upload_id WHERE u.channel_id
 )
 def stored_uploads_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = work_folder(spark, "uploads")
-    tables.append_catalog(views.uploads(spark, sf_dir), root, tables.UPLOADS)
+    tables.put_catalog(views.uploads(spark, sf_dir), root, tables.UPLOADS)
     tables.append_interactions(views.interactions(spark, sf_dir).drop("event_id"), root)
     order = Window.orderBy(F.col("upload_ms").desc(), "upload_id")
     page = requests.uploads(spark, root, "CH-1")
@@ -829,7 +955,7 @@ def _items_root(spark: SparkSession, sf_dir: str) -> str:
     """All parts as submitted items of one channel with its declared attributes."""
     root, channel = work_folder(spark, "stored-items"), views.ONE_CHANNEL
     declared = items.declaration(spark, channel, views.ITEM_ATTRIBUTES)
-    tables.append_catalog(declared, root, tables.ATTRIBUTES)
+    tables.put_catalog(declared, root, tables.ATTRIBUTES)
     texts = {key: F.col(key).cast("string") for key in views.ITEM_ATTRIBUTES}
     pairs = F.create_map(*[part for key, value in texts.items() for part in (F.lit(key), value)])
     submitted = views.items(spark, sf_dir).select(
@@ -865,7 +991,7 @@ def served_content_similar_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     root, channel, algo = _items_root(spark, sf_dir), views.ONE_CHANNEL, "AL-content"
     row = [(channel, algo, "contentbased", None, content.MEDIAN)]
     defined = spark.createDataFrame(row, schemas.ALGORITHMS)
-    tables.append_catalog(defined, root, tables.ALGORITHMS)
+    tables.put_catalog(defined, root, tables.ALGORITHMS)
     algorithms.run(spark, root, None, algorithms.stored(spark, root, channel, algo))
     return requests.similar_items(spark, root, channel, algo, 7, 20)
 

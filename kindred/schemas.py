@@ -8,6 +8,10 @@ USER_HISTORY = (
     "channel_id string, user_id bigint, time timestamp, item_id bigint, "
     "action string, rating double, ingest_seq bigint"
 )
+ROLLUPS = (
+    "channel_id string, ingestion string, bulkfile string, action string, day date, "
+    "hits bigint, first timestamp, last timestamp, users binary, items binary"
+)
 SIMILARITY = (
     "channel_id string, algo_id string, version string, "
     "item_id bigint, other_id bigint, score bigint"

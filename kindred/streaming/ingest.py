@@ -9,31 +9,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from kindred.operators import history
-from kindred.sources import parsing, tables
+from kindred.sources import batches, parsing, tables
 
 # Fixed value: how often a continuously running stream takes a batch.
 BATCH_INTERVAL = "1 second"
 
 
 def write_batch(parsed: DataFrame, stream_id: str, batch_id: int, root: str) -> None:
-    """Write one parsed batch to both tables, and its bad lines to the rejects.
+    """Write one parsed batch to all tables, and its bad lines to the rejects.
 
-    Every batch of a stream owns a folder and overwrites it, so a batch that runs again after a
-    failure leaves no duplicates, and streams don't touch each other's rows. ``taken_ms``, the
-    time of the batch, places its rows in the history; rows without it count as loaded first.
+    The batch becomes visible in all tables at once. One that runs again after a failure counts
+    once, whether it was merged meanwhile or not, and streams don't touch each other's rows.
+    ``taken_ms``, the time of the batch, places its rows in the history; rows without it count as
+    loaded first.
     """
     rows = parsed.persist()
     try:
-        good = parsing.accepted(rows)
         taken = F.col("taken_ms") if "taken_ms" in rows.columns else F.lit(0)
-        past = rows.where(F.col("reason").isNull())
-        outputs = {
-            tables.INTERACTIONS: good,
-            tables.HISTORY: history.from_interactions(past, taken),
-            tables.REJECTS: parsing.rejected(rows),
-        }
-        for name, output in outputs.items():
-            tables.write_batch(output, root, name, stream_id, batch_id)
+        past = history.from_interactions(rows.where(F.col("reason").isNull()), taken)
+        outputs = tables.ingested(parsing.accepted(rows), past, parsing.rejected(rows))
+        batches.write(outputs, root, stream_id, batch_id)
     finally:
         rows.unpersist()
 

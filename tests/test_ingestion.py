@@ -111,24 +111,6 @@ def test_a_repeated_batch_leaves_no_duplicates(spark):
     assert tables.read_rejects(spark, root).count() == len(BROKEN)
 
 
-def test_compacting_keeps_both_tables(spark):
-    root, target = work_folder(spark, "loose"), work_folder(spark, "compacted")
-    bulk = parsing.accepted(parsing.parse_bulk(lines(spark, LINES), "CL-1", "CH-1", "F1"))
-    tables.append_interactions(bulk, root)
-    tables.append_history(bulk, root, F.lit(0))
-    for batch_id, text in enumerate(LINES[:3], start=1):
-        parsed = parsing.parse_messages(lines(spark, [f"CL-1,CH-2,{text}"]))
-        ingest.write_batch(parsed, "S1", batch_id, root)
-    tables.record_run(spark, root, channel_id="CH-1", algo_id="AL-1", version="000001", outcome="success")
-    runs = tables.read_runs(spark, root).collect()
-    tables.compact(spark, root, target)
-    for read in (tables.read_interactions, tables.read_history):
-        before, after = read(spark, root), read(spark, target)
-        assert after.exceptAll(before).isEmpty() and before.exceptAll(after).isEmpty()
-    assert tables.read_interactions(spark, target).count() == len(LINES) + 3
-    assert tables.read_runs(spark, target).collect() == runs
-
-
 def test_columns_are_the_canonical_ones(spark):
     parsed = parsing.parse_messages(lines(spark, LINES))
     for frame, schema in (

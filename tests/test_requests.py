@@ -125,7 +125,7 @@ def test_catalog(spark, tmp_path):
         ),
     }
     for name, (values, columns) in rows.items():
-        tables.append_catalog(spark.createDataFrame(values, columns.split(", ")), folder, name)
+        tables.put_catalog(spark.createDataFrame(values, columns.split(", ")), folder, name)
     for _ in range(2):  # loading again replaces the upload's rows
         requests.load_registered(spark, folder, "F1")
     assert tables.read_interactions(spark, folder).count() == 8
@@ -149,7 +149,7 @@ def test_catalog(spark, tmp_path):
     declared = items.declaration(
         spark, CHANNEL, {"size": ("Size", items.NUMERIC), "brand": ("Brand", items.CATEGORICAL)}
     )
-    tables.append_catalog(declared, folder, tables.ATTRIBUTES)
+    tables.put_catalog(declared, folder, tables.ATTRIBUTES)
     submitted = spark.createDataFrame(
         [(CHANNEL, 1, 1, {"size": "4", "brand": "A"}), (CHANNEL, 2, 1, {"size": "4", "brand": "A"}),
          (CHANNEL, 3, 1, {"brand": "B"})],
