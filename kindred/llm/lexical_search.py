@@ -33,44 +33,49 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kindred.llm.arrow import map_slices
-from kindred.llm.words import LOWER, UPPER, written
+from kindred.llm.words import written
 from kindred.operators import skew
 
-TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-TO_LOWER = str.maketrans(UPPER, LOWER)
+# On UTF-8: the bytes of characters beyond ASCII are all above 0x7F, so terms are the same.
+TERM = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 HASHES = 3
-BITS_PER_ENTRY = 12  # rows of the signature per (term, level) of the largest document
+BITS_PER_ENTRY = 16  # rows of the signature per (term, level) of the largest document
 GROUP_DOCS, GROUP_ENTRIES = 1024, 1 << 20
 MOST_ROWS = 1 << 22  # larger documents get denser signatures, that is looser bounds
 RECENT_TERMS, COUNTED_TERMS = 1 << 18, 1 << 19
 BLOCK_TERMS = 1 << 15  # terms of the items that are answered together
-LEVELS = sorted({1, *(2**k for k in range(1, 40)), *(3 * 2**k for k in range(39))})
+LEVELS = np.array(sorted({1, *(2**k for k in range(1, 40)), *(3 * 2**k for k in range(39))}))
 INDEX = (
     "term string, df bigint, n_docs bigint, n_terms bigint, entries bigint, ids binary, "
     "known binary, sizes binary, most binary, slices binary"
 )
 NO_ID = np.iinfo(np.int64).max  # stands for a NULL id, which comes last among ties
-MIXER = 0x9E3779B97F4A7C15
+MIXER = np.array(0x9E3779B97F4A7C15, np.uint64)
 
 
-def terms_of(text: str) -> list[str]:
-    """Letters and digits of ASCII and everything beyond it, with A-Z in lower case."""
-    return TERM.findall(text.lower() if text.isascii() else text.translate(TO_LOWER))
+def terms_of(text: bytes | None) -> list[bytes]:
+    """Letters and digits of ASCII and everything beyond it, with A-Z in lower case, from UTF-8."""
+    return TERM.findall(text.lower()) if text else []
+
+
+def utf8(batch: pa.RecordBatch) -> list[bytes | None]:
+    return batch["text"].cast(pa.binary()).to_pylist()
 
 
 class _Hashes(dict):
     """64-bit hashes of recent terms."""
 
-    def __missing__(self, term: str) -> int:
+    def __missing__(self, term: bytes) -> int:
         if len(self) >= RECENT_TERMS:
             self.clear()
         found = self[term] = xxhash.xxh3_64_intdigest(term)
         return found
 
 
-def at_level(hashes: np.ndarray, level: int) -> np.ndarray:
+def at_level(hashes: np.ndarray, level: np.ndarray | int) -> np.ndarray:
     """Hashes of (term, level): a mix of the term's hash and the level's number."""
-    mixed = (hashes + np.uint64((level + 1) * MIXER % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+    step = (np.asarray(level, np.uint64) + np.uint64(1)) * MIXER
+    mixed = (hashes + step) * np.uint64(0xBF58476D1CE4E5B9)
     return (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
 
 
@@ -97,12 +102,12 @@ class GroupWriter:
         """A row of the index once the document completes its group."""
         hashes = np.fromiter(map(self.hashes.__getitem__, counts), np.uint64, len(counts))
         times = np.fromiter(counts.values(), np.int64, len(counts))
-        most, parts = int(times.max()), []
-        for level, least in enumerate(LEVELS):
-            if least > most:
-                break
-            parts.append(at_level(hashes[times >= least], level))
-        entries = np.concatenate(parts)
+        most = int(times.max())
+        # A term has an entry for each level up to its frequency.
+        reached = np.searchsorted(LEVELS, times, "right")
+        ends = np.cumsum(reached)
+        level = np.arange(ends[-1]) - np.repeat(ends - reached, reached)
+        entries = at_level(np.repeat(hashes, reached), level)
         bound = max(8, 1 << (entries.size - 1).bit_length())
         group = self.open[bound]
         group.append((doc_id, int(times.sum()), most, entries))
@@ -135,13 +140,20 @@ class GroupWriter:
 
 @dataclass(frozen=True)
 class Index:
-    """The written index: groups of signatures, documents per term, and what they sum up to."""
+    """The written index: groups of signatures, documents per term as each task counted them, and
+    what they sum up to."""
 
     groups: DataFrame
     terms: DataFrame
     documents: int
     words: int
 
+    def holders(self, terms: DataFrame) -> DataFrame:
+        """How many documents hold each of some terms. These are few, so they pick the rows to sum
+        before any shuffle."""
+        found = self.terms.join(skew.measured(terms.select("term").distinct(), ["term"]), "term")
+        return found.groupBy("term").agg(F.sum("df").alias("df"))
+
 
 def build_index(docs: DataFrame) -> Index:
     """Signatures of all documents with at least one term, and every term's documents.
@@ -159,7 +171,7 @@ def build_index(docs: DataFrame) -> Index:
         writer, df = GroupWriter(), Counter()
 
         def counted() -> Iterator[pa.RecordBatch]:
-            terms, numbers = list(df), list(df.values())
+            terms, numbers = [term.decode() for term in df], list(df.values())
             df.clear()
             for start in range(0, len(terms), 1 << 16):
                 part = slice(start, start + (1 << 16))
@@ -172,8 +184,8 @@ def build_index(docs: DataFrame) -> Index:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                for doc_id, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist()):
-                    counts = Counter(terms_of(text or ""))
+                for doc_id, text in zip(part["doc_id"].to_pylist(), utf8(part)):
+                    counts = Counter(terms_of(text))
                     if not counts:
                         continue
                     df.update(counts.keys())
@@ -189,7 +201,7 @@ def build_index(docs: DataFrame) -> Index:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     stored = written(texts.mapInArrow(run, INDEX), "lexical-index")
     groups = stored.filter("slices IS NOT NULL").drop("term", "df")
-    terms = stored.filter("term IS NOT NULL").groupBy("term").agg(F.sum("df").alias("df"))
+    terms = stored.filter("term IS NOT NULL").select("term", "df")
     n_docs, n_terms = groups.agg(F.sum("n_docs"), F.sum("n_terms")).first()
     return Index(groups, terms, n_docs or 0, n_terms or 0)
 
@@ -199,8 +211,8 @@ def item_terms(items: DataFrame) -> DataFrame:
 
     def make():
         def rows(batch: pa.RecordBatch) -> dict:
-            texts = zip(batch["item_id"].to_pylist(), batch["text"].to_pylist())
-            found = [(item, term) for item, text in texts for term in set(terms_of(text or ""))]
+            texts = zip(batch["item_id"].to_pylist(), utf8(batch))
+            found = [(item, term.decode()) for item, text in texts for term in set(terms_of(text))]
             return {"item_id": [item for item, _ in found], "term": [term for _, term in found]}
 
         return rows
@@ -213,7 +225,7 @@ def item_terms(items: DataFrame) -> DataFrame:
 class Block:
     """Items that are answered together: their terms with weights, and items as places of terms."""
 
-    terms: list[str]
+    terms: list[bytes]
     weights: np.ndarray
     items: list[np.ndarray]
     words_per_document: tuple[int, int]  # words and documents of the corpus
@@ -223,7 +235,7 @@ class Block:
         words, documents = self.words_per_document
         return 20 * (100 - 50 + (50 * n * documents) // words)
 
-    def score(self, item: int, counts: dict[str, int], size: int) -> int:
+    def score(self, item: int, counts: dict[bytes, int], size: int) -> int:
         """The exact score of a document for an item."""
         total = 0
         for place in self.items[item]:
@@ -357,9 +369,9 @@ def exact_scores(docs: DataFrame, wanted: DataFrame, block: Block) -> DataFrame:
 
         def score(batch: pa.RecordBatch) -> dict:
             out: dict[str, list] = {"item": [], "doc_id": [], "score": []}
-            rows = zip(*(batch[name].to_pylist() for name in ("doc_id", "text", "items")))
+            rows = zip(batch["doc_id"].to_pylist(), utf8(batch), batch["items"].to_pylist())
             for doc_id, text, items in rows:
-                counts = Counter(terms_of(text or ""))
+                counts = Counter(terms_of(text))
                 size = int(block.sizes(sum(counts.values()))) if counts else 0
                 for item in items:
                     score = block.score(item, counts, size)
@@ -402,7 +414,8 @@ def search(docs: DataFrame, items: DataFrame, k: int = 50, block_terms: int = BL
     index = build_index(docs)
     if not index.documents:
         return empty
-    known = item_terms(items).join(index.terms, "term").select(
+    terms = written(item_terms(items), "lexical-terms")
+    known = terms.join(index.holders(terms), "term").select(
         "item_id", "term", weight(F.col("df"), index.documents).alias("weight")
     )
     # Items are numbered by their ids; there is one row per item here, not per document.
@@ -445,7 +458,7 @@ def _block(asked: DataFrame, index: Index) -> tuple[Block, list]:
     item_ids = sorted(items, key=lambda item: (item is None, item or 0))
     return (
         Block(
-            list(place),
+            [term.encode() for term in place],
             np.array([weights[term] for term in place], np.int64),
             [np.array(sorted(items[item]), np.int64) for item in item_ids],
             (index.words, index.documents),

@@ -97,18 +97,19 @@ def test_bounds_hold(corpus):
     """No document's score is above its bound, and most bounds are met."""
     docs, items = corpus
     writer, groups = search.GroupWriter(), []
-    counts = {doc_id: Counter(terms(text)) for doc_id, text in docs}
+    counts = {doc_id: Counter(t.encode() for t in terms(text)) for doc_id, text in docs}
+    items = [(item, [t.encode() for t in terms(text)]) for item, text in items]
     for doc_id, c in counts.items():
         groups.append(writer.add(doc_id, c))
     groups = [group for group in [*groups, *writer.rest()] if group]
     assert sum(group["n_docs"] for group in groups) == len(docs)
     df = Counter(t for c in counts.values() for t in c)
-    asked = sorted({t for _, text in items for t in terms(text) if df[t]})
+    asked = sorted({t for _, found in items for t in found if df[t]})
     place = {t: n for n, t in enumerate(asked)}
     block = search.Block(
         asked,
         np.array([math.floor(1000 * math.log((2 * len(docs) + 2) / (2 * df[t] + 1))) for t in asked]),
-        [np.array(sorted({place[t] for t in terms(text) if df[t]}), int) for _, text in items],
+        [np.array(sorted({place[t] for t in found if df[t]}), int) for _, found in items],
         (sum(sum(c.values()) for c in counts.values()), len(docs)),
     )
     hashes = np.array([search.xxhash.xxh3_64_intdigest(t) for t in asked], np.uint64)
@@ -130,8 +131,8 @@ def test_few_documents_are_scored(spark, corpus):
     docs, items = corpus
     frame = spark.createDataFrame(docs, DOCS)
     index = search.build_index(frame)
-    known = search.item_terms(spark.createDataFrame(items, ITEMS)).join(index.terms, "term")
-    weighed = known.select("item_id", "term", search.weight(F.col("df"), index.documents).alias("weight"))
+    known = search.item_terms(spark.createDataFrame(items, ITEMS))
+    weighed = known.join(index.holders(known), "term").select("item_id", "term", search.weight(F.col("df"), index.documents).alias("weight"))
     block, item_ids = search._block(weighed, index)
     bars = {row[0]: row for row in plain(docs, items, 3) if row[1] == 3}
     limits = [(bars[item][3], bars[item][2]) if item in bars else (0, search.NO_ID) for item in item_ids]
