@@ -14,7 +14,7 @@ from kindred.operators import (
     recommend,
     similarity,
 )
-from kindred.plans import algorithms, views
+from kindred.plans import algorithms, incremental, views
 from kindred.plans.registry import Registry
 from kindred.session import work_folder
 from kindred.sources import cells, tables
@@ -167,6 +167,39 @@ def pearson_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.similarity(views.interactions(spark, sf_dir), "pearson")
 
 
+def _kept_up(spark: SparkSession, sf_dir: str, base: str, actions: tuple[str, ...] = ()) -> DataFrame:
+    """Scores after three batches of events, the second one given twice, merged in between."""
+    root, rows = work_folder(spark, "kept-up"), _one_channel(spark, sf_dir)
+    algorithm = algorithms.Algorithm(views.ONE_CHANNEL, "AL-1", base, actions)
+    for batch in (0, 1, 1, 2):
+        part = rows.where(F.col("event_id") % 3 == batch)
+        incremental.update(spark, root, algorithm, part, batch)
+        if batch == 1:
+            incremental.compact(spark, root)
+    return incremental.similarities(spark, root, algorithm)
+
+
+@QUERIES.add(
+    f"""WITH {pair_ctes(views.ONE_CHANNEL_SQL, f"action IN {FILTERED_ACTIONS}")}
+SELECT item_id, other_id, {SCORE_SQL["loglikelihood"]} AS score FROM pairs"""
+)
+def kept_up_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept_up(spark, sf_dir, "loglikelihood", FILTERED_ACTIONS)
+
+
+@QUERIES.add(
+    f"""WITH {pair_ctes(views.ONE_CHANNEL_SQL)}
+SELECT item_id, other_id, {SCORE_SQL["jaccard"]} AS score FROM pairs"""
+)
+def kept_up_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept_up(spark, sf_dir, "jaccard")
+
+
+@QUERIES.add(f"WITH {views.ONE_CHANNEL_SQL}, {PEARSON_CTES} SELECT item_id, other_id, score FROM correlated")
+def kept_up_pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept_up(spark, sf_dir, similarity.PEARSON)
+
+
 @QUERIES.add(
     f"""WITH {views.INTERACTIONS_SQL},
 seen AS (SELECT DISTINCT channel_id, user_id, item_id FROM interactions),

@@ -30,7 +30,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from urllib.parse import quote, unquote
@@ -120,6 +120,15 @@ def write(
     files.claim(spark, f"{root}/{commit.path}")
 
 
+def is_committed(spark: SparkSession, root: str, source: str, batch: int, rule: str = EACH) -> bool:
+    """Whether a batch counts, merged or not."""
+    commits = _commits(spark, root)
+    asked = Commit(rule, source, batch, "")
+    if any((commit.key, commit.batch) == (asked.key, batch) for commit in commits):
+        return True
+    return current(spark, root).holds(asked)
+
+
 def next_batch(spark: SparkSession, root: str, source: str) -> int:
     """The number of a source's next batch, where its batches replace each other."""
     own = [commit.batch for commit in _commits(spark, root) if (commit.rule, commit.source) == (LATEST, source)]
@@ -209,17 +218,27 @@ def _replaced(generation: Generation, commits: list[Commit]) -> list[str]:
     return [c.source for c in commits if c.rule == LATEST and c.key in generation.upto]
 
 
-def read(spark: SparkSession, root: str, table: Table) -> DataFrame:
-    """All rows of a table: merged ones and those of batches that are not merged."""
+def read(
+    spark: SparkSession, root: str, table: Table, parts: Sequence[str] | None = None
+) -> DataFrame:
+    """All rows of a table: merged ones and those of batches that are not merged.
+
+    With ``parts`` only the rows of these buckets, of whatever partition.
+    """
     generation = current(spark, root)
     commits = loose(spark, root, generation)
     schema = T.StructType.fromDDL(table.schema)
     merged = generation.buckets.get(table.name, {})
+    if parts is not None:
+        wanted = {quote(part, safe="") for part in parts}
+        merged = {name: where for name, where in merged.items() if name.rsplit("/", 1)[-1] in wanted}
     found = (
         _of_buckets(spark, root, table, merged, _replaced(generation, commits)),
         _of_batches(spark, root, table, commits),
     )
     rows = [part.select(schema.names) for part in found if part is not None]
+    if parts is not None:
+        rows = [frame.where(table.bucket().isin(list(parts))) for frame in rows]
     return reduce(DataFrame.unionByName, rows) if rows else spark.createDataFrame([], schema)
 
 
