@@ -6,7 +6,7 @@ from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.operators import cooccurrence, filters
+from kindred.operators import cooccurrence, filters, products
 from kindred.session import work_folder
 
 # The model's size and weights.
@@ -66,11 +66,18 @@ def fit(rows: DataFrame, implicit: bool = False, seed: int = 0) -> ALSModel:
     return als.fit(rows)
 
 
+def _numbered(interactions: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Ratings with dense numbers for users and items, and the numbers themselves."""
+    rows, numbers = ratings(interactions), {}
+    for name in ("user_id", "item_id"):
+        numbers[name] = dense_ids(rows, name)
+        rows = rows.join(numbers[name], name)
+    return rows, numbers
+
+
 def predictions(interactions: DataFrame, implicit: bool = False, seed: int = 0) -> DataFrame:
     """``(user_id, item_id, score)`` for every observed pair."""
-    rows = ratings(interactions)
-    for name in ("user_id", "item_id"):
-        rows = rows.join(dense_ids(rows, name), name)
+    rows, _ = _numbered(interactions)
     observed = rows.select("user_id", "item_id", "user_number", "item_number").distinct()
     scored = fit(rows, implicit, seed).transform(observed)
     return scored.select(
@@ -78,3 +85,23 @@ def predictions(interactions: DataFrame, implicit: bool = False, seed: int = 0)
         "item_id",
         F.col("prediction").cast("double").alias("score"),
     )
+
+
+def _vectors(factors: DataFrame, numbers: DataFrame, name: str) -> DataFrame:
+    ids = numbers.select(name, F.col(name.replace("_id", "_number")).alias("id"))
+    return factors.join(ids, "id").select(name, F.col("features").alias("vector"))
+
+
+def unseen(
+    interactions: DataFrame, num: int, implicit: bool = False, seed: int = 0
+) -> tuple[DataFrame, DataFrame]:
+    """(best, looked): the ``num`` items with the highest predictions that each user has not rated,
+    and how many blocks of items had to be looked at (see ``products``)."""
+    rows, numbers = _numbered(interactions)
+    model = fit(rows, implicit, seed)
+    return products.largest_products(
+        _vectors(model.userFactors, numbers["user_id"], "user_id"),
+        _vectors(model.itemFactors, numbers["item_id"], "item_id"),
+        rows.select("user_id", "item_id"),
+        num,
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kindred.operators import (
@@ -10,6 +10,7 @@ from kindred.operators import (
     factorize,
     filters,
     history,
+    products,
     ranking,
     recommend,
     similarity,
@@ -439,52 +440,125 @@ def similarity_decoded_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @QUERIES.add(
-    f"""WITH {views.INTERACTIONS_SQL},
-stored AS (
-  SELECT channel_id, user_id, item_id, max(rating) AS score
-  FROM interactions WHERE action = 'rating' GROUP BY ALL)
-SELECT * FROM (
-  SELECT *, row_number() OVER (
-    PARTITION BY channel_id, user_id ORDER BY score DESC, item_id) AS rank
-  FROM stored) WHERE rank <= 5"""
+    f"""WITH {views.ONE_CHANNEL_SQL},
+known AS (
+  SELECT user_id, item_id, CAST(count(*) * 37 % 11 AS DOUBLE) / 4 AS score FROM interactions GROUP BY ALL)
+SELECT '{views.ONE_CHANNEL}' AS channel_id, user_id, item_id, score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM known)
+WHERE rank <= 5"""
 )
 def stored_recommendations_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ranking of stored scores, with each user's highest ratings as the scores."""
-    rated = filters.ratings_only(views.interactions(spark, sf_dir))
-    stored = rated.groupBy("channel_id", "user_id", "item_id").agg(
-        F.max("rating").alias("score")
+    """The ranking of a published version of predictions, whose scores are made from counts."""
+    root, channel = work_folder(spark, "stored"), views.ONE_CHANNEL
+    scored = _one_channel(spark, sf_dir).groupBy("user_id", "item_id").agg(
+        ((F.count("*") * 37 % 11).cast("double") / 4).alias("score")
     )
-    return ranking.stored_recommendations(stored, 5)
+    algorithm = algorithms.Algorithm(channel, "AL-1", "als")
+    version = tables.claim_version(spark, root, channel, "AL-1")
+    tables.write_result(scored, root, tables.RECOMMENDATIONS, channel, "AL-1", version)
+    tables.record_run(spark, root, channel_id=channel, algo_id="AL-1", version=version, outcome=algorithms.SUCCESS)
+    return algorithms.serve(spark, root, algorithm, 5)
 
 
-# --- factorisation: values depend on the solver's arithmetic, so SQL tells the observed pairs
-# --- and that each score is in the range that ratings from 1 to 5 allow
+# --- factorisation: values depend on the solver's arithmetic, so SQL tells the observed pairs and
+# --- what must hold for any good solution
 
 
-def _als_sql() -> str:
-    return f"""WITH {views.ONE_CHANNEL_SQL}
-SELECT DISTINCT user_id, item_id, TRUE AS in_range FROM interactions
-WHERE action = 'rating' AND rating IS NOT NULL"""
+ALS_SQL = f"""WITH {views.ONE_CHANNEL_SQL},
+observed AS (
+  SELECT DISTINCT user_id, item_id FROM interactions WHERE action = 'rating' AND rating IS NOT NULL)"""
+ALS_CHECKED_SQL = f"""{ALS_SQL}
+SELECT user_id, item_id, TRUE AS in_range, TRUE AS fits FROM observed"""
 
 
-def _in_range(scored: DataFrame, low: float, high: float) -> DataFrame:
+def _checked(rows: DataFrame, scored: DataFrame, wanted: DataFrame, low: float, high: float) -> DataFrame:
+    """Observed pairs, whether each score is in range, and whether the scores fit what they were
+    learned from clearly better than each item's mean does."""
+    means = wanted.groupBy("item_id").agg(F.avg("goal").alias("mean"))
+    both = wanted.join(scored, ["user_id", "item_id"]).join(means, "item_id")
+    errors = both.agg(
+        F.sum((F.col("goal") - F.col("score")) ** 2).alias("ours"),
+        F.sum((F.col("goal") - F.col("mean")) ** 2).alias("plain"),
+    )
+    fits = errors.select((F.col("ours") < 0.8 * F.col("plain")).alias("fits")).scalar()
     return scored.select(
-        "user_id", "item_id", F.col("score").between(low, high).alias("in_range")
+        "user_id", "item_id", F.col("score").between(low, high).alias("in_range"), fits.alias("fits")
     )
 
 
-@QUERIES.add(_als_sql())
+@QUERIES.add(ALS_CHECKED_SQL)
 def als_explicit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _in_range(factorize.predictions(_one_channel(spark, sf_dir)), -1, 7)
+    rows = _one_channel(spark, sf_dir)
+    wanted = factorize.ratings(rows).withColumnRenamed("rating", "goal")
+    return _checked(rows, factorize.predictions(rows), wanted, -1, 7)
 
 
-@QUERIES.add(_als_sql())
+@QUERIES.add(
+    f"""{ALS_SQL}
+SELECT user_id, item_id, TRUE AS in_range FROM observed"""
+)
 def als_implicit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _in_range(factorize.predictions(_one_channel(spark, sf_dir), implicit=True), -1, 4)
+    """Implicit scores are about 1 for what was observed, whatever the rating."""
+    scored = factorize.predictions(_one_channel(spark, sf_dir), implicit=True)
+    return scored.select("user_id", "item_id", F.col("score").between(-1, 4).alias("in_range"))
 
 
-@QUERIES.add()
+@QUERIES.add(
+    f"""{ALS_SQL}
+SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY item_id) AS BIGINT) AS rank,
+       TRUE AS observed, TRUE AS falling
+FROM observed QUALIFY rank <= {ranking.RECOMMENDATIONS_DEFAULT}"""
+)
 def als_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best stored predictions of every user."""
-    stored = factorize.predictions(_one_channel(spark, sf_dir))
-    return ranking.stored_recommendations(stored, by=())
+    """The best stored predictions of every user: ranks, and whether each item was rated by the
+    user and scores no more than the one before."""
+    rows = _one_channel(spark, sf_dir)
+    best = ranking.stored_recommendations(factorize.predictions(rows), by=())
+    rated = factorize.ratings(rows).select("user_id", "item_id").distinct().withColumn("rated", F.lit(True))
+    above = F.lag("score").over(Window.partitionBy("user_id").orderBy("rank"))
+    return best.join(rated, ["user_id", "item_id"], "left").select(
+        "user_id",
+        "rank",
+        F.coalesce("rated", F.lit(False)).alias("observed"),
+        F.coalesce(F.col("score") <= above, F.lit(True)).alias("falling"),
+    )
+
+
+@QUERIES.add(
+    f"""{ALS_SQL}, known AS (SELECT count(DISTINCT item_id) AS items FROM observed)
+SELECT user_id, least(20, items - count(*)) AS found, TRUE AS unseen, TRUE AS falling
+FROM observed, known GROUP BY user_id, items HAVING items > count(*)"""
+)
+def als_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best items a user has not rated, from the factors: how many, and what must hold."""
+    rows = _one_channel(spark, sf_dir)
+    best, _ = factorize.unseen(rows, 20)
+    rated = factorize.ratings(rows).select("user_id", "item_id").distinct().withColumn("rated", F.lit(True))
+    above = F.lag("score").over(Window.partitionBy("user_id").orderBy("rank"))
+    checked = best.withColumn("right", F.coalesce(F.col("score") <= above, F.lit(True)))
+    return checked.join(rated, ["user_id", "item_id"], "left").groupBy("user_id").agg(
+        F.count("*").alias("found"),
+        F.every(F.col("rated").isNull()).alias("unseen"),
+        F.every("right").alias("falling"),
+    )
+
+
+@QUERIES.add(
+    """WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(x * 1000)::DOUBLE) AS vector FROM embeddings)
+SELECT u.vec_id AS user_id, i.vec_id AS item_id, list_inner_product(u.vector, i.vector) AS score,
+       row_number() OVER (
+         PARTITION BY u.vec_id ORDER BY list_inner_product(u.vector, i.vector) DESC, i.vec_id) AS rank
+FROM whole u JOIN whole i ON i.vec_id <> u.vec_id AND i.vec_id <> u.vec_id + 1
+QUALIFY rank <= 10"""
+)
+def largest_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact largest products of all vectors with all others but the next, in whole numbers."""
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000).cast("double"))
+    vectors = views.table(spark, sf_dir, "embeddings").select("vec_id", whole.alias("vector"))
+    users = vectors.withColumnRenamed("vec_id", "user_id")
+    seen = users.select("user_id", F.explode(F.array("user_id", F.col("user_id") + 1)).alias("item_id"))
+    best, _ = products.largest_products(
+        users, vectors.withColumnRenamed("vec_id", "item_id"), seen, 10, block_items=64
+    )
+    return best
