@@ -26,10 +26,10 @@ def word_count(text: Column) -> Column:
     return F.size(word_list(text)).cast("long")
 
 
-def written(frame: DataFrame, name: str) -> DataFrame:
+def written(frame: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """The frame as a Parquet table in the shared work folder, so that a lost executor costs a
     read and not the steps before it."""
     spark: SparkSession = frame.sparkSession
     path = work_folder(spark, name)
-    frame.write.parquet(path)
+    frame.write.parquet(path, compression=compression)
     return spark.read.schema(frame.schema).parquet(path)

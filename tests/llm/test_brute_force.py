@@ -179,25 +179,6 @@ def test_held_out_accuracy(spark, name, label, least):
     assert (ranks[ones].sum() - n1 * (n1 + 1) / 2) / (n1 * n0) > 0.9
 
 
-def test_unlabelled_documents(spark, monkeypatch):
-    """The sample is of documents, not rows, and shares are counted over all documents."""
-    from kindred.llm import toxicity
-
-    texts = {i: f"word{i % 7} common and" + " rare" * (i % 11 == 0) for i in range(300)}
-    frame = spark.createDataFrame(
-        [(i, text) for i, text in texts.items() for _ in range(40 if i % 5 == 0 else 1)],
-        "doc_id bigint, text string",
-    )
-    monkeypatch.setattr(toxicity, "UNLABELLED", 50)
-    sampled = [row["doc_id"] for row in toxicity.unlabelled_sample(frame).collect()]
-    assert len(sampled) == len(set(sampled)) == 50
-    numbers = {n: at for at, n in enumerate(sorted(toxicity.word_features("rare") | toxicity.word_features("word3")))}
-    held, documents = toxicity.holders(frame, numbers)
-    used = [row["doc_id"] for row in toxicity.open_documents(frame).select("doc_id").distinct().collect()]
-    want = Counter(numbers[n] for i in used for n in toxicity.features()(texts[i]).tolist() if n in numbers)
-    assert documents == len(used) and held.tolist() == [want[at] for at in range(len(numbers))]
-
-
 def test_html_articles(spark):
     """Articles of the pages hold the lines of a document under a heading."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").toPandas()
