@@ -190,35 +190,25 @@ def test_html_articles(spark):
 
 def test_html_frames(spark):
     """Without articles, the neighbours' shared lines go, however the pages are dealt."""
-    from kindred.llm.html_extract import extract
-
     rows = [
         (i, f"http://{'h' if i % 3 else 'g'}.x/{i // 10}/{i}", f"<p>Top</p><p>All rights</p><p>Body {i}</p><p>End</p>")
         for i in range(120)
     ]
-    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string")
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    try:
-        for partitions in (1, 9):
-            spark.conf.set("spark.sql.shuffle.partitions", partitions)
-            found = {row["page_id"]: row["text"] for row in extract(frame).collect()}
-            assert found == {i: f"Body {i}" for i in range(120)}
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert texts_of(spark, rows) == [(i, f"Body {i}") for i in range(120)]
 
 
-def texts_of(spark, rows, partitions=(1, 9)):
+def texts_of(spark, rows, sizes=(1 << 23, 500)):
     """Texts by id, which must not depend on how the pages are dealt."""
-    from kindred.llm.html_extract import extract
+    from kindred.llm import html_extract
 
     frame = spark.createDataFrame(rows, "page_id bigint, url string, html string")
-    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    before, found = html_extract.RANGE_CHARS, []
     try:
-        for number in partitions:
-            spark.conf.set("spark.sql.shuffle.partitions", number)
-            found.append(sorted((row["page_id"], row["text"]) for row in extract(frame).collect()))
+        for size in sizes:
+            html_extract.RANGE_CHARS = size
+            found.append(sorted((row["page_id"], row["text"]) for row in html_extract.extract(frame).collect()))
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+        html_extract.RANGE_CHARS = before
     assert all(one == found[0] for one in found)
     return found[0]
 
@@ -306,6 +296,93 @@ def test_marked_parts_stay_out():
     assert read("<div class='cookie-banner'>We use cookies</div>", html_lines.OPEN) == []
 
 
+@pytest.mark.parametrize("element, text", [
+    ("<h2 id='related-work'>Related work</h2>", "Related work"),
+    ("<h3 id='promoting-peace'>Promoting peace</h3>", "Promoting peace"),
+    ("<section id='naval-battle'><p>A battle</section>", "A battle"),
+    ("<p class='side-note'>By the way</p>", "By the way"),
+    ("<p class=alert>A warning</p>", "A warning"),
+    ("<div class='share-price'>It rose</div>", "It rose"),
+    ("<div id=commentary>A view</div>", "A view"),
+    ("<p>As <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>", "As x=1 holds"),
+    ("<p>Press <button>OK</button> to go on</p>", "Press to go on"),
+    ("<p>One <span class='share'>Share</span>two</p>", "One two"),
+    ("<p>One <span class=ad>buy</span><b>two</b> three</p>", "One two three"),
+    ("<p>One<!-- a --!> two<!--> three<!---> four<!-- > -- b --> five", "One two three four five"),
+    ("<p>A <span itemprop=x>word</span> more", "A word more"),
+])
+def test_what_an_article_keeps(element, text):
+    assert read(f"<nav>Menu</nav><article><h1>Title</h1>{element}<p>End</article>") == ["Title", text, "End"]
+
+
+@pytest.mark.parametrize("element", [
+    "<div class='social-share'>Share</div>", "<ul class='share-buttons'><li>X</ul>", "<div id=comments>c</div>",
+    "<div class='ad'>buy</div>", "<div class='related-posts'>r</div>", "<section class='newsletter-signup'>n</section>",
+    "<aside>a</aside>", "<div class='cookie_notice'>c</div>", "<div role=alert>x</div>", "<form>f</form> ",
+])
+def test_what_an_article_loses(element):
+    assert read(f"<article><h1>Title</h1>{element}<p>{'Story ' * 9}</article>") == ["Title", ("Story " * 9).strip()]
+
+
+def test_an_article_in_an_inline_element():
+    page = "Top <span itemprop=articleBody>The story <b>goes</b> on</span> bottom"
+    assert read(page) == ["The story goes on"]
+    assert read(page, html_lines.OPEN) == ["Top", "bottom"]
+
+
+def test_html_mixed_hosts(spark):
+    """Only hosts with a page without an article are compared; their articles are witnesses too."""
+    story = "<p>A story of some length about {0}</p>"
+    rows = [(i, f"http://a.x/{i}", f"<p>Top</p><article>{story.format(i)}</article>") for i in range(6)]
+    rows += [(10 + i, f"http://b.x/{i}", f"<p>Top</p><article>{story.format(i)}</article><p>All rights</p>") for i in range(4)]
+    rows += [(20, "http://b.x/5", "<p>Top</p><p>Another page, told in the open</p><p>All rights</p>")]
+    rows += [(30, "no host", "<p>Top</p><p>Alone</p>"), (31, None, "<p>Top</p>")]
+    want = [(i, f"A story of some length about {i}") for i in range(6)]
+    want += [(10 + i, f"A story of some length about {i}") for i in range(4)]
+    want += [(20, "Another page, told in the open"), (30, "Top\n\nAlone"), (31, "Top")]
+    assert texts_of(spark, rows) == sorted(want)
+
+
+def plain_extract(rows):
+    """The whole operator on one machine: every page against all pages of its host in order."""
+    from kindred.llm import html_extract as ex
+
+    hosts = defaultdict(list)
+    for page_id, url, page in rows:
+        host, path = re.match(r"(?:.*?://([^/?#]*)([^?#]*))?", url or "").groups()
+        host = "".join(c.lower() if c.isascii() else c for c in host or "")
+        key = "\x01".join([host, path or "", url or "", str(page_id).rjust(20, "0")])
+        marked = html_lines.marked_lines(page or "")
+        hosts[host or key].append(
+            {"page_id": page_id, "key": key, "lines": [t for t, _ in marked], "kinds": [k for _, k in marked], **ex.marks(marked)}
+        )
+    out = []
+    for pages in hosts.values():
+        pages.sort(key=lambda p: (p["key"], p["copy"]))
+        for at, page in enumerate(pages):
+            text = ex.main_text(page, pages[:at][::-1], pages[at + 1 :], ex.Pairs())
+            out.append((page["page_id"], text))
+    return sorted(out)
+
+
+def test_html_against_a_plain_version(spark):
+    draw = random.Random(12)
+    frame = [f"Menu entry {k}" for k in range(4)]
+    rows = []
+    for i in range(260):
+        host = draw.choice(["h.x", "h.x", "g.x", "k.x"])
+        body = [f"Line {draw.randint(0, 400)} of a page with words {draw.random()}" for _ in range(draw.randint(1, 6))]
+        if draw.random() < 0.3 and rows:
+            lines = draw.choice(rows)[2]
+            rows.append((i, f"http://{host}/{draw.randint(0, 40)}", lines))
+            continue
+        parts = [f"<p>{line}</p>" for line in [*frame[:2], *body, *frame[2:]]]
+        if host == "k.x" or draw.random() < 0.2:
+            parts = [*parts[:2], "<article>", *parts[2:-2], "</article>", *parts[-2:]]
+        rows.append((i, f"http://{host}/{draw.randint(0, 40)}", "".join(parts)))
+    assert texts_of(spark, rows) == plain_extract(rows)
+
+
 @pytest.mark.parametrize("quote", "\"'")
 @pytest.mark.parametrize("size", [1, 5000, 1 << 20])
 def test_quoted_values(quote, size):
@@ -384,6 +461,10 @@ def test_pipeline(spark, docs):
     taken = QUERIES["op5_mixing"].build(spark, SF_DIR).toPandas()
     want = {r.doc_id: -(-r.taken // r.size) for r in taken.itertuples() if r.taken}
     assert copies.to_dict() == want
+    # Rows come in the order of the slots that drew them.
+    first = {r.doc_id: r.first_slot for r in taken.itertuples() if r.taken}
+    order = list(dict.fromkeys(mixed["doc_id"]))
+    assert order == sorted(order, key=lambda doc_id: (first[doc_id], doc_id))
     found = corpus_pipeline.run(spark, SF_DIR).toPandas()
     tokenizer = Tokenizer.from_file(VOCABULARY)
     assert len(found) and all(
