@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from kindred.llm.arrow import map_slices
 
 CHUNK = 1 << 16  # characters read at a time
-LONG_WORD = 1 << 10  # longer runs go through the window of the transducer
-RECENT_WORDS = 1 << 18
+LONG_WORD = 1 << 10  # of a word that may go on, more than this waits in the window of symbols
+RECENT_WORDS, LONGEST_KEPT = 1 << 18, 64
 NEVER = 1 << 60  # rank of pairs that are not merged
 RESULT = "doc_id bigint, n_tokens bigint, ids binary, decoded string"
 # Before one of these characters, text can be cut without changing its NFC form.
@@ -60,16 +60,18 @@ def lookahead(merges: Iterable[tuple[str, str]], suffix: str) -> int:
 
 
 class _Recent(dict):
-    """Ids of recent words as bytes, dropped all at once when there are too many."""
+    """Ids of recent short words as bytes, dropped all at once when there are too many."""
 
     def __init__(self, encode):
         super().__init__()
         self.encode = encode
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= RECENT_WORDS:
-            self.clear()
-        ids = self[word] = self.encode(word)
+        ids = self.encode(word)
+        if len(word) <= LONGEST_KEPT:
+            if len(self) >= RECENT_WORDS:
+                self.clear()
+            self[word] = ids
         return ids
 
 
@@ -185,11 +187,6 @@ class Codec:
         yield from self._stream(text, at, len(text))
 
     def _stream(self, text: str, start: int, end: int) -> Iterator[bytes]:
-        if end - start <= CHUNK:
-            words = self.pattern.findall(self.normal(text[start:end]))
-            if max(map(len, words), default=0) <= LONG_WORD:
-                yield b"".join(map(self.recent.__getitem__, words))
-                return
         transducer = Transducer(self)
         while end - start > CHUNK:
             cut = start + CHUNK
@@ -237,29 +234,33 @@ class Transducer:
             more = self.run.match(text)
             at = more.end() if more else 0
             yield from self._push(text[:at])
-            if at < len(text) or last:
-                yield self._finish()
-        words, self.rest = [], ""
-        for found in codec.pattern.finditer(text, at) if not self.run else ():
+            if at == len(text) and not last:
+                self.rest = ""
+                return
+            yield self._finish()
+        # No word goes on over white space.
+        whole = len(text) if last else max(at, text.rfind(" ") + 1, text.rfind("\n") + 1)
+        yield b"".join(map(codec.recent.__getitem__, codec.pattern.findall(text, at, whole)))
+        self.rest = text[whole:]
+        if len(self.rest) > LONG_WORD:
+            yield from self._long_rest()
+
+    def _long_rest(self) -> Iterator[bytes]:
+        """What of a rest without white space is certain: all words but one that two characters
+        more may change; of that, if it is long, the symbols go to the window."""
+        codec, text, at = self.codec, self.rest, 0
+        for found in codec.pattern.finditer(text):
             begin, end = found.span()
-            # Two characters more may make another word of this one.
-            open_end = not last and end > len(text) - 3
-            if end - begin <= LONG_WORD:
-                if open_end:
-                    break
-                words.append(found[0])
+            if end <= len(text) - 3:
+                yield codec.recent[found[0]]
                 at = end
                 continue
-            yield b"".join(map(codec.recent.__getitem__, words))
-            words, at = [], end
-            self.run = codec.runs[0] if codec.runs[0].match(found[0]) else codec.runs[1]
-            yield from self._push(found[0])
-            if end == len(text) and not last:
-                return
-            yield self._finish()
-        yield b"".join(map(codec.recent.__getitem__, words))
-        if not self.run:
-            self.rest = text[at:]
+            if end == len(text) and end - begin > LONG_WORD:
+                self.run = codec.runs[0] if codec.runs[0].match(found[0]) else codec.runs[1]
+                yield from self._push(found[0])
+                at = end
+            break
+        self.rest = text[at:]
 
     def _push(self, characters: str) -> Iterator[bytes]:
         codec = self.codec
