@@ -147,9 +147,10 @@ def mix(
 ) -> tuple[DataFrame, DataFrame]:
     """(documents, pieces): every document with its place in the stream, and the mix itself.
 
-    ``pieces`` has the slot, the source's place, the document (doc_id, piece, number) and which of
-    its words, [from_word, to_word), are taken there; in slot order they are the mix. A source's
-    taken words are its target rounded to whole words.
+    ``pieces`` has the slot, the source's place, the document (doc_id, piece, number), how often its
+    stream had started again before (round), and which of its words, [from_word, to_word), are
+    taken there; in slot order they are the mix. A source's taken words are those of the slots that
+    it was drawn for, which come to its target rounded to whole words.
 
     NULL ids take a place in the shuffle like an empty id. NULL texts and texts without words have
     size 0 and are never taken. A NULL source is a source. Rows that are repeated are documents of
@@ -183,6 +184,7 @@ def mix(
         "doc_id",
         "piece",
         "number",
+        "round",
         (start - F.col("begin")).alias("from_word"),
         (stop - F.col("begin")).alias("to_word"),
     )
@@ -190,9 +192,12 @@ def mix(
 
 
 def taken_words(documents: DataFrame, pieces: DataFrame) -> DataFrame:
-    """Each document with the number of words the mix takes of it, repeats counted."""
+    """Each document with the number of words that the drawn slots take of it, repeats counted, and
+    the first of these slots (NULL if there is none)."""
     keys = ["place", "piece", "number"]
-    taken = pieces.groupBy(*keys).agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
+    taken = pieces.groupBy(*keys).agg(
+        F.sum(F.col("to_word") - F.col("from_word")).alias("taken"), F.min("slot").alias("first_slot")
+    )
     return documents.join(taken, keys, "left").withColumn(
         "taken", F.coalesce("taken", F.lit(0).cast("long"))
     )

@@ -55,24 +55,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         SELECT *, (SELECT level FROM levels WHERE level * weight < most
                    ORDER BY most / weight, place LIMIT 1) * weight AS share FROM levels),
     placed AS (
-        SELECT doc_id, size, g.source_size,
+        SELECT row_number() OVER () AS row_no, doc_id, size, g.place, g.source_size,
                (CASE WHEN share < most THEN share ELSE most END)::DOUBLE AS target,
                floor((CASE WHEN share < most THEN share ELSE most END)::DOUBLE + 0.5)::BIGINT AS quota,
                sum(size) OVER (PARTITION BY g.place ORDER BY digest, doc_id, size
-                               ROWS UNBOUNDED PRECEDING) - size AS first
-        FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source)
-    SELECT doc_id, size, source_size, target,
-           (CASE WHEN size = 0 THEN 0 ELSE
-            least(greatest(quota - first, 0), size)
-            + least(greatest(quota - first - source_size, 0), size)
-            + least(greatest(quota - first - 2 * source_size, 0), size) END)::BIGINT AS taken
-    FROM placed
+                               ROWS UNBOUNDED PRECEDING)::BIGINT - size AS first
+        FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source),
+    -- van der Corput points, mapped through the sources' cumulative blocks and ranked per source
+    spans AS (
+        SELECT place, blocks, sum(blocks) OVER (ORDER BY place)::BIGINT - blocks AS first_block,
+               sum(blocks) OVER ()::BIGINT AS total
+        FROM (SELECT DISTINCT place, ceil(quota / {mixing.BLOCK_WORDS})::BIGINT AS blocks FROM placed)),
+    points AS (
+        SELECT slot, list_sum(list_transform(range(bits), lambda k: ((slot >> k) & 1) << (bits - 1 - k)))::BIGINT
+                     AS point
+        FROM (SELECT bits, unnest(range(1 << bits)) AS slot
+              FROM (SELECT greatest(1, ceil(log2(max(total))))::INTEGER AS bits FROM spans))),
+    drawn AS (
+        SELECT place, slot, row_number() OVER (PARTITION BY place ORDER BY slot) - 1 AS block
+        FROM points JOIN spans ON point >= first_block AND point < first_block + blocks),
+    rounds AS (
+        SELECT row_no, place, first + round * source_size AS begin,
+               least(first + size + round * source_size, quota) AS stop
+        FROM placed, (SELECT unnest(range({mixing.MAX_REPEATS})) AS round)
+        WHERE size > 0 AND first + round * source_size < quota),
+    pieces AS (
+        SELECT row_no, place, begin, stop,
+               unnest(range(begin // {mixing.BLOCK_WORDS}, (stop - 1) // {mixing.BLOCK_WORDS} + 1)) AS block
+        FROM rounds),
+    takings AS (
+        SELECT row_no, min(slot) AS first_slot,
+               sum(least(stop, (block + 1) * {mixing.BLOCK_WORDS}) - greatest(begin, block * {mixing.BLOCK_WORDS}))::BIGINT
+                   AS taken
+        FROM pieces JOIN drawn USING (place, block) GROUP BY row_no)
+    SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, first_slot
+    FROM placed LEFT JOIN takings USING (row_no)
     """
 )
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, pieces = mixing.mix(table(spark, sf_dir, "documents"))
     return mixing.taken_words(documents, pieces).select(
-        "doc_id", "size", "source_size", "target", "taken"
+        "doc_id", "size", "source_size", "target", "taken", "first_slot"
     )
 
 
