@@ -46,27 +46,37 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; where the mix ends inside a document, all of it.
+    """Each document as often as the mix takes it, in the order of the schedule's slots; where the mix
+    ends inside a document, all of it.
 
-    Equal rows share their number of copies evenly, rounded up.
+    Equal rows share their number of copies evenly, rounded up. A copy stands where its first words
+    are drawn.
     """
-    taken = mixing.taken_words(*mixing.mix(docs)).filter("taken > 0")
-    keys = ["doc_id", "size", "source"]
-    copies = (
-        taken.groupBy(*keys)
-        .agg(F.sum(F.ceil(F.col("taken") / F.col("size"))).alias("copies"), F.count("*").alias("rows"))
-        .select(
-            *[F.col(key).alias(f"of_{key}") for key in keys],
-            F.ceil(F.col("copies") / F.col("rows")).alias("copies"),
+    documents, pieces = mixing.mix(docs)
+    at, keys = ["place", "piece", "number"], ["doc_id", "size", "source"]
+    copies = pieces.groupBy(*at, "round").agg(F.min("slot").alias("slot"))
+    # At most one row per key and round, however many rows are equal.
+    rounds = (
+        documents.select(*at, *keys)
+        .join(copies, at, "left")
+        .groupBy(*keys, "round")
+        .agg(F.min("slot").alias("slot"), F.count("slot").alias("taken"), F.count_distinct(*at).alias("rows"))
+    )
+    slots = (
+        rounds.groupBy(*keys)
+        .agg(
+            F.sort_array(F.collect_list("slot")).alias("slots"),
+            F.ceil(F.sum("taken") / F.max("rows")).cast("int").alias("copies"),
         )
+        .filter("copies > 0")
+        .withColumnsRenamed({key: f"of_{key}" for key in keys})
     )
     sized = docs.select(*COLUMNS, word_count(F.col("text")).alias("size"))
     same = [F.col(key).eqNullSafe(F.col(f"of_{key}")) for key in keys]
-    return (
-        sized.join(copies.hint("shuffle_hash"), same)
-        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-        .select(*COLUMNS)
+    taken = sized.join(slots.hint("shuffle_hash"), same).select(
+        *COLUMNS, F.explode(F.slice("slots", 1, F.col("copies"))).alias("slot")
     )
+    return taken.repartitionByRange("slot", "doc_id").sortWithinPartitions("slot", "doc_id").select(*COLUMNS)
 
 
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
