@@ -36,7 +36,7 @@ STATE = (
 )
 
 
-def _stored(rows: DataFrame, name: str) -> DataFrame:
+def stored(rows: DataFrame, name: str) -> DataFrame:
     """Rows as a table in the shared work folder, so that a lost executor costs a read."""
     path = work_folder(rows.sparkSession, name)
     rows.write.parquet(path)
@@ -54,20 +54,25 @@ def _with_length(rows: DataFrame) -> DataFrame:
     return measured.where((F.col("length") > 0) & (F.col("length") < float("inf")))
 
 
-def by_length(items: DataFrame) -> DataFrame:
-    """Items numbered from 0 by falling length, then id.
+def numbered(ordered: DataFrame) -> DataFrame:
+    """Sorted rows with ``number``, their place from 0.
 
     Sorted partitions are numbered inside and moved apart by the counts of those before.
     """
-    ordered = _with_length(items).orderBy(F.col("length").desc(), "item_id")
-    placed = _stored(
-        ordered.withColumns({"part": F.spark_partition_id(), "row": F.monotonically_increasing_id()}), "by-length"
+    columns = ordered.columns
+    placed = stored(
+        ordered.withColumns({"part": F.spark_partition_id(), "row": F.monotonically_increasing_id()}), "numbered"
     )
     counts = placed.groupBy("part").agg(F.count("*").alias("n"), F.min("row").alias("first"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("part", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     number = F.col("offset") + F.col("row") - F.col("first")
-    return placed.join(offsets, "part").select("item_id", "vector", "length", number.alias("number"))
+    return placed.join(offsets, "part").select(*columns, number.alias("number"))
+
+
+def by_length(items: DataFrame) -> DataFrame:
+    """Items numbered by falling length, then id."""
+    return numbered(_with_length(items).orderBy(F.col("length").desc(), "item_id"))
 
 
 def _round(block: np.ndarray, ids: np.ndarray, lengths: np.ndarray, after: float, k: int, size: int):
@@ -138,15 +143,15 @@ def largest_products(
     many of all ``n_blocks`` blocks each user met. NULL, zero and infinite vectors take no part.
     """
     spark = users.sparkSession
-    numbered = _stored(by_length(items), "numbered")
-    total = numbered.count()
+    placed = stored(by_length(items), "by-length")
+    total = placed.count()
     n_blocks = -(-total // block_items)
-    known = skew.measured(numbered.select("item_id", "number"), ["item_id"])
-    looked_at = _stored(
+    known = skew.measured(placed.select("item_id", "number"), ["item_id"])
+    looked_at = stored(
         seen.select("user_id", "item_id").distinct().join(known, "item_id").select("user_id", "number").sort("number"), "seen"
     )
     none = F.array()
-    state = _stored(
+    state = stored(
         _with_length(users).select(
             "user_id", "vector", "length", none.cast("array<double>").alias("scores"),
             none.cast("array<bigint>").alias("ids"), F.lit(0).cast("bigint").alias("blocks"), F.lit(False).alias("done"),
@@ -156,7 +161,7 @@ def largest_products(
     finished, first, blocks = [], 0, 1
     while first < total:
         end = min(first + blocks * block_items, total)
-        rows = numbered.where(F.col("number").between(first, end)).orderBy("number").toArrow().to_pylist()
+        rows = placed.where(F.col("number").between(first, end)).orderBy("number").toArrow().to_pylist()
         # The first item after the round says how long those to come are at most.
         inside, after = rows[: end - first], rows[end - first :]
         block = np.array([row["vector"] for row in inside])
@@ -173,7 +178,7 @@ def largest_products(
         def run(batches, shared=shared, limit=limit):
             return _round(*shared.value, limit, k, block_items)(batches)
 
-        state = _stored(state.join(met, "user_id", "left").mapInArrow(run, STATE), "round")
+        state = stored(state.join(met, "user_id", "left").mapInArrow(run, STATE), "round")
         first, blocks = end, min(2 * blocks, ROUND_BLOCKS)
         if first < total:
             finished.append(state.where("done"))

@@ -7,7 +7,16 @@ from pyspark.sql import functions as F
 
 from kindred import schemas
 from kindred.functions import keys, text, times
-from kindred.operators import catalog, content, dashboard, history, items, jobs, rollups
+from kindred.operators import (
+    catalog,
+    content,
+    dashboard,
+    history,
+    items,
+    jobs,
+    nearest_content,
+    rollups,
+)
 from kindred.plans import algorithms, requests, views
 from kindred.plans.registry import Registry
 from kindred.session import work_folder
@@ -871,6 +880,34 @@ def content_similar_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@QUERIES.add(
+    f"""WITH {views.ITEMS_SQL},
+filled AS (SELECT * REPLACE (coalesce(size, ({_median_sql()})) AS size) FROM items),
+scaled AS (
+  SELECT item_id, brand, type,
+         (size - (SELECT min(size) FROM filled))
+           / ((SELECT max(size) FROM filled) - (SELECT min(size) FROM filled)) AS size,
+         (price - (SELECT min(price) FROM filled))
+           / ((SELECT max(price) FROM filled) - (SELECT min(price) FROM filled)) AS price
+  FROM filled),
+normed AS (SELECT *, sqrt(size * size + price * price + 2) AS norm FROM scaled),
+scored AS (
+  SELECT t.item_id, o.item_id AS other_id,
+         CAST(floor((o.size * t.size + o.price * t.price
+                     + CASE WHEN o.brand = t.brand THEN 1 ELSE 0 END
+                     + CASE WHEN o.type = t.type THEN 1 ELSE 0 END)
+                    / (o.norm * t.norm) * 1000 + 0.5) AS BIGINT) AS score
+  FROM normed o JOIN normed t ON t.item_id <> o.item_id)
+SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, other_id) AS rank
+FROM scored QUALIFY rank <= 10"""
+)
+def content_similar_items_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most similar parts of every part, all parts as one channel."""
+    prepared = content.vectors(views.items(spark, sf_dir), views.ITEM_ATTRIBUTES, content.MEDIAN)
+    best, _ = nearest_content.similar_items(prepared, 10, block_items=32)
+    return best
+
+
 # --- stored catalog and content vectors ----------------------------------------------------
 
 
