@@ -68,18 +68,22 @@ class Writer:
         if not 1 <= width <= 32 or block_ids % 8:
             raise ValueError("the width is 1 to 32 bits, and a block a multiple of eight ids")
         self.stream, self.width, self.block_ids = stream, width, block_ids
-        self.waiting = np.empty(0, np.uint32)
+        self.waiting: list[np.ndarray] = []
+        self.n_waiting = 0
         self.offsets, self.doc_ids, self.starts = [len(MAGIC)], [], [0]
         stream.write(MAGIC)
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.doc_ids.append(doc_id)
         self.starts.append(self.starts[-1] + ids.size)
-        self.waiting = np.concatenate([self.waiting, ids])
-        whole = self.waiting.size // self.block_ids * self.block_ids
-        for start in range(0, whole, self.block_ids):
-            self._block(self.waiting[start : start + self.block_ids])
-        self.waiting = self.waiting[whole:]
+        self.waiting.append(ids)
+        self.n_waiting += ids.size
+        if self.n_waiting >= self.block_ids:
+            ready = np.concatenate(self.waiting)
+            whole = ready.size // self.block_ids * self.block_ids
+            for start in range(0, whole, self.block_ids):
+                self._block(ready[start : start + self.block_ids])
+            self.waiting, self.n_waiting = [ready[whole:]], ready.size - whole
 
     def _block(self, ids: np.ndarray) -> None:
         packed = pack(ids, self.width)
@@ -87,8 +91,8 @@ class Writer:
         self.offsets.append(self.offsets[-1] + len(packed))
 
     def close(self) -> None:
-        if self.waiting.size:
-            self._block(self.waiting)
+        if self.n_waiting:
+            self._block(np.concatenate(self.waiting))
         known = np.array([doc_id is not None for doc_id in self.doc_ids], np.uint8)
         numbers = np.array([doc_id or 0 for doc_id in self.doc_ids], "<i8")
         for part in (np.array(self.offsets, "<u8"), np.array(self.starts, "<u8"), numbers, known):

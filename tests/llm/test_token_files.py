@@ -124,7 +124,7 @@ ODD = [
 @pytest.mark.parametrize("file_chars", [1 << 25, 40])
 def test_odd_texts(spark, file_chars, monkeypatch):
     """However the documents are dealt into files, and whatever the table of pieces holds."""
-    monkeypatch.setattr(token_files, "RECENT_PIECES", 8 if file_chars == 40 else 1 << 18)
+    monkeypatch.setattr(token_files, "RECENT_PARTS", 8 if file_chars == 40 else 1 << 18)
     rows = [(3 * n - 9, text) for n, text in enumerate(ODD)]
     frame = spark.createDataFrame(rows[::-1], SCHEMA).withColumns({n: F.lit("x") for n in ("row", "digest", "ids")})
     folder = work_folder(spark, "odd")
@@ -135,6 +135,29 @@ def test_odd_texts(spark, file_chars, monkeypatch):
     assert spark.read.parquet(f"{folder}/manifest").count() == (1 if file_chars > 40 else len(rows))
 
 
+def test_encoder():
+    """Any mix of letters, signs, spaces and special tokens, at any size of the table of parts."""
+    with open(VOCABULARY, encoding="utf-8") as file:
+        encoder = token_files.Encoder(file.read())
+    tokenizer, draw = Tokenizer.from_file(VOCABULARY), random.Random(6)
+    pieces = ["don", "'", "t", "'re", "S", " ", " ", "\n", "\t", "\x0b", "\x1c", "é", "İ", "Σ", "12", "!", "...", "<|", "|>",
+              "<|endoftext|>", "ENDOFTEXT", "漢", "\u3000", "'", "_", "~", "\x7f", "\u0301", "thousand"]
+    for _ in range(3000):
+        text = "".join(draw.choices(pieces, k=draw.randint(0, 30)))
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.ids(text), "<u4").tolist() == want
+
+
+def test_recent_parts(monkeypatch):
+    monkeypatch.setattr(token_files, "RECENT_PARTS", 10)
+    asked = []
+    recent = token_files.Recent(lambda part: asked.append(part) or part.encode())
+    for n in range(100):
+        assert recent["usual"] == b"usual" and recent[str(n)] == str(n).encode()
+    assert asked.count("usual") == 1 and len(recent) + len(recent.older) <= 21
+    assert recent["x" * 65] == b"x" * 65 and "x" * 65 not in recent
+
+
 def test_repeated_rows_and_null_ids(spark):
     rows = [(5, "one two")] * 3 + [(5, "three"), (None, "no id"), (None, "no id"), (-2, None)]
     folder = work_folder(spark, "repeated")
