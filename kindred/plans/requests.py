@@ -202,16 +202,16 @@ def load_upload(
     channel: str,
     upload: str,
     upload_ms: int,
+    dedup: bool = False,
 ) -> None:
     """Load an uploaded file into all tables, and its bad lines into the rejects.
 
     ``upload_ms`` orders this load among others in the history. The lines are parsed once for all
     tables. Loading an upload again replaces its rows, also those that were merged meanwhile; a load
-    that breaks off leaves what was there.
+    that breaks off leaves what was there. With ``dedup`` repeated lines of the file count once.
     """
-    parsed = parsing.parse_bulk(
-        readers.bulk_lines(spark, path), client, channel, upload
-    ).persist()
+    parsed = parsing.parse_bulk(readers.bulk_lines(spark, path), client, channel, upload)
+    parsed = (parsing.without_repeats(parsed) if dedup else parsed).persist()
     try:
         good = parsing.accepted(parsed)
         past = history.from_interactions(good, F.lit(upload_ms))

@@ -21,7 +21,7 @@ from kindred.plans import algorithms, requests, views
 from kindred.plans.registry import Registry
 from kindred.session import work_folder
 from kindred.sources import cells, parsing, readers, tables
-from kindred.streaming import ingest
+from kindred.streaming import ingest, live
 
 QUERIES = Registry()
 
@@ -372,6 +372,64 @@ def rollup_audience(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.join(exact, "channel_id").select("channel_id", "hits", close("users"), close("items"))
 
 
+# --- repeated messages, live windows -------------------------------------------------------
+
+
+def _split_messages(spark: SparkSession, sf_dir: str, repeats: int = 1) -> str:
+    """The events as four message files in the order of their ids, and these again."""
+    rows, folder = views.interactions(spark, sf_dir), work_folder(spark, "messages")
+    last = rows.agg(F.max("event_id")).first()[0]
+    for _ in range(repeats):
+        for part in range(4):
+            inside = F.floor(F.col("event_id") * 4 / (last + 1)) == part
+            lines = parsing.encode_messages(rows.where(inside)).coalesce(1)
+            lines.write.mode("append").text(folder)
+    return folder
+
+
+@QUERIES.add(
+    f"""WITH {views.INTERACTIONS_SQL}
+SELECT DISTINCT client_id, channel_id, 'stream' AS ingestion, CAST(NULL AS VARCHAR) AS bulkfile,
+       user_id, item_id, {ISO_SQL} AS time, action, CAST(NULL AS DOUBLE) AS rating
+FROM interactions"""
+)
+def stream_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message comes twice, in different batches."""
+    root, folder = work_folder(spark, "deduplicated"), _split_messages(spark, sf_dir, repeats=2)
+    source = readers.message_files(spark, folder, files_per_batch=1)
+    query = ingest.ingest(source, root, f"{root}/checkpoint", available_now=True, dedup_within="1 day")
+    query.awaitTermination()
+    return _iso(tables.read_interactions(spark, root))
+
+
+@QUERIES.add(
+    f"""WITH {views.INTERACTIONS_SQL},
+placed AS (
+  SELECT channel_id, time, CAST(floor(event_id * 4 / (max(event_id) OVER () + 1)) AS BIGINT) AS batch,
+         time_bucket(INTERVAL 1 HOUR, time) AS start FROM interactions),
+latest AS (SELECT batch, max(time) AS latest FROM placed GROUP BY batch),
+marks AS (
+  SELECT batch, max(latest) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+                - INTERVAL 10 MINUTE AS closed FROM latest),
+judged AS (
+  SELECT channel_id, start, coalesce(start + INTERVAL 1 HOUR <= closed, FALSE) AS late
+  FROM placed JOIN marks USING (batch))
+SELECT channel_id, strftime(start, '%Y-%m-%d %H:%M:%S') AS window_start,
+       count(*) FILTER (WHERE NOT late) AS hits, count(*) FILTER (WHERE late) AS late,
+       start + INTERVAL 1 HOUR <= (SELECT max(latest) FROM latest) - INTERVAL 10 MINUTE AS closed
+FROM judged GROUP BY channel_id, start"""
+)
+def stream_live_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly counts of a stream of four batches, with late rows; some of it merged."""
+    root, folder = work_folder(spark, "live"), _split_messages(spark, sf_dir)
+    source = readers.message_files(spark, folder, files_per_batch=1)
+    query = live.count(source, root, f"{root}/checkpoint", available_now=True)
+    query.awaitTermination()
+    live.compact(spark, root)
+    found = live.counts(spark, root, query.id)
+    return found.withColumn("window_start", times.seconds_text("window_start")).drop("window_end")
+
+
 # --- history -------------------------------------------------------------------------------
 
 LATEST_SQL = """latest AS (

@@ -84,6 +84,27 @@ def parse_messages(lines: DataFrame, column: str = "value") -> DataFrame:
     return _typed(lines, column, STREAM_FIELDS, constants)
 
 
+# What makes two parsed lines the same: all values that were read, and for bad lines their text.
+SAME = (*PARSED_COLUMNS, "bad_line")
+
+
+def without_repeats(parsed: DataFrame, within: str | None = None) -> DataFrame:
+    """Parsed lines without repeated ones.
+
+    In a stream, a line is repeated if the same one arrived no longer than ``within`` before (such
+    as "10 minutes"); what is remembered of older ones is dropped, so the state stays bounded by
+    the lines of that time. It goes by arrival, so no line is too late. In a batch, all lines of the
+    batch are compared.
+    """
+    marked = parsed.withColumn("bad_line", F.when(F.col("reason").isNotNull(), F.col("raw")))
+    if not parsed.isStreaming:
+        return marked.dropDuplicates(list(SAME)).drop("bad_line")
+    if within is None:
+        raise ValueError("a stream needs a time within which lines are compared")
+    arrived = marked.withColumn("arrived", F.current_timestamp()).withWatermark("arrived", within)
+    return arrived.dropDuplicatesWithinWatermark(list(SAME)).drop("bad_line", "arrived")
+
+
 def accepted(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("reason").isNull()).select(*PARSED_COLUMNS)
 

@@ -34,13 +34,18 @@ def write_batch(parsed: DataFrame, stream_id: str, batch_id: int, root: str) ->
 
 
 def ingest(
-    messages: DataFrame, root: str, checkpoint: str, available_now: bool = False
+    messages: DataFrame,
+    root: str,
+    checkpoint: str,
+    available_now: bool = False,
+    dedup_within: str | None = None,
 ) -> StreamingQuery:
     """Start a stream from message lines (a ``value`` column) into the tables under ``root``.
 
     A stream is known by the id that Spark keeps in its checkpoint. The time of a batch is kept
     there too, so rows written again after a failure have the same place in the history. It is on
-    the scale of ``upload_ms`` of bulk loads: of two writes to one key the later one wins.
+    the scale of ``upload_ms`` of bulk loads: of two writes to one key the later one wins. With
+    ``dedup_within`` a message that arrived before within that time is left out.
     """
     trigger = {"availableNow": True} if available_now else {"processingTime": BATCH_INTERVAL}
     known, started = {}, threading.Event()
@@ -50,9 +55,11 @@ def ingest(
         write_batch(batch, known["id"], batch_id, root)
 
     taken_ms = F.unix_millis(F.current_timestamp())
+    parsed = parsing.parse_messages(messages)
+    if dedup_within is not None:
+        parsed = parsing.without_repeats(parsed, dedup_within)
     query = (
-        parsing.parse_messages(messages)
-        .withColumn("taken_ms", taken_ms)
+        parsed.withColumn("taken_ms", taken_ms)
         .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(**trigger)
