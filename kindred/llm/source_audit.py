@@ -13,7 +13,7 @@ by (language, source, term). Terms of a language are numbered inside chunks by h
 sorts a vocabulary, and a pair's merge is split by chunk: a task holds the arrays of a few sources
 in one chunk, whatever one source's share of the corpus is. Sources are dealt to tiles; a pair's
 task gets its arrays through its pair of tiles, so an array is repeated once per tile, not once per
-source. Shares are computed in decimals and 64-bit integers, without rounding.
+source. Shares are computed in 64-bit integers, without rounding.
 """
 
 from __future__ import annotations
@@ -28,14 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kindred.llm.words import LOWER, UPPER, written
+from kindred.llm.words import written
 
-TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-TO_LOWER = str.maketrans(UPPER, LOWER)
+# On UTF-8: the bytes of characters beyond ASCII are all above 0x7F, so terms are the same.
+TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 MIN_DOCUMENTS = 10
 WHOLE = 1_000_000_000
 SMOOTHING = 2
-CHUNK_TERMS = 1 << 15
+CHUNK_TERMS = 1 << 13
 TILE_SOURCES = 8
 COUNTED = 1 << 19  # terms that a task counts before it hands them on
 COUNTS = "lang string, source string, term string, n bigint, docs bigint"
@@ -43,11 +43,6 @@ GROUP = ["lang", "source"]
 STRIDE = 512
 
 
-def terms_of(text: str) -> list[str]:
-    """Letters of ASCII and everything beyond it, with A-Z in lower case."""
-    return TERM.findall(text.lower() if text.isascii() else text.translate(TO_LOWER))
-
-
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, occurrences and documents; a NULL term stands for the group itself.
 
@@ -61,14 +56,15 @@ def term_counts(docs: DataFrame) -> DataFrame:
         def counted() -> Iterator[pa.RecordBatch]:
             for (lang, source), found in times.items():
                 terms, held = [None, *found], holders[lang, source]
+                found[None] = held[None] = 0
                 for start in range(0, len(terms), 1 << 16):
                     part = terms[start : start + (1 << 16)]
                     columns = [
                         pa.array([lang] * len(part)),
                         pa.array([source] * len(part)),
-                        pa.array(part, pa.string()),
-                        pa.array([found[term] if term is not None else 0 for term in part], pa.int64()),
-                        pa.array([held[term] if term is not None else 0 for term in part], pa.int64()),
+                        pa.array(part, pa.binary()).cast(pa.string()),
+                        pa.array(list(map(found.__getitem__, part)), pa.int64()),
+                        pa.array(list(map(held.__getitem__, part)), pa.int64()),
                     ]
                     yield pa.RecordBatch.from_arrays(columns, names=[p.split()[0] for p in COUNTS.split(", ")])
             times.clear()
@@ -77,9 +73,9 @@ def term_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                columns = (part[name].to_pylist() for name in ("lang", "source", "text"))
-                for lang, source, text in zip(*columns):
-                    terms = terms_of(text)
+                texts = part["text"].cast(pa.binary()).to_pylist()
+                for lang, source, text in zip(*(part[name].to_pylist() for name in GROUP), texts):
+                    terms = TERM.findall(text.lower())
                     times[lang, source].update(terms)
                     holders[lang, source].update(set(terms))
                 if len(times) + sum(map(len, times.values())) >= COUNTED:
@@ -92,10 +88,19 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
 
 def share(n: Column | int, total: Column, terms: Column) -> Column:
-    """1 + floor(WHOLE * (n + 2) / (total + 2 * terms)), exact: products are decimals."""
-    n = n if isinstance(n, Column) else F.lit(n)
-    product = F.lit(WHOLE).cast("decimal(10,0)") * (n + SMOOTHING).cast("decimal(20,0)")
-    return 1 + F.call_function("div", product, (total + SMOOTHING * terms).cast("decimal(20,0)"))
+    """1 + floor(WHOLE * (n + 2) / (total + 2 * terms)), exactly.
+
+    WHOLE is a thousand three times, and so many digits of the quotient are found at a time; with
+    totals up to 9 * 10^15 no product leaves 64 bits, and beyond that Spark raises.
+    """
+    div = lambda a, b: F.call_function("div", a, b)
+    over = total + SMOOTHING * terms
+    above = (n if isinstance(n, Column) else F.lit(n)).cast("long") + SMOOTHING
+    quotient, rest = div(above, over), above % over
+    for _ in range(3):
+        rest = rest * 1000
+        quotient, rest = quotient * 1000 + div(rest, over), rest % over
+    return 1 + quotient
 
 
 def kept_terms(counts: DataFrame, min_documents: int, chunk_terms: int) -> DataFrame:
@@ -231,7 +236,8 @@ def audit(
     """
     counts = written(term_counts(docs), "audit-counts")
     kept = written(kept_terms(counts, min_documents, chunk_terms), "audit-terms")
-    rows = counts.filter("term IS NOT NULL").select(*GROUP, "term", "n").join(kept, ["lang", "term"])
+    terms_held = counts.filter("term IS NOT NULL").select(*GROUP, "term", "n")
+    rows = written(terms_held.join(kept, ["lang", "term"]), "audit-rows")
     langs = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_total"))
     totals = rows.groupBy(*GROUP).agg(F.sum("n").alias("total"))
     known = [F.coalesce(name, F.lit(0).cast("long")).alias(name) for name in ("terms", "lang_total", "total")]
@@ -244,16 +250,13 @@ def audit(
     )
     absent = F.when(F.col("terms") > 0, share(0, F.col("total"), F.col("terms"))).otherwise(0)
     groups = written(groups.withColumn("absent", absent), "audit-groups")
-    shares = written(
-        rows.join(groups, GROUP).select(
-            *GROUP,
-            "term",
-            "chunk",
-            "id",
-            share(F.col("n"), F.col("total"), F.col("terms")).alias("p"),
-            share(F.col("lang_n"), F.col("lang_total"), F.col("terms")).alias("q"),
-        ),
-        "audit-shares",
+    shares = rows.join(groups, GROUP).select(
+        *GROUP,
+        "term",
+        "chunk",
+        "id",
+        share(F.col("n"), F.col("total"), F.col("terms")).alias("p"),
+        share(F.col("lang_n"), F.col("lang_total"), F.col("terms")).alias("q"),
     )
     order = W.partitionBy(*GROUP).orderBy(F.col("value").desc(), F.col("item"))
     gap = F.col("p") - F.col("q")
