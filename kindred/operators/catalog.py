@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions import text, times
@@ -45,11 +45,13 @@ def search_clients(clients: DataFrame, search: str | None) -> DataFrame:
 
 
 def channels_of(channels: DataFrame, client: str) -> DataFrame:
-    """One client's channels, newest first."""
+    """One client's channels, newest first, as ``rank`` numbers them."""
+    newest = Window.partitionBy("client_id").orderBy(F.col("created_ms").desc(), "channel_id")
     return (
         channels.where(F.col("client_id") == client)
         .withColumn("created", times.long_day("created_ms"))
-        .orderBy(F.col("created_ms").desc(), "channel_id")
+        .withColumn("rank", F.row_number().over(newest).cast("bigint"))
+        .orderBy("rank")
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions import times
@@ -93,7 +93,8 @@ def upload_daily_counts(rows: DataFrame) -> DataFrame:
 
 
 def upload_summary(uploads: DataFrame, rows: DataFrame) -> DataFrame:
-    """Every registered upload with its rows, first and last day, newest first.
+    """Every registered upload with its rows, first and last day; ``rank`` numbers a channel's
+    uploads, newest first.
 
     An upload without rows is still being processed.
     """
@@ -103,6 +104,7 @@ def upload_summary(uploads: DataFrame, rows: DataFrame) -> DataFrame:
         .agg(_hits(), F.min("time").alias("first"), F.max("time").alias("last"))
     )
     found = F.coalesce("hits", F.lit(0)).cast("bigint")
+    newest = Window.partitionBy("channel_id").orderBy(F.col("upload_ms").desc(), "upload_id")
     return (
         uploads.join(counts, "upload_id", "left")
         .select(
@@ -115,7 +117,8 @@ def upload_summary(uploads: DataFrame, rows: DataFrame) -> DataFrame:
             times.day_text("last").alias("last_day"),
             F.when(found == 0, "processing").otherwise("done").alias("state"),
         )
-        .orderBy(F.col("upload_ms").desc(), "upload_id")
+        .withColumn("rank", F.row_number().over(newest).cast("bigint"))
+        .orderBy("channel_id", "rank")
     )
 
 

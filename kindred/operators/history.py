@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions import keys, text, times
@@ -66,10 +66,11 @@ def responses(history: DataFrame) -> DataFrame:
 
 
 def user_history(history: DataFrame, channel: str, user: int) -> DataFrame:
-    """One user's history, newest first, from a filtered scan."""
+    """One user's history, newest first as ``rank`` numbers it, from a filtered scan."""
     mine = (F.col("channel_id") == channel) & (F.col("user_id") == user)
     shown = responses(latest(history.where(mine)))
-    return shown.orderBy(F.col("time").desc(), "item_id")
+    newest = Window.partitionBy("channel_id", "user_id").orderBy(F.col("time").desc(), "item_id")
+    return shown.withColumn("rank", F.row_number().over(newest).cast("bigint")).orderBy("rank")
 
 
 def to_cells(history: DataFrame) -> DataFrame:

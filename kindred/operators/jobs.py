@@ -73,13 +73,14 @@ def algorithm_state(runs: DataFrame, now_ms: Column | None = None) -> DataFrame:
     only they move it on. With ``now_ms`` the time since the last success is told too.
     """
     succeeded = F.col("outcome") == "success"
+    carried = F.col("version") if "version" in runs.columns else F.lit(None)
     last = F.max_by("outcome", F.struct("end_ms", "run_id"))
     success = F.max(F.when(succeeded, F.struct("end_ms", "run_id", "start_ms")))
     state = runs.groupBy("channel_id", "algo_id").agg(
         last.alias("last_outcome"),
         success.alias("success"),
         F.count_if(succeeded).alias("successes"),
-        F.max(F.when(succeeded, F.col("version").cast("bigint"))).alias("highest"),
+        F.max(F.when(succeeded, carried.cast("bigint"))).alias("highest"),
     )
     number = F.coalesce("highest", F.nullif(F.col("successes"), F.lit(0)))
     version = F.when(number.isNotNull(), keys.padded(number))

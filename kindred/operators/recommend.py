@@ -78,11 +78,6 @@ def recommendations(
     return ranking.top_k(scored, [*by, "user_id"], order, size)
 
 
-# Most items of one user that are sent to the scan of the similarities, and most that become a
-# filter on it.
-FEW_ITEMS, FILTER_ITEMS = 100_000, 1_000
-
-
 def recommendations_for(
     history: DataFrame,
     similarities: DataFrame,
@@ -90,18 +85,14 @@ def recommendations_for(
 ) -> DataFrame:
     """The best items of a single user, whose history is all ``history`` holds.
 
-    The user's items are read first, as for any request. A user with ``FEW_ITEMS`` or fewer has
-    them broadcast, so the similarities are scanned where they lie; as a filter, a few items also
-    let the scan skip row groups. Beyond that both sides join by shuffle.
+    Nothing is read before the request itself runs: the smallest and largest of the user's items go
+    to the scan of the similarities, which lie sorted by item, as subqueries, and the join is
+    decided on the measured size of the items.
     """
     items = history_items(history, by=())
-    found = items.limit(FEW_ITEMS + 1).collect()
-    if len(found) <= FEW_ITEMS:
-        items = F.broadcast(items.sparkSession.createDataFrame(found, items.schema))
-    if len(found) <= FILTER_ITEMS:
-        wanted = [row["item_id"] for row in found]
-        similarities = similarities.where(F.col("item_id").isin(wanted))
-    joined = similarities.join(items, "item_id")
+    ends = items.agg(F.min("item_id").alias("low"), F.max("item_id").alias("high"))
+    inside = F.col("item_id").between(ends.select("low").scalar(), ends.select("high").scalar())
+    joined = similarities.where(inside).join(skew.measured(items, ["item_id"]), "item_id")
     return (
         candidate_scores(joined, by=())
         .orderBy(F.col("score").desc_nulls_last(), "item_id")

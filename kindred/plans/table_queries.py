@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred import schemas
@@ -336,7 +336,8 @@ counts AS (
   FROM merged WHERE bulkfile IS NOT NULL GROUP BY bulkfile)
 SELECT u.channel_id, u.upload_id, u.upload_ms, u.oname, coalesce(c.hits, 0) AS hits,
        strftime(c.first, '%Y-%m-%d') AS first_day, strftime(c.last, '%Y-%m-%d') AS last_day,
-       CASE WHEN c.hits IS NULL THEN 'processing' ELSE 'done' END AS state
+       CASE WHEN c.hits IS NULL THEN 'processing' ELSE 'done' END AS state,
+       row_number() OVER (PARTITION BY u.channel_id ORDER BY u.upload_ms DESC, u.upload_id) AS rank
 FROM uploads u LEFT JOIN counts c ON c.bulkfile = u.upload_id"""
 )
 def rollup_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -631,7 +632,8 @@ counts AS (
   FROM interactions WHERE bulkfile IS NOT NULL GROUP BY bulkfile)
 SELECT u.channel_id, u.upload_id, u.upload_ms, u.oname, coalesce(c.hits, 0) AS hits,
        strftime(c.first, '%Y-%m-%d') AS first_day, strftime(c.last, '%Y-%m-%d') AS last_day,
-       CASE WHEN c.hits IS NULL THEN 'processing' ELSE 'done' END AS state
+       CASE WHEN c.hits IS NULL THEN 'processing' ELSE 'done' END AS state,
+       row_number() OVER (PARTITION BY u.channel_id ORDER BY u.upload_ms DESC, u.upload_id) AS rank
 FROM uploads u LEFT JOIN counts c ON c.bulkfile = u.upload_id"""
 )
 def upload_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -1021,9 +1023,7 @@ SELECT channel_id, client_id, name, created_ms,
 FROM channels WHERE client_id = 'CL-2'"""
 )
 def stored_channels_of_client(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mine = requests.channels(spark, _catalog_root(spark, sf_dir), "CL-2")
-    order = Window.orderBy(F.col("created_ms").desc(), "channel_id")
-    return mine.withColumn("rank", F.row_number().over(order).cast("bigint"))
+    return requests.channels(spark, _catalog_root(spark, sf_dir), "CL-2")
 
 
 @QUERIES.add(
@@ -1041,9 +1041,7 @@ def stored_uploads_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = work_folder(spark, "uploads")
     tables.put_catalog(views.uploads(spark, sf_dir), root, tables.UPLOADS)
     tables.append_interactions(views.interactions(spark, sf_dir).drop("event_id"), root)
-    order = Window.orderBy(F.col("upload_ms").desc(), "upload_id")
-    page = requests.uploads(spark, root, "CH-1")
-    return page.withColumn("rank", F.row_number().over(order).cast("bigint"))
+    return requests.uploads(spark, root, "CH-1")
 
 
 def _items_root(spark: SparkSession, sf_dir: str) -> str:
@@ -1114,9 +1112,7 @@ FROM latest WHERE channel_id = '{CHANNEL}' AND user_id = {USER}"""
 )
 def requested_user_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One user's history, newest first."""
-    past = requests.user_history(spark, _events_root(spark, sf_dir), CHANNEL, USER)
-    order = Window.orderBy(F.col("time").desc(), "item_id")
-    return past.withColumn("rank", F.row_number().over(order).cast("bigint"))
+    return requests.user_history(spark, _events_root(spark, sf_dir), CHANNEL, USER)
 
 
 @QUERIES.add(

@@ -174,6 +174,10 @@ def test_algorithm_state(spark):
     )
     assert (second["last_outcome"], second["version"]) == ("failure", None)
     assert second["last_run_ms"] is None
+    # Runs that carry their version say which one is served, whatever their number.
+    versions = F.when(F.col("run_id") == 1, "000007").otherwise("000008")
+    state = jobs.algorithm_state(runs.withColumn("version", versions)).where("algo_id = 'AL-1'")
+    assert state.first()["version"] == "000007"
 
 
 def test_job_history(spark):

@@ -182,18 +182,25 @@ def test_streamed_and_bulk_rows_count_together(spark, root):
     assert shared.first()["score"] == 2
 
 
-def test_one_users_request_leaves_the_similarities_in_place(spark, root):
-    """With broadcasting by estimate off, the similarity side is still scanned where it lies."""
+def test_one_users_request_is_planned_when_it_runs(spark, root):
+    """The range of the user's items reaches the scan as subqueries, and their measured size decides
+    the join; building the request runs nothing over the history, and no join depends on a setting."""
     jaccard = algorithms.Algorithm(CHANNEL, "AL-jaccard", "jaccard")
+    frame = requests.recommendations(spark, root, jaccard, 2, 2)
+    scan = next(
+        line
+        for line in frame._jdf.queryExecution().executedPlan().toString().splitlines()
+        if "FileScan" in line and "other_id" in line
+    )
+    assert "Subquery" in scan and "item_id" in scan.split("DataFilters")[1]
+    assert [row[0] for row in frame.collect()] == [30, 10]
+    assert "BroadcastHashJoin" in frame._jdf.queryExecution().executedPlan().toString()
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
-        frame = requests.recommendations(spark, root, jaccard, 2, 2)
-        plan = frame._jdf.queryExecution().executedPlan().toString()
-        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
-        scan = next(line for line in plan.splitlines() if "FileScan" in line and "other_id" in line)
-        assert "In(item_id" in scan
-        assert [row[0] for row in frame.collect()] == [30, 10]
+        again = requests.recommendations(spark, root, jaccard, 2, 2)
+        assert [row[0] for row in again.collect()] == [30, 10]
+        assert requests.recommendations(spark, root, jaccard, 12345, 2).collect() == []
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
