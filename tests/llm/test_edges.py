@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from kindred.llm import (
+    bpe,
     html_extract,
     line_dedup,
     mixing,
@@ -160,6 +161,40 @@ def test_html(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+def test_bpe(odd, none):
+    """NULL and empty texts have no tokens; repeated rows are encoded alike."""
+    found = bpe.encode_documents(odd, corpus_pipeline.VOCABULARY, decode=True)
+    by_id = {}
+    for row in found.collect():
+        by_id.setdefault(row["doc_id"], set()).add((row["n_tokens"], bytes(row["ids"]), row["decoded"]))
+    assert by_id[1] == by_id[2] == by_id[3] == {(0, b"", "")}
+    assert len(by_id[5]) == 1 and len(by_id[6]) == 2
+    ((n, ids, decoded),) = by_id[4]
+    assert n == 30_000 and len(set(ids[k : k + 4] for k in range(0, len(ids), 4))) == 1 and decoded.count("word") == n
+    assert bpe.encode_documents(none, corpus_pipeline.VOCABULARY).count() == 0
+
+
+def test_large_values(spark):
+    """Vectors whose squares overflow take part: cosines don't depend on lengths."""
+    vectors = spark.createDataFrame(
+        [(0, [1e200, 1e200]), (1, [1e300, 0.0]), (2, [1e-300, 1e-300]), (3, [-1e200, 1.0])],
+        "vec_id bigint, embedding array<double>",
+    )
+    found = [tuple(row) for row in neighbours.nearest(vectors).orderBy("rank").collect()]
+    assert [row[2] for row in found] == [2, 1, 3]
+    assert [row[3] for row in found] == pytest.approx([1, 0.5**0.5, -(0.5**0.5)], abs=1e-12)
+
+
+def test_texts_over_a_megabyte(spark):
+    long = "\n".join(f"a line of text number {n} that goes on" for n in range(40_000))
+    docs = documents(spark, [(1, long), (2, long + "\nmore"), (3, f"own\n{LINE}"), (4, LINE)])
+    found = {row["doc_id"]: row for row in line_dedup.drop_repeated_lines(docs).select("doc.doc_id", "text", "n_dropped").collect()}
+    assert found[1]["text"] == long and (found[2]["text"], found[2]["n_dropped"]) == ("more", 40_000)
+    assert found[4]["text"] == ""
+    near = {row["doc_id"]: row["component_id"] for row in near_dedup.near_duplicates(docs).collect()}
+    assert near == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
 @pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
 def test_stage(spark, odd, none, name, tmp_path):
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int")
