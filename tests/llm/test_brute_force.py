@@ -436,6 +436,33 @@ def test_trie_against_a_scan():
         assert (found and found.verdict) == (max(fits)[2] if fits else None)
 
 
+def test_tries_agree(spark):
+    """However the rules are held, the same rule decides; of equal ones, block."""
+    from kindred.llm.url_filter import filter_urls
+
+    draw = random.Random(7)
+    name = lambda n: ".".join(draw.choices("ab", k=n))
+    rules = [Rule(draw.choice(["allow", "block"]), name(draw.randint(1, 3)), "/" + "".join(draw.choices("xy/", k=draw.randint(0, 3)))) for _ in range(60)]
+    rows = [(i, f"http://{name(draw.randint(1, 4))}/{''.join(draw.choices('xy/', k=4))}") for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    found = [sorted(map(repr, filter_urls(pages, rules, trie_rules=size).collect())) for size in (1000, 7, 1)]
+    assert found[0] == found[1] == found[2]
+
+
+def test_many_rules_on_one_host():
+    """The time of a look-up doesn't grow with the rules of a host."""
+    import time
+
+    def seconds(number):
+        trie = Trie(Rule("block", "h.com", f"/p{n:07}") for n in range(number))
+        start = time.process_time()
+        for n in range(2000):
+            assert trie.find("h.com", f"/p{n % number:07}/more").path == f"/p{n % number:07}"
+        return time.process_time() - start
+
+    assert seconds(100_000) < 20 * seconds(100) + 0.1
+
+
 def test_schedule_is_even(spark):
     """Every source gets its blocks once, and every prefix of the mix is near the shares."""
     quotas = [50_000, 20_000, 10_000, 3]
