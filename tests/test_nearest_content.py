@@ -79,3 +79,21 @@ def test_few_items(spark):
     bare = [(n, [], ["a=1"], 1.0) for n in range(4)]
     best, _ = nearest_content.similar_items(spark.createDataFrame(bare, VECTORS), 2, block_items=2)
     assert {tuple(row) for row in best.collect()} == plain(bare, 2)
+
+
+def test_like_items_meet_near_blocks_alone(spark, monkeypatch):
+    """Items with the same values meet the blocks that their numbers are near to, and copies those
+    with the smallest ids; blocks grow before there are too many of them."""
+    draw, out = random.Random(4), []
+    for item in range(1200):
+        numbers = [0.5, 0.5] if item % 4 == 0 else [draw.random(), draw.random()]
+        out.append((item, numbers, [f"a={item % 2}"], norm(numbers, ["a"])))
+    frame, few = spark.createDataFrame(out, VECTORS), 5
+    best, met = nearest_content.similar_items(frame, few, block_items=16)
+    assert {tuple(row) for row in best.collect()} == plain(out, few)
+    found = met.collect()
+    assert sum(row["met"] for row in found) < 0.1 * sum(row["n_blocks"] for row in found)
+    monkeypatch.setattr(nearest_content, "FEW_BLOCKS", 20)
+    best, met = nearest_content.similar_items(frame, few, block_items=16)
+    assert {tuple(row) for row in best.collect()} == plain(out, few)
+    assert {row["n_blocks"] for row in met.collect()} == {20}
