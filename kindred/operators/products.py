@@ -3,11 +3,13 @@
 Items are numbered by falling length of their vectors and cut into blocks. By Cauchy and Schwarz a
 user's product with an item is at most the product of both lengths, so once the k-th best product
 found is above the user's length times the largest length of a block, neither that block nor any
-later one can change the answer, and the user is done. Users go through the blocks in rounds; a
-round takes some blocks, ever more of them, and only users that are not done enter the next one.
+later one can change the answer, and the user is done. Users go through the blocks in rounds of
+``ROUND_ITEMS`` items, and only users that are not done enter the next one. Inside a round they take
+ever more blocks at once, up to ``STEP_ITEMS`` items, and only those with a product that reaches their
+k-th best change. Without any fall in length this is all users times all items, in matrix products.
 
-A round is a map over users with its items broadcast (``ROUND_BLOCKS`` * ``BLOCK_ITEMS`` at most),
-joined with the users' seen items among these alone. The result is that of scoring all items.
+A round is a map over users with its items broadcast, joined with the users' seen items among these
+alone; users are written once a round. The result is that of scoring all items.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from kindred.session import work_folder
 # The map goes to executors by value; they need numpy and pyarrow, but no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BLOCK_ITEMS, ROUND_BLOCKS = 2048, 16
+BLOCK_ITEMS, STEP_ITEMS, ROUND_ITEMS = 2048, 2048, 32768
 # Room for rounding in the product of two lengths.
 SLACK = 1 + 1e-9
 STATE = (
@@ -75,7 +77,27 @@ def by_length(items: DataFrame) -> DataFrame:
     return numbered(_with_length(items).orderBy(F.col("length").desc(), "item_id"))
 
 
-def _round(block: np.ndarray, ids: np.ndarray, lengths: np.ndarray, after: float, k: int, size: int):
+def _matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    if isinstance(vectors, pa.ChunkedArray):
+        vectors = vectors.combine_chunks()
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+
+
+def _numbers(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return column.to_numpy() if isinstance(column, pa.ChunkedArray) else column.to_numpy(zero_copy_only=False)
+
+
+def _parts(lists: pa.Array) -> list[np.ndarray]:
+    ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    return np.split(lists.flatten().to_numpy(zero_copy_only=False), ends[:-1])
+
+
+def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    ends = np.cumsum([0, *(part.size for part in parts)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts), kind))
+
+
+def _round(block: np.ndarray, ids: np.ndarray, lengths: np.ndarray, after: float, first: bool, k: int, size: int):
     """A map over users: their state after the blocks of a round, whose items are given."""
 
     def best_of(scores: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,45 +108,52 @@ def _round(block: np.ndarray, ids: np.ndarray, lengths: np.ndarray, after: float
         order = np.lexsort((found, -scores))[:k]
         return scores[order], found[order]
 
-    def work(rows: list[dict]) -> list[dict]:
-        vectors, own = np.array([r["vector"] for r in rows]), np.array([r["length"] for r in rows])
-        best = [(np.array(r["scores"], float), np.array(r["ids"], np.int64)) for r in rows]
-        bars = np.array([b[0][-1] if b[0].size == k else -np.inf for b in best])
-        looked = np.zeros(len(rows), np.int64)
-        for start in range(0, len(ids), size):
-            part = slice(start, start + size)
-            active = np.flatnonzero(bars <= own * lengths[start] * SLACK)
+    def work(rows: pa.RecordBatch) -> pa.RecordBatch:
+        vectors, own = _matrix(rows["vector"]), _numbers(rows["length"])
+        scores, found = _parts(rows["scores"]), _parts(rows["ids"])
+        bars = np.array([s[-1] if s.size == k else -np.inf for s in scores])
+        seen = _parts(rows["seen"])
+        seen_by, seen = np.repeat(np.arange(len(seen)), [part.size for part in seen]), np.concatenate(seen)
+        looked = _numbers(rows["blocks"]).copy()
+        # Few blocks at first, while bars are low.
+        start, blocks, most = 0, 1 if first else STEP_ITEMS, max(1, STEP_ITEMS // size)
+        while start < len(ids):
+            end = min(start + min(blocks, most) * size, len(ids))
+            reach = bars[:, None] <= own[:, None] * lengths[start:end:size] * SLACK
+            active = np.flatnonzero(reach[:, 0])
             if not active.size:
                 break
-            looked[active] += 1
-            products = vectors[active] @ block[part].T
-            for row, at in enumerate(active):
-                seen = np.array(rows[at]["seen"] or [], np.int64) - start
-                products[row, seen[(seen >= 0) & (seen < products.shape[1])]] = -np.inf
-                better = np.flatnonzero(products[row] >= bars[at])
-                better = better[products[row, better] > -np.inf]
+            looked += reach.sum(1)
+            products = vectors[active] @ block[start:end].T
+            place = np.full(len(own), -1)
+            place[active] = np.arange(active.size)
+            here = (seen >= start) & (seen < end) & (place[seen_by] >= 0)
+            products[place[seen_by[here]], seen[here] - start] = -np.inf
+            # Also finite, as a user without k items has no bar.
+            reached = (products >= bars[active, None]).any(1)
+            for row in np.flatnonzero(reached):
+                at = active[row]
+                better = np.flatnonzero((products[row] >= bars[at]) & (products[row] > -np.inf))
                 if better.size:
-                    scores, found = best[at]
-                    best[at] = best_of(
-                        np.append(scores, products[row, better]), np.append(found, ids[part][better])
+                    scores[at], found[at] = best_of(
+                        np.append(scores[at], products[row, better]), np.append(found[at], ids[start:end][better])
                     )
-                    if best[at][0].size == k:
-                        bars[at] = best[at][0][-1]
-        done = bars > own * after * SLACK
-        return [
-            {**{n: r[n] for n in ("user_id", "vector", "length")}, "scores": s, "ids": i, "blocks": r["blocks"] + n, "done": d}
-            for r, (s, i), n, d in zip(rows, best, looked.tolist(), done.tolist())
-        ]
-
-    schema = pa.schema(
-        [("user_id", pa.int64()), ("vector", pa.list_(pa.float64())), ("length", pa.float64()),
-         ("scores", pa.list_(pa.float64())), ("ids", pa.list_(pa.int64())), ("blocks", pa.int64()), ("done", pa.bool_())]
-    )
+                    if scores[at].size == k:
+                        bars[at] = scores[at][-1]
+            start, blocks = end, 2 * blocks
+        columns = {
+            **{name: rows[name] for name in ("user_id", "vector", "length")},
+            "scores": _lists(scores, pa.float64()),
+            "ids": _lists(found, pa.int64()),
+            "blocks": pa.array(looked, pa.int64()),
+            "done": pa.array(bars > own * after * SLACK),
+        }
+        return pa.RecordBatch.from_pydict(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
-                yield pa.RecordBatch.from_pylist(work(batch.slice(start, 512).to_pylist()), schema)
+                yield work(batch.slice(start, 512))
 
     return run
 
@@ -151,35 +180,34 @@ def largest_products(
         seen.select("user_id", "item_id").distinct().join(known, "item_id").select("user_id", "number").sort("number"), "seen"
     )
     none = F.array()
-    state = stored(
-        _with_length(users).select(
-            "user_id", "vector", "length", none.cast("array<double>").alias("scores"),
-            none.cast("array<bigint>").alias("ids"), F.lit(0).cast("bigint").alias("blocks"), F.lit(False).alias("done"),
-        ),
-        "users",
+    fresh = _with_length(users).select(
+        "user_id", "vector", "length", none.cast("array<double>").alias("scores"),
+        none.cast("array<bigint>").alias("ids"), F.lit(0).cast("bigint").alias("blocks"), F.lit(False).alias("done"),
     )
-    finished, first, blocks = [], 0, 1
+    # Users are little data and much work.
+    state = stored(skew.spread(fresh, ["user_id"]), "users")
+    finished, first = [], 0
+    per_round = max(1, ROUND_ITEMS // block_items) * block_items
     while first < total:
-        end = min(first + blocks * block_items, total)
-        rows = placed.where(F.col("number").between(first, end)).orderBy("number").toArrow().to_pylist()
+        end = min(first + per_round, total)
+        rows = placed.where(F.col("number").between(first, end)).orderBy("number").toArrow()
         # The first item after the round says how long those to come are at most.
-        inside, after = rows[: end - first], rows[end - first :]
-        block = np.array([row["vector"] for row in inside])
+        inside, after = rows.slice(0, end - first), rows.slice(end - first)
         shared = spark.sparkContext.broadcast(
-            (block, np.array([r["item_id"] for r in inside]), np.array([r["length"] for r in inside]))
+            (_matrix(inside["vector"]), _numbers(inside["item_id"]), _numbers(inside["length"]))
         )
-        limit = after[0]["length"] if after else 0.0
+        limit = after["length"][0].as_py() if len(after) else 0.0
         met = (
             looked_at.where(F.col("number").between(first, end - 1))
             .groupBy("user_id")
             .agg(F.collect_list(F.col("number") - first).alias("seen"))
         )
 
-        def run(batches, shared=shared, limit=limit):
-            return _round(*shared.value, limit, k, block_items)(batches)
+        def run(batches, shared=shared, limit=limit, start=first):
+            return _round(*shared.value, limit, start == 0, k, block_items)(batches)
 
         state = stored(state.join(met, "user_id", "left").mapInArrow(run, STATE), "round")
-        first, blocks = end, min(2 * blocks, ROUND_BLOCKS)
+        first = end
         if first < total:
             finished.append(state.where("done"))
             state = state.where("NOT done")

@@ -79,3 +79,20 @@ def test_unseen_items_of_a_factorisation(spark, ratings):
     assert got.keys() == want.keys() and len(got) == 2
     for pair, score in want.items():
         assert got[pair] == pytest.approx(score, abs=1e-5)
+
+
+def test_rounds_do_not_grow_with_small_blocks(spark, rows, monkeypatch):
+    """Users are written once for so many items, whatever the size of a block."""
+    users, items, seen = rows
+    level = [(n, [float(x > 0) * 2 - 1 for x in v]) for n, v in items]  # all of one length
+    rounds, stored = [], products.stored
+    monkeypatch.setattr(products, "stored", lambda r, name: rounds.append(name) or stored(r, name))
+    best, looked = found(spark, users, level, seen, 10, block_items=8)
+    assert best == plain(users, level, seen, 10)
+    assert rounds.count("round") == 1
+    assert {row["n_blocks"] for row in looked} == {88}
+    monkeypatch.setattr(products, "ROUND_ITEMS", 200)
+    monkeypatch.setattr(products, "STEP_ITEMS", 24)
+    best, looked = found(spark, users, items, seen, 10, block_items=8)
+    assert best == plain(users, items, seen, 10)
+    assert sum(row["blocks"] for row in looked) < sum(row["n_blocks"] for row in looked)
