@@ -211,7 +211,7 @@ def load_upload(
     that breaks off leaves what was there. With ``dedup`` repeated lines of the file count once.
     """
     parsed = parsing.parse_bulk(readers.bulk_lines(spark, path), client, channel, upload)
-    parsed = (parsing.without_repeats(parsed) if dedup else parsed).persist()
+    parsed = parsing.for_tables(parsing.without_repeats(parsed) if dedup else parsed).persist()
     try:
         good = parsing.accepted(parsed)
         past = history.from_interactions(good, F.lit(upload_ms))

@@ -105,6 +105,11 @@ def without_repeats(parsed: DataFrame, within: str | None = None) -> DataFrame:
     return arrived.dropDuplicatesWithinWatermark(list(SAME)).drop("bad_line", "arrived")
 
 
+def for_tables(parsed: DataFrame) -> DataFrame:
+    """Parsed lines with the text of bad ones alone: all that the tables need, and less to keep."""
+    return parsed.withColumn("raw", F.when(F.col("reason").isNotNull(), F.col("raw")))
+
+
 def accepted(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("reason").isNull()).select(*PARSED_COLUMNS)
 

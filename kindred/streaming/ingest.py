@@ -23,7 +23,7 @@ def write_batch(parsed: DataFrame, stream_id: str, batch_id: int, root: str) ->
     ``taken_ms``, the time of the batch, places its rows in the history; rows without it count as
     loaded first.
     """
-    rows = parsed.persist()
+    rows = parsing.for_tables(parsed).persist()
     try:
         taken = F.col("taken_ms") if "taken_ms" in rows.columns else F.lit(0)
         past = history.from_interactions(rows.where(F.col("reason").isNull()), taken)
