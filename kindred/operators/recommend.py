@@ -10,9 +10,15 @@ from pyspark.sql import functions as F
 from kindred.operators import filters, ranking, skew
 from kindred.operators.cooccurrence import BY_CHANNEL
 
-# Users of one item that a task joins with that item's similarities. Repeating the
-# similarities once per part adds one row to every so many rows of output.
-USERS_PER_PART = 2_000
+# Users of a channel that one part holds. The similarities of an item are sent to a part once for
+# all its users.
+USERS_PER_PART = 500
+# Items of one user beyond which the user's candidates are cut into slices.
+ITEMS_PER_SLICE = 1_000
+# Parts a task sends the similarities of one item to.
+PARTS_PER_TASK = 2_000
+# Where the sums of a user and candidate are made.
+PLACE = ("part", "slices", "slice")
 
 
 def history_items(history: DataFrame, by: Sequence[str] = BY_CHANNEL) -> DataFrame:
@@ -31,10 +37,45 @@ def contributions(
     similarities: DataFrame,
     by: Sequence[str] = BY_CHANNEL,
     users_per_part: int = USERS_PER_PART,
+    items_per_slice: int = ITEMS_PER_SLICE,
 ) -> DataFrame:
-    """Every history item of every user with the similarities of that item."""
-    return skew.salted_join(
-        items, similarities, [*by, "item_id"], spread_by="user_id", limit=users_per_part
+    """Every history item of every user with the similarities of that item, and its ``PLACE``.
+
+    There are far more of these rows than of anything else here, so they stay where they are made:
+    users are cut into parts, each item of a part gets its similarities once, and the rows lie
+    partitioned by place, so that sums per place, user and candidate need no shuffle. The
+    candidates of a user with many items are cut into slices, all of which get the user's items.
+    """
+    person, item = [*by, "user_id"], [*by, "item_id"]
+    large = skew.hot_keys(items.select(*person).distinct(), by, users_per_part)
+    eager = skew.hot_keys(items, person, items_per_slice)
+    sliced = skew.with_parts(items, eager, person).withColumnRenamed("parts", "slices")
+    placed = skew.with_parts(sliced, large, by, spread_by="user_id").withColumn(
+        "part", skew.part_of("user_id")
+    )
+    needed = placed.select(*item, "part", "slices").distinct()
+    sent = skew.salted_join(needed, similarities, item, spread_by="part", limit=PARTS_PER_TASK)
+    users = placed.select(
+        *item,
+        "part",
+        "slices",
+        F.explode(skew.all_parts("slices")).alias("slice"),
+        F.struct("user_id", "rating").alias("user"),
+    )
+    similar = sent.select(
+        *item,
+        "part",
+        "slices",
+        skew.part_of("other_id", "slices").alias("slice"),
+        F.struct("other_id", "score").alias("similar"),
+    )
+    met = (
+        skew.spread(users.unionByName(similar, allowMissingColumns=True), [*by, *PLACE])
+        .groupBy(*item, *PLACE)
+        .agg(F.collect_list("user").alias("users"), F.collect_list("similar").alias("similar"))
+    )
+    return met.select(*item, *PLACE, F.inline("users"), "similar").select(
+        *item, *PLACE, "user_id", "rating", F.inline("similar")
     )
 
 
@@ -70,12 +111,12 @@ def recommendations(
 ) -> DataFrame:
     """The best ``num`` items of every user. Seen items stay in unless excluded."""
     items = history_items(history, by)
-    scored = candidate_scores(contributions(items, similarities, by), by)
+    scored = candidate_scores(contributions(items, similarities, by), [*by, *PLACE])
     if exclude_seen:
         scored = scored.join(items, [*by, "user_id", "item_id"], "left_anti")
     order = [F.col("score").desc_nulls_last(), F.col("item_id")]
     size = ranking.result_size(num, ranking.RECOMMENDATIONS_DEFAULT)
-    return ranking.top_k(scored, [*by, "user_id"], order, size)
+    return ranking.top_k(scored.drop(*PLACE), [*by, "user_id"], order, size)
 
 
 def recommendations_for(

@@ -12,6 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Pieces in which the rows of a key meet its number of parts.
+JOIN_SALTS = 64
+
+
 def measured(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Put an aggregate behind a shuffle of its own, by the keys it is joined on.
 
@@ -33,11 +37,21 @@ def hot_keys(rows: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
     return measured(hot, keys)
 
 
-def with_parts(rows: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add ``parts``: 1 for ordinary keys."""
-    return rows.join(hot, list(keys), "left").withColumn(
-        "parts", F.coalesce("parts", F.lit(1))
-    )
+def with_parts(
+    rows: DataFrame, hot: DataFrame, keys: Sequence[str], spread_by: str | None = None
+) -> DataFrame:
+    """Add ``parts``: 1 for ordinary keys.
+
+    Where a key may hold most of the rows, they are spread by a hash of ``spread_by`` for the join,
+    and the few hot keys are repeated.
+    """
+    on = list(keys)
+    if spread_by:
+        on = [*keys, "salt"]
+        rows = rows.withColumn("salt", part_of(spread_by, F.lit(JOIN_SALTS)))
+        hot = hot.withColumn("salt", F.explode(all_parts(F.lit(JOIN_SALTS))))
+    found = rows.join(hot, on, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    return found.drop("salt") if spread_by else found
 
 
 def part_of(column: Column | str, parts: Column | str = "parts") -> Column:

@@ -73,6 +73,19 @@ def test_pairs_are_shuffled_once(spark, no_broadcast):
         assert "hashpartitioning(item_id" in after and "other_id" in after
 
 
+def test_contributions_are_summed_where_they_are_made(spark, no_broadcast):
+    """Only the best of each user are shuffled, neither contributions nor the sums of them."""
+    for name in ("user_recs_mixed", "served_recommendations"):
+        text = plan(entry_points.queries()[name](spark, SF_DIR))
+        by_user = [
+            line for line in text.splitlines()
+            if "Exchange hashpartitioning(" in line and "user_id" in line
+        ]
+        assert by_user and not any("other_id" in line for line in by_user)
+        after = text.split("Generate inline(similar")[0]
+        assert after.count("Exchange") == 1 and "WindowGroupLimit" in after.split("Exchange")[1]
+
+
 def test_building_starts_no_job(spark):
     """Filling in values and reading served versions only describe their work."""
     rows = views.items(spark, SF_DIR)

@@ -114,3 +114,61 @@ def test_salted_join_equals_plain_join(spark, limit):
     salted = skew.salted_join(large, other, ["key"], "id", limit).select("key", "id", "value")
     plain = large.join(other, "key").select("key", "id", "value")
     assert salted.exceptAll(plain).isEmpty() and plain.exceptAll(salted).isEmpty()
+
+
+def history_and_similarities(spark, channels):
+    """Twenty users a channel with some of twelve items; user 0 has all of them."""
+    random.seed(5)
+    known = [
+        (f"CH-{c}", u, i, random.choice([None, 2.0]))
+        for c in range(channels)
+        for u in range(20)
+        for i in range(12)
+        if u == 0 or random.random() < 0.4
+    ]
+    similar = [
+        (f"CH-{c}", i, o, random.choice([3, 250, 900]))
+        for c in range(channels)
+        for i in range(12)
+        for o in range(15)
+        if o != i and random.random() < 0.6
+    ]
+    return spark.createDataFrame(known, ITEMS), spark.createDataFrame(
+        similar, "channel_id string, item_id bigint, other_id bigint, score bigint"
+    )
+
+
+@pytest.mark.parametrize("by", [("channel_id",), ()])
+@pytest.mark.parametrize(("users_per_part", "items_per_slice"), [(3, 100), (100, 5), (3, 5)])
+def test_parts_and_slices_lose_and_repeat_nothing(spark, by, users_per_part, items_per_slice):
+    known, similar = history_and_similarities(spark, 2 if by else 1)
+    columns = [*by, "user_id", "item_id", "rating", "other_id", "score"]
+    plain = known.join(similar, [*by, "item_id"]).select(columns)
+    known, similar = known.select(columns[:-2]), similar.select(*by, "item_id", "other_id", "score")
+    made = recommend.contributions(known, similar, by, users_per_part, items_per_slice)
+    assert sorted(made.select(columns).collect(), key=repr) == sorted(plain.collect(), key=repr)
+    places = made.groupBy(*by, "user_id", "other_id").agg(
+        F.count_distinct("part", "slices", "slice").alias("places")
+    )
+    assert places.where("places > 1").isEmpty()
+    used = made.groupBy(*by, "user_id").agg(F.count_distinct("slice").alias("slices"))
+    assert used.where("user_id = 0 AND slices > 1").isEmpty() == (items_per_slice == 100)
+
+
+def test_users_that_have_no_similar_item_get_nothing(spark):
+    known = spark.createDataFrame([("CH-1", 1, 10, None), (None, 2, 10, None)], ITEMS)
+    similar = spark.createDataFrame(
+        [("CH-1", 20, 10, 5), ("CH-2", 10, 20, 5)],
+        "channel_id string, item_id bigint, other_id bigint, score bigint",
+    )
+    assert recommend.contributions(known, similar).isEmpty()
+
+
+@pytest.mark.parametrize("keys", [["key"], []])
+def test_parts_are_the_same_when_the_join_is_spread(spark, keys):
+    rows = spark.range(300).select(F.when(F.col("id") < 250, 1).otherwise(2).alias("key"), "id")
+    hot = skew.hot_keys(rows, keys, 100)
+    spread = skew.with_parts(rows, hot, keys, spread_by="id")
+    assert spread.columns == ["key", "id", "parts"]
+    found = {(r["key"], r["parts"]): r["count"] for r in spread.groupBy("key", "parts").count().collect()}
+    assert found == ({(1, 3): 250, (2, 1): 50} if keys else {(1, 3): 250, (2, 3): 50})
