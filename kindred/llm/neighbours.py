@@ -1,21 +1,24 @@
 """Nearest neighbours by cosine: a block matrix join with int8 tiles and error bounds.
 
 Vectors are packed into blocks that hold unit vectors as int8 codes, the error of that rounding,
-and the original numbers. Candidate blocks lie in stripes; every query block goes to every stripe,
-so the join key is the stripe and one tile is (query block, candidate block). In a tile the
+and the original numbers. Query blocks lie in parts and candidate blocks in stripes; a cell is one of
+each, the join key is the cell, and one tile is (query block, candidate block). In a tile the
 product of the codes gives each cosine up to a bound that follows from both rounding errors. Pairs
 whose upper bound is below the k-th best lower bound, or below what earlier tiles reached, can't be
 among the nearest; the others are recomputed in double precision from the original numbers, and a
 heap per query merges what the tiles of a task find. Spark ranks the heaps of all tasks. The result
 is exact.
 
-Only the stated queries are repeated, in blocks, once per stripe; candidates are shuffled once and
-never sorted. A vector that many rows share is no key, so it spreads like any other.
+Blocks are repeated, queries once per stripe and candidates once per part; there are as many parts
+and stripes as move the fewest rows for that number of cells. Neither side is ever broadcast: Spark
+measures queries before they are packed and repeated, so its estimate of them is far too low. A vector
+that many rows share is no key, so it spreads like any other.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -183,6 +186,11 @@ def search_tiles(k: int):
     return run
 
 
+def grid_parts(cells: int, queries: int, candidates: int) -> int:
+    """Parts of the queries for which so many cells repeat the fewest rows of both sides."""
+    return max(1, round(math.sqrt(cells * queries / max(1, candidates))))
+
+
 def nearest(
     vectors: DataFrame,
     every: int = 50,
@@ -201,22 +209,29 @@ def nearest(
     """
     spark = vectors.sparkSession
     ready = usable(vectors, id_column, vector_column)
-    asked = ready.filter(F.col("vec_id") % every == 0)
-    one = asked.groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    stripes = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    stripe = F.pmod(F.xxhash64("c_ids"), F.lit(stripes).cast("long"))
-
-    def named(frame: DataFrame, side: str) -> DataFrame:
-        return frame.select(
-            "dim", *[F.col(n).alias(f"{side}_{n}") for n in frame.columns if n != "dim"]
-        )
-
-    candidates = named(blocks(ready, CANDIDATE_BLOCK), "c").withColumn("stripe", stripe)
-    queries = named(blocks(one.repartition(n_blocks), QUERY_BLOCK), "q").withColumn(
-        "stripe", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(stripes - 1).cast("long")))
-    )
-    tiles = queries.join(candidates, ["stripe", "dim"]).drop("stripe")
+    is_asked = F.col("vec_id") % every == 0
+    one = ready.filter(is_asked).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    ids = vectors.select(F.col(id_column).cast("long").alias("vec_id"))
+    n_rows, n_asked = ids.agg(F.count("vec_id"), F.count_if(is_asked)).first()
+    n_blocks = max(1, -(-n_asked // QUERY_BLOCK))
+    n_tiles = n_blocks * max(1, -(-n_rows // CANDIDATE_BLOCK))
+    cells = min(int(spark.conf.get("spark.sql.shuffle.partitions")), n_tiles)
+    parts = min(n_blocks, grid_parts(cells, n_asked, n_rows))
+    stripes = -(-cells // parts)
+    # Query blocks are even in size, one or two to a partition.
+    part = F.pmod(F.spark_partition_id(), F.lit(parts))
+    stripe = F.pmod(F.xxhash64("ids"), F.lit(stripes)).cast("int")
+
+    def every_one(count: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+
+    def named(frame: DataFrame, side: str, **place: Column) -> DataFrame:
+        columns = [F.col(n).alias(f"{side}_{n}") for n in frame.columns if n != "dim"]
+        return frame.select("dim", *columns, *[at.alias(name) for name, at in place.items()])
+
+    candidates = named(blocks(ready, CANDIDATE_BLOCK), "c", stripe=stripe, part=every_one(parts))
+    queries = named(blocks(one.repartition(n_blocks), QUERY_BLOCK), "q", part=part, stripe=every_one(stripes))
+    tiles = queries.hint("merge").join(candidates, ["part", "stripe", "dim"]).drop("part", "stripe")
     found = tiles.mapInArrow(search_tiles(k), FOUND)
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,6 +149,31 @@ def test_neighbours(spark):
     assert neighbours.nearest(vectors.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("cells, every", [(1, 3), (16, 50), (64, 2)])
+def test_neighbours_in_cells(spark, monkeypatch, cells, every):
+    """However queries and candidates are dealt, blocks never go through the driver."""
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 8)
+    monkeypatch.setattr(neighbours, "CANDIDATE_BLOCK", 16)
+    vectors = np.random.default_rng(4).normal(size=(300, 4))
+    frame = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(vectors)], "vec_id bigint, embedding array<double>")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", cells)
+    try:
+        result = neighbours.nearest(frame, every=every)
+        found = sorted(tuple(row) for row in result.collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    lengths = np.sqrt((vectors**2).sum(1))
+    want = []
+    for query in range(0, 300, every):
+        scores = (vectors * vectors[query]).sum(1) / (lengths * lengths[query])
+        others = sorted((i for i in range(300) if i != query), key=lambda i: -scores[i])[:5]
+        want += [(query, rank, i, scores[i]) for rank, i in enumerate(others, 1)]
+    assert [row[:3] for row in found] == [row[:3] for row in want]
+    assert [row[3] for row in found] == pytest.approx([row[3] for row in want], abs=1e-12)
+    assert "Broadcast" not in result._jdf.queryExecution().executedPlan().toString()
+
+
 def test_html(spark):
     pages = spark.createDataFrame(
         [(1, "http://h/a", "<article>one &amp; two</article>"), (1, "http://h/a", "<article>one &amp; two</article>"),
