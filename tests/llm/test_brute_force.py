@@ -343,6 +343,24 @@ def test_html_mixed_hosts(spark):
     assert texts_of(spark, rows) == sorted(want)
 
 
+def test_html_layouts_inside_articles(spark):
+    """Articles that wrap a layout are aligned, too; what stands on fewer pages or further in stays."""
+    def wrapped(*lines):
+        return f"<nav>Menu</nav><article>{framed('Share this', *lines)}</article><footer>f</footer>"
+
+    name = {i: "abcdefghijklmnopqrst"[i] * 3 for i in range(20)}
+    bodies = {f"/{i:02}": [*body(name[i], 2), "Section", *body(f"the rest of {name[i]}", 1)] for i in range(20)}
+    bodies |= {f"/05/{day:02}": [f"As of {day} May", *body("the copied page")] for day in range(1, 31)}
+    quoted = {path: ["Told again", *lines, "A quote"] if path < "/06" else lines for path, lines in bodies.items()}
+    rows = [(i, f"http://h.x{path}", wrapped(*lines)) for i, (path, lines) in enumerate(quoted.items())]
+    want = [(i, "\n\n".join(lines)) for i, lines in enumerate(quoted.values())]
+    few = [(100 + i, f"http://few.x/{i}", wrapped(*body(name[i]))) for i in range(8)]
+    want += [(i, "\n\n".join(read(page))) for i, _, page in few]
+    same = [(200 + i, f"http://same.x/{i}", wrapped(f"{i} May", *body("it"))) for i in range(20)]
+    want += [(i, "\n\n".join(read(page))) for i, _, page in same]
+    assert texts_of(spark, [*rows, *few, *same]) == want
+
+
 def plain_extract(rows):
     """The whole operator on one machine: every page against all pages of its host in order."""
     from kindred.llm import html_extract as ex
@@ -383,6 +401,25 @@ def test_html_against_a_plain_version(spark):
     assert texts_of(spark, rows) == plain_extract(rows)
 
 
+def test_html_articles_against_a_plain_version(spark):
+    """Pages that meet many others, with layouts and quotes inside articles, copies and near copies."""
+    draw, rows = random.Random(13), []
+    for i in range(400):
+        host, at = draw.choice(["h.x", "h.x", "h.x", "g.x", "k.x"]), draw.randint(0, 99)
+        if draw.random() < 0.2 and rows:
+            rows.append((i, f"http://{host}/{at}", re.sub("told", str(i), draw.choice(rows)[2], count=draw.randint(0, 1))))
+            continue
+        lines = [f"Line {draw.randint(0, 400)} of a page with words {draw.random()}" for _ in range(draw.randint(1, 6))]
+        if host != "k.x" and (host == "h.x" or draw.random() < 0.9):
+            lines = ["Share this", "Top", *lines, "A line that is told", "All rights"]
+        text = "".join(f"<p>{line}</p>" for line in lines)
+        rows.append((i, f"http://{host}/{at}", f"<p>Menu</p><article>{text}</article><p>End</p>" if draw.random() < 0.98 else text))
+    want = plain_extract(rows)
+    assert texts_of(spark, rows) == want
+    laid_out = [text for i, text in want if "<article><p>Share this" in rows[i][2]]
+    assert any("Top" not in text for text in laid_out) and any("Top" in text for text in laid_out)
+
+
 @pytest.mark.parametrize("quote", "\"'")
 @pytest.mark.parametrize("size", [1, 5000, 1 << 20])
 def test_quoted_values(quote, size):
